@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,6 +11,10 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from potamos.operators.lineage import settle, shared_dir
+
+__all__ = ["KEY", "Memo", "as_bytes", "as_text", "keep_rows", "map_batches", "open_fs", "pick", "row_key", "settle", "shared_dir", "table"]
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Units longer than this many bytes are computed but not remembered.
@@ -39,7 +42,7 @@ def as_text(column: pa.Array) -> list[str]:
     return ["" if v is None else v for v in column.to_pylist()]
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` for functions that treat each batch on its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,24 +53,6 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.Record
     return df.mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. The cluster names it in ``spark.checkpoint.dir``;
-    where that is unset (a local session) a folder under the warehouse is used."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (conf or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the rows to the shared folder and read them from there. Survives lost executors,
-    and what follows never computes the rows again."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """A file system and path for a folder name as Spark writes it."""
     if re.match(r"file:/+", uri):
@@ -94,6 +79,20 @@ class Memo(dict):
             self.clear()
 
 
-def hash_order(*columns: str) -> Column:
-    """A fixed pseudo-random order of rows."""
-    return F.xxhash64(*(F.col(c) for c in columns))
+#: What tells documents apart: null ids last, then the id, then a hash of the text. Rows equal in all three are one document.
+KEY = ("late", "id", "th")
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """The columns of KEY; structs of them compare in document order and join null-safely."""
+    return [F.col(id_col).isNull().alias("late"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(text_col).alias("th")]
+
+
+def keep_rows(df: DataFrame, text_col: str, keep: Callable[[list[bytes]], list[bool]]) -> DataFrame:
+    """Filter whole rows by a function of their texts, without a shuffle."""
+    at = df.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield batch.filter(pa.array(keep(as_bytes(batch.column(at))), pa.bool_()))
+
+    return map_batches(df, run, df.schema)
