@@ -262,13 +262,13 @@ def follow(pointers: DataFrame) -> DataFrame:
     known = pointers.select(F.col("node").alias("k"))
     state = pointers.join(known, F.col("next") == F.col("k"), "left")
     state = settle(state.select("node", F.coalesce("k", "next", "node").alias("to"), F.when(F.coalesce("next", "node") == F.col("node"), 0).otherwise(1).cast("long").alias("steps")))
-    for _ in range(64):
+    for _ in range(state.count().bit_length() + 1):
         nxt = state.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("more"))
         new = settle(state.join(nxt, "to", "left").select("node", F.coalesce("to2", "to").alias("new"), "to", (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
         open_ = new.where("new <> to")
         state = new.select("node", F.col("new").alias("to"), "steps")
         if _none(open_):
             break
-    roots = state.where("node = to").select(F.col("node").alias("to"))
+    roots = state.where("node = to AND steps = 0").select(F.col("node").alias("to"))
     outside = state.join(known, F.col("to") == F.col("k"), "left_anti").select("to").distinct()
     return state.join(roots.union(outside).distinct(), "to", "left_semi").select("node", F.col("to").alias("root"), "steps")
