@@ -29,7 +29,7 @@ class IdEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, as bytes."""
-        if len(self.memo) > common.MEMO_UNITS // 2:
+        if len(self.memo) > common.MEMO_UNITS:
             self.memo.clear()
         memo, out = self.memo, []
         for data in texts:
