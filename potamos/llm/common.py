@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from potamos.operators.lineage import settle, shared_dir
 
-__all__ = ["KEY", "Memo", "as_bytes", "as_text", "keep_rows", "map_batches", "open_fs", "pick", "row_key", "settle", "shared_dir", "table"]
+__all__ = ["KEY", "Memo", "as_bytes", "as_text", "keep_rows", "map_batches", "open_fs", "pick", "row_key", "settle", "shared_dir", "spread_join", "table"]
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -79,6 +79,21 @@ class Memo(dict):
             self.clear()
 
 
+#: A key with more than this share of all rows is dealt out; so fewer than 1 / HEAVY keys are.
+HEAVY = 0.001
+
+
+def spread_join(many: DataFrame, one: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``many`` with ``one`` (a row per key) in which no task meets more than about ``HEAVY`` of the rows
+    of one key. ``counts`` holds ``(key, n)``, how many rows of ``many`` have each key."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    heavy = counts.where(F.col("n") > HEAVY * total).select(key, F.ceil(F.col("n") / F.lit(HEAVY * total)).cast("int").alias("__parts"))
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = many.join(F.broadcast(heavy), key, "left").select(*many.columns, F.pmod(F.xxhash64(*many.columns), parts).cast("int").alias("__part"))
+    copied = one.join(F.broadcast(heavy), key, "left").select(*one.columns, F.explode(F.sequence(F.lit(0), parts - 1)).alias("__part"))
+    return dealt.join(copied, [key, "__part"]).drop("__part")
+
+
 #: What tells documents apart: null ids last, then the id, then a hash of the text. Rows equal in all three are one document.
 KEY = ("late", "id", "th")
 

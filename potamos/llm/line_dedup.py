@@ -1,9 +1,10 @@
 """Line deduplication by pairwise alignment.
 
-Documents that overlap are found through lines they share. Instead of pairing all holders of a line, which grows with
-the square of their number, every holder is paired with the first one, so no line has to be left out for being
-frequent. A pair is aligned with patience diff on line hashes, and common blocks go from the later document. The
-first holder of a block always keeps it.
+Documents that overlap are found through hashes of the shortest runs of lines that make a block: a long line alone, or
+short ones together. Instead of pairing all holders of a run, which grows with the square of their number, every
+holder is paired with the first one, so no run has to be left out for being frequent. A pair is aligned with patience
+diff on line hashes, and common blocks go from the later document; what is left is aligned again, so that blocks in
+another order or repeated go too. The first holder of a block always keeps it.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from . import common
 from .common import KEY
 
-#: A line of fewer words doesn't make two documents a pair; a block of fewer words stays.
-MIN_LINE_WORDS, MIN_BLOCK_WORDS = 4, 10
+#: A common block of fewer words stays.
+MIN_BLOCK_WORDS = 10
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -77,44 +78,74 @@ def common_blocks(pairs: list[tuple[int, int]], words: list[int], least: int) ->
     return out
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per document the hashes and word counts of its lines; a repeated row (same id and text) is one document."""
+def repeated(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
+    """Positions in the later document ``b`` of all blocks it shares with ``a``."""
+    left: list[int | None] = list(b)
+    gone: list[int] = []
+    while new := common_blocks(patience(a, left), words, least):
+        gone += new
+        for j in new:
+            left[j] = None
+    return sorted(gone)
+
+
+def runs(lines: list[bytes], words: list[int], least: int) -> set[int]:
+    """Hashes of the shortest runs of lines with enough words, from each line that has a word."""
+    out, stop, total = set(), 0, 0
+    for start, n in enumerate(words):
+        while total < least and stop < len(lines):
+            total += words[stop]
+            stop += 1
+        if total < least:
+            break
+        if n:
+            out.add(xxhash.xxh64_intdigest(b"\n".join(lines[start:stop])) - (1 << 63))
+        total -= n
+    return out
+
+
+def line_table(docs: DataFrame, min_block_words: int, id_col: str, text_col: str) -> DataFrame:
+    """Per document the hashes and word counts of its lines and the hashes of its runs; a repeated row (same id and
+    text) is one document."""
 
     def run(batch: pa.RecordBatch):
-        hashes, words = [], []
+        hashes, words, starts = [], [], []
         for data in common.as_bytes(batch.column(3)):
             lines = data.split(b"\n")
             hashes.append([xxhash.xxh64_intdigest(x) - (1 << 63) for x in lines])
             words.append([len(x.split()) for x in lines])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], names=[*KEY, "hashes", "words"])
+            starts.append(list(runs(lines, words[-1], min_block_words)))
+        columns = [pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=[*KEY, "hashes", "words", "runs"])
 
     chosen = docs.select(*common.row_key(id_col, text_col), F.col(text_col).alias("text"))
-    rows = common.map_batches(chosen, run, "late boolean, id long, th long, hashes array<long>, words array<int>")
+    rows = common.map_batches(chosen, run, "late boolean, id long, th long, hashes array<long>, words array<int>, runs array<long>")
     return rows.dropDuplicates(list(KEY))
 
 
-def deletions(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_block_words: int = MIN_BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deletions(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(late, id, th, gone)``: the line numbers that each document loses."""
-    table = common.settle(line_table(docs, id_col, text_col)).withColumn("doc", F.struct(*KEY))
-    lines = table.select("doc", F.explode(F.arrays_zip("hashes", "words")).alias("l")).where(F.col("l.words") >= min_line_words)
-    lines = lines.select("doc", F.col("l.hashes").alias("h"))
-    firsts = lines.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "first")
-    pairs = lines.join(firsts, "h").where("doc > first").select("doc", "first").distinct()
-    later = table.select("doc", F.col("hashes").alias("b"), "words")
+    table = common.settle(line_table(docs, min_block_words, id_col, text_col)).withColumn("doc", F.struct(*KEY))
+    held = table.select("doc", F.explode("runs").alias("h"))
+    firsts = held.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).where("first < last")
+    firsts = common.settle(firsts.select("h", "first", "n"))
+    met = common.spread_join(held, firsts.select("h", "first"), firsts.select("h", "n"), "h")
+    pairs = common.settle(met.where("doc > first").select("doc", "first").distinct())
     earlier = table.select(F.col("doc").alias("first"), F.col("hashes").alias("a"))
-    joined = pairs.join(later, "doc").join(earlier, "first").select("doc.*", "a", "b", "words")
+    partners = pairs.groupBy("first").agg(F.count("*").alias("n"))
+    later = table.select("doc", F.col("hashes").alias("b"), "words")
+    joined = common.spread_join(pairs, earlier, partners, "first").join(later, "doc").select("doc.*", "a", "b", "words")
 
     def align(batch: pa.RecordBatch):
-        gone = []
-        for a, b, words in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5))):
-            gone.append(common_blocks(patience(a, b), words, min_block_words))
+        # row by row, as the lines of a batch of long documents are too many to hold as Python numbers
+        gone = [repeated(*(batch.column(k)[row].as_py() for k in (3, 4, 5)), min_block_words) for row in range(batch.num_rows)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(gone, pa.list_(pa.int32()))], names=[*KEY, "gone"])
 
     found = common.map_batches(joined, align, "late boolean, id long, th long, gone array<int>").where(F.size("gone") > 0)
     return found.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_block_words: int = MIN_BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with common blocks taken out of the later documents, plus ``n_lines_before``
     and ``n_lines_removed``.
 
@@ -122,7 +153,7 @@ def dedup_lines(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_block
     are one document and keep or lose the same lines. Null text stays null and empty text empty; a text that loses
     all its lines becomes empty; an empty table gives an empty result. The input must not have columns of the two
     added names."""
-    gone = deletions(docs, min_line_words, min_block_words, id_col, text_col).select(F.struct(*KEY).alias("__doc"), F.col("gone").alias("__gone"))
+    gone = deletions(docs, min_block_words, id_col, text_col).select(F.struct(*KEY).alias("__doc"), F.col("gone").alias("__gone"))
     marked = docs.withColumn("__doc", F.struct(*common.row_key(id_col, text_col))).join(gone, "__doc", "left")
     lines = F.split(F.col(text_col), "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
