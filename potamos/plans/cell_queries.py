@@ -12,31 +12,22 @@ from potamos.plans.registry import query
 _AROUND = "(SELECT unnest([-1, 0, 1]) AS dx) ox CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dy) oy"
 
 
-def _clump_sql(flag: str, diagonal: bool = False) -> str:
-    near = "abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1" if diagonal else "abs(a.x - b.x) + abs(a.y - b.y) = 1"
-    return f"g AS (SELECT x, y, x * 4294967296 + y AS k, {flag} AS f FROM cells WHERE y < 25 AND x < 40), e AS (SELECT a.k AS a, b.k AS b FROM g a JOIN g b ON {near} AND a.f = b.f), r AS (SELECT k, k AS other FROM g UNION SELECT r.k, e.b FROM r JOIN e ON e.a = r.other), cl AS (SELECT k, min(other) AS clump FROM r GROUP BY k)"
-
-
-def _patch(t):
-    return t.cells.where("y < 25 AND x < 40")
-
-
-@query("o_r01_fill_small_bars", "WITH " + _clump_sql("water") + " SELECT x, y, f OR count(*) OVER (PARTITION BY clump) < 6 AS water FROM g JOIN cl ON cl.k = g.k", ("cells",))
+@query("o_r01_fill_small_bars")
 def _(t):
-    return C.fill_small(_patch(t).select("x", "y", "water"), "water", 6)
+    return C.fill_small(t.cells.select("x", "y", "water"), "water", 6)
 
 
-@query("o_r01_clumps", "WITH " + _clump_sql("water") + " SELECT x, y, CAST(clump AS BIGINT) AS clump FROM g JOIN cl ON cl.k = g.k", ("cells",))
+@query("o_r01_clumps")
 def _(t):
-    return C.clumps(_patch(t).select("x", "y", "water"), ["water"]).select("x", "y", "clump")
+    return C.clumps(t.cells.select("x", "y", "water"), ["water"]).select("x", "y", "clump")
 
 
 @query("o_r02_extend_coast")
 def _(t):
-    wet = C.clumps(_patch(t).select("x", "y", "water"), ["water"], diagonal=True)
+    wet = C.clumps(t.cells.select("x", "y", "water"), ["water"], diagonal=True)
     coast = wet.where("water AND y < 2").select("clump").distinct()
     seeds = wet.join(coast, "clump", "left_semi").select("x", "y").withColumn("seed", F.lit(True))
-    grid = _patch(t).select("x", "y").join(seeds, ["x", "y"], "left").withColumn("seed", F.coalesce("seed", F.lit(False)))
+    grid = t.cells.select("x", "y").join(seeds, ["x", "y"], "left").withColumn("seed", F.coalesce("seed", F.lit(False)))
     return C.distance_steps(grid, F.col("seed"), limit=6)
 
 
@@ -45,15 +36,15 @@ def _(t):
     return t.cells.select("x", "y", F.when((F.col("class") == "view") & (F.col("value") > 500), 180).when(F.col("water"), 255).otherwise(0).alias("grwl"))
 
 
-@query("o_r04_patch_tidal_clumps", "WITH " + _clump_sql("value >= 400") + ", n AS (SELECT clump, sum(CASE WHEN c.value % 5 = 0 THEN 1 ELSE 0 END) AS tidal FROM cl JOIN g ON g.k = cl.k JOIN cells c ON c.x = g.x AND c.y = g.y GROUP BY clump) SELECT g.x, g.y FROM g JOIN cl ON cl.k = g.k JOIN n ON n.clump = cl.clump WHERE g.f AND n.tidal > 1", ("cells",))
+@query("o_r04_patch_tidal_clumps")
 def _(t):
-    g = C.clumps(_patch(t).select("x", "y", (F.col("value") >= 400).alias("f"), (F.col("value") % 5 == 0).alias("tidal")), ["f"])
+    g = C.clumps(t.cells.select("x", "y", (F.col("value") >= 400).alias("f"), (F.col("value") % 5 == 0).alias("tidal")), ["f"])
     return C.spread(g, ["clump"], n=F.count_if("tidal")).where("f AND n > 1").select("x", "y")
 
 
 @query("o_r05_skeleton")
 def _(t):
-    return C.thin(C.resample(_patch(t), 2, value=F.max("value")).where("value > 600"))
+    return C.thin(C.resample(t.cells, 2, value=F.max("value")).where("value > 600"))
 
 
 @query("o_r06_vectorise", "SELECT a.x * 4294967296 + a.y AS start_node, b.x * 4294967296 + b.y AS end_node FROM cells a JOIN cells b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND (a.x < b.x OR (a.x = b.x AND a.y < b.y)) WHERE a.value > 900 AND b.value > 900", ("cells",))
@@ -80,7 +71,7 @@ def _(t):
 
 @query("o_r10_fill_depressions")
 def _(t):
-    return C.fill_depressions(_patch(t))
+    return C.fill_depressions(t.cells)
 
 
 @query("o_r10_sinks", "SELECT zx, zy, quantile_cont(elev, 0.02) AS low, sum(CASE WHEN elev < 10 THEN 1 ELSE 0 END) AS n_low FROM cells WHERE elev IS NOT NULL GROUP BY zx, zy HAVING sum(value) > 1000".replace("sum(CASE WHEN elev < 10 THEN 1 ELSE 0 END)", "count(CASE WHEN elev < 10 THEN 1 END)"), ("cells",))
@@ -173,6 +164,6 @@ def _(t):
     return t.cells.groupBy("zx", "zy").agg((F.count_if("water") / F.count("*")).alias("density"))
 
 
-@query("o_r27_bank_distance", "WITH g AS (SELECT x, y, water FROM cells WHERE y < 25 AND x < 40) SELECT a.x, a.y, CAST(min(greatest(abs(a.x - b.x), abs(a.y - b.y))) AS INTEGER) AS steps FROM g a CROSS JOIN g b WHERE NOT b.water GROUP BY a.x, a.y", ("cells",))
+@query("o_r27_bank_distance", "WITH g AS (SELECT x, y, water FROM cells) SELECT a.x, a.y, CAST(min(greatest(abs(a.x - b.x), abs(a.y - b.y))) AS INTEGER) AS steps FROM g a CROSS JOIN g b WHERE NOT b.water GROUP BY a.x, a.y", ("cells",))
 def _(t):
-    return C.distance_steps(_patch(t), ~F.col("water"))
+    return C.distance_steps(t.cells, ~F.col("water"))

@@ -46,29 +46,23 @@ def _(t):
 
 @query("o_g05_prune_triangles")
 def _(t):
-    return K.prune_small_components(t.messy_lines.where("start_node >= 0 AND end_node >= 0 AND start_node % 3 <> 1"), t.nodes).select("id")
+    return K.prune_small_components(t.messy_lines.where("start_node >= 0 AND end_node >= 0"), t.nodes).select("id")
 
 
-@query(
-    "o_g06_shortest_paths",
-    "WITH both_ways AS (SELECT start_node AS a, end_node AS b, length FROM lines WHERE start_node % 16 = 3 AND start_node < 1000 UNION ALL SELECT end_node, start_node, length FROM lines WHERE start_node % 16 = 3 AND start_node < 1000), p AS (SELECT DISTINCT a AS source, a AS node, CAST(0 AS DOUBLE) AS distance, 0 AS hops FROM both_ways WHERE a < 64 UNION SELECT p.source, e.b, p.distance + e.length, p.hops + 1 FROM p JOIN both_ways e ON e.a = p.node WHERE p.hops < 6) SELECT source, node, min(distance) AS distance FROM p GROUP BY source, node",
-    ("lines",),
-)
+@query("o_g06_shortest_paths")
 def _(t):
-    part = t.lines.where("start_node % 16 = 3 AND start_node < 1000")
-    sources = N.incidence(part).where("node < 64").select("node").distinct()
-    return G.shortest_paths(part, sources).select("source", "node", "distance")
+    return G.shortest_paths(t.lines, t.nodes.where("is_outlet = 1").select(F.col("id").alias("node"))).select("source", "node", "distance")
 
 
 @query("o_g07_remove_cycles")
 def _(t):
-    return K.remove_cycles(t.messy_lines.where("start_node >= 0 AND end_node >= 0 AND start_node < 400"), t.nodes).select("id")
+    return K.remove_cycles(t.messy_lines.where("start_node >= 0 AND end_node >= 0"), t.nodes).select("id")
 
 
-@query("o_g08_bridges", "WITH both_ways AS (SELECT id, start_node AS a, end_node AS b FROM loose_lines WHERE start_node < 300 UNION ALL SELECT id, end_node, start_node FROM loose_lines WHERE start_node < 300) SELECT DISTINCT id FROM both_ways", ("loose_lines",))
+@query("o_g08_bridges", "WITH both_ways AS (SELECT id, start_node AS a, end_node AS b FROM loose_lines UNION ALL SELECT id, end_node, start_node FROM loose_lines) SELECT DISTINCT id FROM both_ways", ("loose_lines",))
 def _(t):
     """A forest: each line is a bridge."""
-    return G.bridges(t.loose_lines.where("start_node < 300"))
+    return G.bridges(t.loose_lines)
 
 
 @query("o_g08_bridges_with_loops")

@@ -133,3 +133,19 @@ def test_depressions_fill_to_their_rim(spark):
     grid = [(x, y, 1.0 if (x, y) == (2, 2) else 5.0 if 0 < x < 4 and 0 < y < 4 else 7.0) for x in range(5) for y in range(5)]
     filled = {(r.x, r.y): r.filled for r in cells.fill_depressions(spark.createDataFrame(grid, "x long, y long, elev double")).collect()}
     assert filled[2, 2] == 7.0 and filled[0, 0] == 7.0
+
+
+@pytest.mark.parametrize("diagonal", [False, True])
+def test_clumps_and_small_bars(spark, diagonal):
+    rng = random.Random(4)
+    water = {(x, y): rng.random() < 0.55 for x in range(9) for y in range(7)}
+    near = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx, dy) != (0, 0) and (diagonal or not dx * dy)]
+    edges = [((x, y), (x + dx, y + dy)) for (x, y), w in water.items() for dx, dy in near if water.get((x + dx, y + dy)) == w]
+    whole = {c: {c} | reach(edges, c) for c in water}
+    grid = spark.createDataFrame([(x, y, w) for (x, y), w in water.items()], "x long, y long, water boolean")
+    found = {(r.x, r.y): r.clump for r in cells.clumps(grid, ["water"], diagonal).collect()}
+    assert found == {c: found[min(members)] for c, members in whole.items()}
+    assert len(set(found.values())) == len({min(m) for m in whole.values()})
+    if not diagonal:
+        filled = {(r.x, r.y): r.water for r in cells.fill_small(grid, "water", 6).collect()}
+        assert filled == {c: w or len(whole[c]) < 6 for c, w in water.items()}
