@@ -116,7 +116,9 @@ def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
         for rule, (_, _, ladder) in RULES.items():
             best = None
             for k, cutoff in enumerate(ladder):
-                if upper_bound(row[f"{rule}_{k}"], row["n"], delta / (len(RULES) * len(rows))) > share:
+                rejected = row[f"{rule}_{k}"]
+                # the bound lies above the observed share, so it need only be solved below the allowed one
+                if rejected > share * row["n"] or upper_bound(rejected, row["n"], delta / (len(RULES) * len(rows))) > share:
                     break
                 best = cutoff
             cutoffs.append(best)
