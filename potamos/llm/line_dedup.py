@@ -4,13 +4,15 @@ Documents that overlap are found through hashes of the shortest runs of lines th
 short ones together. Instead of pairing all holders of a run, which grows with the square of their number, every
 holder is paired with the first one, so no run has to be left out for being frequent. A pair is aligned with patience
 diff on line hashes, and common blocks go from the later document; what is left is aligned again, so that blocks in
-another order or repeated go too. The first holder of a block always keeps it.
+another order go too, and blocks of lines too frequent to anchor an alignment are found by their runs. The first
+holder of a block always keeps it.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
@@ -22,6 +24,8 @@ from .common import KEY
 
 #: A common block of fewer words stays.
 MIN_BLOCK_WORDS = 10
+#: Columns that ``dedup_lines`` adds.
+ADDED = ("n_lines_before", "n_lines_removed")
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -78,30 +82,49 @@ def common_blocks(pairs: list[tuple[int, int]], words: list[int], least: int) ->
     return out
 
 
+def shortest(words: list[int | None], least: int) -> Iterator[tuple[int, int]]:
+    """``(start, stop)`` of the shortest run of lines with enough words from each line that has a word; no run goes
+    over a None."""
+    stop = total = 0
+    for start, n in enumerate(words):
+        if n is None:
+            stop, total = start + 1, 0
+            continue
+        while total < least and stop < len(words) and words[stop] is not None:
+            total += words[stop]
+            stop += 1
+        if n and total >= least:
+            yield start, stop
+        total -= n
+
+
 def repeated(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
-    """Positions in the later document ``b`` of all blocks it shares with ``a``."""
+    """Positions in the later document ``b`` of all blocks it shares with ``a``: aligned ones, then those that the
+    alignment can't anchor because their lines occur more than once on a side."""
     left: list[int | None] = list(b)
-    gone: list[int] = []
+    gone: set[int] = set()
     while new := common_blocks(patience(a, left), words, least):
-        gone += new
+        gone.update(new)
         for j in new:
             left[j] = None
+    known = dict(zip(b, words))
+    held: dict[tuple[int, ...], int] = {}
+    for start, stop in shortest([known.get(x) for x in a], least):
+        held.setdefault(tuple(a[start:stop]), start)
+    for start, stop in shortest([None if x is None else n for x, n in zip(left, words)], least):
+        i = held.get(tuple(b[start:stop]))
+        if i is not None:
+            gone.update(range(start, stop))
+            i += stop - start
+            while stop < len(b) and i < len(a) and left[stop] == a[i]:
+                gone.add(stop)
+                i, stop = i + 1, stop + 1
     return sorted(gone)
 
 
 def runs(lines: list[bytes], words: list[int], least: int) -> set[int]:
-    """Hashes of the shortest runs of lines with enough words, from each line that has a word."""
-    out, stop, total = set(), 0, 0
-    for start, n in enumerate(words):
-        while total < least and stop < len(lines):
-            total += words[stop]
-            stop += 1
-        if total < least:
-            break
-        if n:
-            out.add(xxhash.xxh64_intdigest(b"\n".join(lines[start:stop])) - (1 << 63))
-        total -= n
-    return out
+    """Hashes of the shortest runs of lines with enough words."""
+    return {xxhash.xxh64_intdigest(b"\n".join(lines[start:stop])) - (1 << 63) for start, stop in shortest(words, least)}
 
 
 def line_table(docs: DataFrame, min_block_words: int, id_col: str, text_col: str) -> DataFrame:
@@ -151,13 +174,13 @@ def dedup_lines(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS, id_col:
 
     Earlier means a smaller doc_id (null ids come last, equal ids go by a hash of the text); rows equal in id and text
     are one document and keep or lose the same lines. Null text stays null and empty text empty; a text that loses
-    all its lines becomes empty; an empty table gives an empty result. The input must not have columns of the two
-    added names."""
+    all its lines becomes empty; an empty table gives an empty result; input columns of the two added names are
+    replaced."""
     gone = deletions(docs, min_block_words, id_col, text_col).select(F.struct(*KEY).alias("__doc"), F.col("gone").alias("__gone"))
     marked = docs.withColumn("__doc", F.struct(*common.row_key(id_col, text_col))).join(gone, "__doc", "left")
     lines = F.split(F.col(text_col), "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: lines[i]), "\n"))
-    kept = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    kept = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c.lower() not in ADDED]
     removed = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
-    return marked.select(*kept, F.size(lines).cast("long").alias("n_lines_before"), removed.alias("n_lines_removed"))
+    return marked.select(*kept, F.size(lines).cast("long").alias(ADDED[0]), removed.alias(ADDED[1]))
