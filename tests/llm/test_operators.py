@@ -255,6 +255,37 @@ def test_line_dedup_blocks_of_short_lines(spark):
     assert [rows[k] for k in range(3)] == texts[:3] and rows[3].split() == ["p", "q"]
 
 
+def test_line_dedup_brute_force(spark):
+    """Nothing goes that no earlier document holds, and no block is left that an earlier document holds."""
+    rng = random.Random(11)
+    pool = ["", *(" ".join(f"v{rng.randrange(90)}" for _ in range(rng.choice((1, 3, 5, 6, 12)))) for _ in range(14))]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    blocks = lambda lines: {tuple(lines[a:b]) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1) if sum(len(x.split()) for x in lines[a:b]) >= 10}
+    gone = {r.id: set(r.gone) for r in line_dedup.deletions(docs_of(spark, texts)).collect()}
+    earlier, deleted = set(), 0
+    for k, text in enumerate(texts):
+        lines, out = text.split("\n"), gone.get(k, set())
+        spans = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1) if sum(len(x.split()) for x in lines[a:b]) >= 10 and tuple(lines[a:b]) in earlier]
+        assert out <= {j for a, b in spans for j in range(a, b)}
+        assert all(out & set(range(a, b)) for a, b in spans)
+        deleted += len(out)
+        earlier |= blocks(lines)
+    assert deleted > 20
+
+
+def test_line_dedup_repeated_lines():
+    """Lines that occur twice on a side anchor no alignment; their blocks go all the same."""
+    assert line_dedup.repeated([7, 1, 8], [9, 1, 5, 1, 6], [1, 12, 1, 12, 1], 10) == [1, 3]
+    assert line_dedup.repeated([1, 7, 1, 2, 8], [9, 1, 2, 6, 1], [1, 12, 3, 1, 12], 10) == [1, 2, 4]
+    assert line_dedup.repeated([], [1], [12], 10) == [] == line_dedup.repeated([1], [], [], 10)
+
+
+def test_line_dedup_replaces_clashing_columns(spark):
+    docs = docs_of(spark, ["a b"]).withColumn("N_lines_before", F.lit("x")).withColumn("n_lines_removed", F.lit(7))
+    row = line_dedup.dedup_lines(docs).select("n_lines_before", "n_lines_removed").first()
+    assert tuple(row) == (1, 0)
+
+
 def test_spread_join(spark, monkeypatch):
     many = spark.createDataFrame([(k % 3 if k < 50 else 7, k) for k in range(100)], "h long, x long")
     one = spark.createDataFrame([(k, 10 * k) for k in range(9)], "h long, y long")
@@ -274,6 +305,23 @@ def test_secret_base_spans(spark):
     assert (row[0].n_assign, row[0].n_access, row[0].n_hex) == (1, 1, 1) and row[1].spans == ""
 
 
+def test_secret_base_spans_brute_force():
+    kinds = (r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", "()AKIA[A-Z0-9]+", "()[0-9a-f]+")
+    rng, total = random.Random(12), 0
+    bits = ["password", "PassWD", "seCret", "token", "api_key", "APIkey", '"', "'", " ", ":", "=", "hunter2hunter2", "short", "AKIA", "ABCDEFGHIJKL", "Z9", "deadbeef" * 4, "0123abc", "\n", "é", "ſ", "K"]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        want = []
+        for kind, (pattern, least) in enumerate(zip(kinds, (8, 16, 32))):
+            for m in re.finditer(pattern, text):
+                if (m.end(1) - m.start(1) if kind == 0 else m.end() - m.start()) >= least:
+                    want.append((m.start(), kind, m.end()))
+        assert sorted(secrets.base_spans(text)) == sorted(want)
+        assert [s for s in secrets.scan(text) if s[1] < 3] == sorted(want)
+        total += len(want)
+    assert total > 500
+
+
 def test_secret_constants_propagate():
     text = 'A = "s3cr3t-Val"\nB = A + "ue99x"\ndb_passphrase = B\ncolor = "s0me-0ther-thing"\n'
     found = {text[a:e] for a, kind, e in secrets.scan(text) if kind == 3}
@@ -298,6 +346,37 @@ def test_decontamination(spark):
     assert decontamination.overlaps(docs_of(spark, texts), bench.limit(0)).count() == 0
 
 
+def brute_stretches(words, item):
+    """``(diagonal, score)`` of every diagonal that a mask hits, by trying every stretch on it."""
+    found = set()
+    for shift in range(-len(item), len(words)):
+        both = [(words[j + shift], item[j]) for j in range(len(item)) if 0 <= j + shift < len(words)]
+        same = [a == b for a, b in both]
+        if any(all(same[k + d] for d, kept in enumerate(m) if kept == "1") for m in decontamination.MASKS for k in range(len(same) - len(m) + 1)):
+            best = max(sum(1 if x else -decontamination.PENALTY for x in same[a:b]) for a in range(len(same)) for b in range(a + 1, len(same) + 1))
+            if best >= decontamination.MIN_SCORE:
+                found.add((shift, best))
+    return found
+
+
+def test_decontamination_brute_force(spark):
+    rng = random.Random(13)
+    items = [[f"w{rng.randrange(400)}" for _ in range(rng.randint(9, 30))] for _ in range(6)]
+    texts = []
+    for _ in range(25):
+        words = [f"w{rng.randrange(400)}" for _ in range(30)]
+        part = list(rng.choice(items))[rng.randint(0, 4) :]
+        for _ in range(rng.randint(0, 3)):
+            part[rng.randrange(len(part))] = "w400"
+        words[10:10] = part * rng.randint(1, 2)
+        texts.append(words)
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    rows = decontamination.overlaps(docs_of(spark, [" ".join(t) for t in texts]), bench).collect()
+    got = {(r.doc_id, r.item_id, r.doc_start - r.item_start, r.matches - decontamination.PENALTY * (r.length - r.matches)) for r in rows}
+    want = {(d, i, *s) for d, t in enumerate(texts) for i, item in enumerate(items) for s in brute_stretches(t, item)}
+    assert got == want and len(want) > 10
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
