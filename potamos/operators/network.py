@@ -133,3 +133,18 @@ def component_summary(lines: DataFrame, nodes: DataFrame, members: DataFrame) ->
         (F.count_if(F.col("grwl_value") == 126) / F.count("*")).alias("coastal_share"),
     )
     return agg.withColumn("is_valid", F.col("has_inlet") & F.col("has_outlet") & (F.col("coastal_share") <= 0.95))
+
+
+def select_components(lines: DataFrame, nodes: DataFrame, members: DataFrame, inside: Column, min_darea: float) -> DataFrame:
+    """Lines of the components worth keeping, with ``component``: at least half of the nodes other than outlets are
+    ``inside``, and the component is valid. One without an outlet gets one at the node that drains most, if that is
+    ``min_darea`` or more."""
+    n = members.select(F.col("node").alias("id"), "component").join(nodes, "id")
+    share = n.where("is_outlet = 0").groupBy("component").agg(F.avg(inside.cast("double")).alias("share")).where("share >= 0.5")
+    here = n.join(share.select("component"), "component", "left_semi")
+    top = here.groupBy("component").agg(F.max("is_outlet").alias("any_outlet"), F.max(F.struct("darea", (-F.col("id")).alias("neg"))).alias("top"))
+    new = (F.col("any_outlet") == 0) & (F.col("top.darea") >= min_darea) & (F.col("id") == -F.col("top.neg"))
+    marked = here.join(top, "component").withColumn("is_outlet", F.when(new, 1).otherwise(F.col("is_outlet"))).drop("component", "any_outlet", "top")
+    valid = component_summary(lines, marked, members).where("is_valid")
+    at = members.select(F.col("node").alias("start_node"), "component").join(valid.select("component"), "component", "left_semi")
+    return lines.join(at, "start_node")

@@ -103,6 +103,18 @@ def _(t):
     return without.groupBy("component").agg(F.max_by("node", F.struct("darea", (-F.col("node")).alias("k"))).alias("node"))
 
 
+@query(
+    "o_r12_select_components",
+    "WITH "
+    + _COMPONENT.format("loose_lines")
+    + ", d AS (SELECT node, count(*) AS n FROM (SELECT start_node AS node FROM loose_lines UNION ALL SELECT end_node FROM loose_lines) e GROUP BY node), s AS (SELECT component FROM comp JOIN nodes ON nodes.id = node WHERE is_outlet = 0 GROUP BY component HAVING sum(CASE WHEN darea > 300 THEN 1 ELSE 0 END) / count(*) >= 0.5), h AS (SELECT component, id, grwl_value, darea, is_outlet, max(is_outlet) OVER (PARTITION BY component) AS any_outlet, row_number() OVER (PARTITION BY component ORDER BY darea DESC, id) AS r FROM comp JOIN nodes ON nodes.id = node WHERE component IN (SELECT component FROM s)), m AS (SELECT component, id, grwl_value, CASE WHEN any_outlet = 0 AND r = 1 AND darea >= 700 THEN 1 ELSE is_outlet END AS is_outlet FROM h), v AS (SELECT component FROM m JOIN d ON d.node = m.id GROUP BY component HAVING bool_or(n = 1 AND is_outlet = 0) AND bool_or(is_outlet = 1) AND sum(CASE WHEN grwl_value = 126 THEN 1 ELSE 0 END) / count(*) <= 0.95) SELECT l.id, c.component FROM loose_lines l JOIN comp c ON c.node = l.start_node WHERE c.component IN (SELECT component FROM v)",
+    ("loose_lines", "nodes"),
+)
+def _(t):
+    """Choosing the networks of a domain: components, their share inside, outlets at confluences, validity."""
+    return N.select_components(t.loose_lines, t.nodes, components(t.loose_lines), F.col("darea") > 300, 700.0).select("id", "component")
+
+
 @query("o_g13_split_interbasin")
 def _(t):
     return K.split_interbasin(t.loose_lines, t.nodes.where("id % 41 = 0").select("id"))
