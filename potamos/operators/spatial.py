@@ -69,6 +69,15 @@ def boxes_holding(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame
     return _bucketed(points, size).join(b, ["bx", "by"]).where("x >= minx AND x < maxx AND y >= miny AND y < maxy").select("id", "box_id")
 
 
+def riverbank_widths(stations: DataFrame, banks: DataFrame, transects: DataFrame, size: float, least: int = 2) -> DataFrame:
+    """``(id, median_width, n_transects)``: stations in a riverbank box with the median width of the transects of their
+    ``reach_id``; stations with fewer than ``least`` go. ``transects`` is ``(reach_id, width)``."""
+    used = stations.join(boxes_holding(stations, banks, size).select("id"), "id", "left_semi").select("id", "reach_id")
+    at = transects.join(used, "reach_id", "left_semi").groupBy("reach_id")
+    widths = at.agg(F.percentile("width", F.lit(0.5)).alias("median_width"), F.count("width").alias("n_transects"))
+    return used.join(widths.where(F.col("n_transects") >= least), "reach_id").select("id", "median_width", "n_transects")
+
+
 def overlapping_boxes(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     """``(a_id, b_id)`` of boxes that share an interior; a pair is reported from the bucket of its lower left corner."""
 

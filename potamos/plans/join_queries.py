@@ -96,6 +96,17 @@ def _(t):
     return P.boxes_holding(t.stations.select("id", (F.col("x") / 100).alias("x"), (F.col("y") / 100).alias("y")), t.domains, 10.0)
 
 
+@query(
+    "o_r23_riverbank_widths",
+    "SELECT s.id, w.median_width, w.n_transects FROM (SELECT id, id + 64 AS reach_id, x / 100 AS x, y / 100 AS y FROM stations) s JOIN (SELECT id, quantile_cont(value, 0.5) AS median_width, count(value) AS n_transects FROM vertices WHERE pos > 1 AND value > 20 GROUP BY id HAVING count(value) >= 2) w ON w.id = s.reach_id WHERE EXISTS (SELECT 1 FROM domains WHERE s.x >= minx AND s.x < maxx AND s.y >= miny AND s.y < maxy)",
+    ("stations", "domains", "vertices"),
+)
+def _(t):
+    at = t.stations.select("id", (F.col("id") + 64).alias("reach_id"), (F.col("x") / 100).alias("x"), (F.col("y") / 100).alias("y"))
+    transects = t.vertices.where("pos > 1 AND value > 20").select(F.col("id").alias("reach_id"), F.col("value").alias("width"))
+    return P.riverbank_widths(at, t.domains, transects, 10.0)
+
+
 _OVER = "a.minx < b.maxx AND b.minx < a.maxx AND a.miny < b.maxy AND b.miny < a.maxy"
 
 
