@@ -32,8 +32,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that repeat a benchmark stretch go."""
-    return decontamination.drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
+    """Documents that repeat a benchmark stretch, or a whole item up to some words, go."""
+    return decontamination.drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"), one_in=decontamination.ONE_IN)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,10 @@ that count; the others may differ. Hashes of all benchmark windows under all mas
 documents are looked up in it, and each hit is verified along its diagonal: equal words score 1, differing ones
 cost ``PENALTY``, and the best-scoring stretch must reach ``MIN_SCORE``.
 
+That score asks too much of short or evenly changed items. With ``one_in``, whole items are looked up too: an item of n
+words is found wherever it is repeated with at most n // ``one_in`` words changed. It is cut into one block more than
+words may change, so one block is left as it was; the blocks' first words are looked up and the hits counted out.
+
 The table is broadcast in blocks of at most ``BLOCK_WORDS`` benchmark words; a larger benchmark takes several passes.
 """
 
@@ -27,6 +31,10 @@ MASKS = ("111010111", "110111011", "101111101")
 MIN_SCORE, PENALTY = 12, 3
 #: Items of fewer words than a mask are looked up by runs of all their words, down to this number.
 MIN_WORDS = 5
+#: One word in so many of a whole item may differ; items of fewer words have to be the same.
+ONE_IN = 5
+#: Words of a block of an item that are looked up, at most.
+BLOCK_SEED = 4
 BLOCK_WORDS = 500_000
 FILTER_BITS = 22
 SCHEMA = "doc_id long, item_id long, doc_start long, item_start long, length long, matches long"
@@ -60,12 +68,14 @@ def windows(h: np.ndarray, mask: str) -> np.ndarray:
 class SeedTable:
     """Benchmark windows by hash, and the items' words for verification."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
+    def __init__(self, items: list[tuple[int, np.ndarray]], one_in: int = 0):
         self.ids = [i for i, _ in items]
         self.words = [w for _, w in items]
         #: masks, and for short items full masks of their length
         self.masks = list(MASKS) + ["1" * n for n in sorted({len(w) for w in self.words if MIN_WORDS <= len(w) < len(MASKS[0])})]
         hashes, owner, at = [], [], []
+        self.one_in = one_in
+        self._add_blocks()
         for k, w in enumerate(self.words):
             for mask in self.masks if len(w) >= len(MASKS[0]) else ["1" * len(w)] * (len(w) >= MIN_WORDS):
                 if len(mask) < len(MASKS[0]) <= len(w):
@@ -82,6 +92,44 @@ class SeedTable:
         self.seen = np.zeros(1 << FILTER_BITS, bool)
         self.seen[(self.hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
+    def _add_blocks(self) -> None:
+        rows: list[tuple[int, int, int]] = []
+        lengths: set[int] = set()
+        for k, w in enumerate(self.words):
+            if self.one_in and len(w):
+                parts = len(w) // self.one_in + 1
+                n = min(BLOCK_SEED, len(w) // parts)
+                lengths.add(n)
+                for start in (j * len(w) // parts for j in range(parts)):
+                    rows.append((int(windows(w[start : start + n], "1" * n)[0]), k, start))
+        self.lengths = sorted(lengths)
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        rows.sort()
+        self.block_hashes = np.array([x for x, _, _ in rows], np.uint64)
+        self.block_owner = np.array([k for _, k, _ in rows], np.int64)
+        self.block_at = np.array([q for _, _, q in rows], np.int64)
+        self.block_seen = np.zeros(1 << FILTER_BITS, bool)
+        self.block_seen[(self.block_hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+
+    def whole(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """``(item number, document position, equal words)`` of all items that are there whole, up to the words that may differ."""
+        found: list[np.ndarray] = []
+        for n in self.lengths:
+            x = windows(h, "1" * n)
+            where = np.flatnonzero(self.block_seen[(x >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+            if len(where):
+                first = np.searchsorted(self.block_hashes, x[where], "left")
+                count = np.searchsorted(self.block_hashes, x[where], "right") - first
+                row = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+                item, shift = self.block_owner[row], np.repeat(where, count) - self.block_at[row]
+                inside = (shift >= 0) & (shift + self.sizes[item] <= len(h))
+                found.append(item[inside] * len(h) + shift[inside])
+        for item, shift in zip(*(a.tolist() for a in np.divmod(np.unique(np.concatenate(found)), len(h)))) if found else ():
+            w = self.words[item]
+            equal = int(np.count_nonzero(h[shift : shift + len(w)] == w))
+            if len(w) - equal <= len(w) // self.one_in:
+                yield item, shift, equal
+
     def hits(self, h: np.ndarray) -> set[tuple[int, int]]:
         """``(item number, document position minus item position)`` of all seed hits."""
         found: set[tuple[int, int]] = set()
@@ -108,7 +156,7 @@ class SeedTable:
         return low + start + shift, low + start, end - start, int(equal[start:end].sum())
 
 
-def seed_tables(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Broadcast]:
+def seed_tables(benchmark: DataFrame, block_words: int = BLOCK_WORDS, one_in: int = 0) -> Iterator[Broadcast]:
     """Broadcast tables of at most about ``block_words`` words each, one after the other."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -116,25 +164,31 @@ def seed_tables(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterato
     for block in range(blocks):
         memo = common.Memo(_normal)
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).dropDuplicates().orderBy("item_id", "text").collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(SeedTable([(r.item_id, word_hashes(r.text.encode(), memo)) for r in rows]))
+        yield benchmark.sparkSession.sparkContext.broadcast(SeedTable([(r.item_id, word_hashes(r.text.encode(), memo)) for r in rows], one_in))
 
 
 def stretches(table: SeedTable, data: bytes, memo: common.Memo) -> Iterator[tuple[int, ...]]:
     memo.trim()
     h = word_hashes(data, memo)
+    done = set()
     for item, shift in sorted(table.hits(h)):
         if (found := table.verify(h, item, shift)) is not None:
+            done.add((item, shift))
             yield (table.ids[item], *found)
+    for item, shift, equal in table.whole(h):
+        if (item, shift) not in done:
+            yield table.ids[item], shift, 0, len(table.words[item]), equal
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document and benchmark stretch it repeats, up to substitutions.
+def overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", one_in: int = 0) -> DataFrame:
+    """One row per document and benchmark stretch it repeats, up to substitutions; with ``one_in`` also per whole item
+    it repeats with at most one word in so many changed, where that is no such stretch.
 
     Texts are scanned whole and never shuffled. Null and empty texts (documents or items) match nothing, as do items
-    of fewer than ``MIN_WORDS`` words; a null id is carried along; repeated documents each get rows; an empty
+    of fewer than ``MIN_WORDS`` words without ``one_in``; a null id is carried along; repeated documents each get rows; an empty
     benchmark or table gives an empty result; other columns are ignored."""
     chosen, found = common.pick(docs, doc_id=id_col, text=text_col), None
-    for shared in seed_tables(benchmark, block_words):
+    for shared in seed_tables(benchmark, block_words, one_in):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             memo = common.Memo(_normal)
@@ -148,9 +202,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WOR
     return found
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, text_col: str = "text", one_in: int = 0) -> DataFrame:
     """The rows of ``docs`` without any overlap, all columns as they are, without a shuffle."""
-    for shared in seed_tables(benchmark, block_words):
+    for shared in seed_tables(benchmark, block_words, one_in):
 
         def clean(texts: list[bytes], shared=shared) -> list[bool]:
             memo = common.Memo(_normal)

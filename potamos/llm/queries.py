@@ -69,9 +69,9 @@ def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .decontamination import overlaps
+    from .decontamination import ONE_IN, overlaps
 
-    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), one_in=ONE_IN)
 
 
 def queries() -> dict:
