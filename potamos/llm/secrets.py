@@ -2,7 +2,8 @@
 
 Source and configuration text is read as assignments: a target name and an expression of literals and names joined
 by ``+``. Names are replaced by the literals they were assigned anywhere in the text (constants propagate through
-any number of steps). Each literal is then scored by the names it reaches: words of the name that mark something
+any number of steps; a name assigned several times stands for each of its values in turn, the others keeping their
+strongest). Each literal is then scored by the names it reaches: words of the name that mark something
 sensitive, words that mark it harmless, and the look of the value.
 """
 
@@ -36,9 +37,9 @@ CUTOFF = 0.75
 #: A text without any of these can't hold an assignment that scores.
 _HINTS = ("pass", "pwd", "secret", "token", "credential", "key", "auth", "bearer", "dsn")
 
-TARGET = re.compile(r"(?<![\w$.-])([\"']?)([A-Za-z_][\w.$-]{0,80})\1[ \t]{0,8}(?::=|=>|(?<![=!<>])=(?!=)|:(?!:))[ \t]{0,8}", re.ASCII)
+TARGET = re.compile(r"(?<![\w$.-])([\"']?)([A-Za-z_][\w.$-]*+)\1[ \t]*+(?::=|=>|(?<![=!<>])=(?!=)|:(?!:))[ \t]*+", re.ASCII)
 PART = re.compile(r"\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|`((?:[^`\\]|\\.)*+)`|([^\s\"'`,;#<>(){}\[\]+&|]+)")
-JOIN = re.compile(r"[ \t]{0,8}\+[ \t\n]{0,8}")
+JOIN = re.compile(r"[ \t]*+\+[ \t\n]*+")
 NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 Span = tuple[int, int, int]
@@ -98,27 +99,38 @@ def literal_spans(text: str) -> list[Span]:
     lower = text.lower()
     if not any(h in lower for h in _HINTS):
         return []
-    found = assignments(text)
-    defined: dict[str, list] = {}
-    for name, parts in found:
-        defined.setdefault(name, parts)
+    groups: dict[str, dict[tuple, list]] = {}  # name: expression: where it stands
+    for name, parts in assignments(text):
+        groups.setdefault(name, {}).setdefault(tuple((value, bare) for value, _, _, bare in parts), []).append(parts)
+    best: dict[str, tuple] = {}
     spans: set[Span] = set()
-    for name, parts in found:
+    for name, expressions in groups.items():
         weight = sensitivity(name)
         if weight <= 0:
             continue
-        literals, work, seen = [], list(reversed(parts)), {name}
-        while work:  # names stand for what they were assigned; a name met before is left out
-            value, start, end, bare = work.pop()
-            known = value.removeprefix("$").strip("{}") if bare else None
-            if known in defined:
-                if known not in seen:
-                    seen.add(known)
-                    work += reversed(defined[known])
-            else:
-                literals.append((value, start, end))
-        if weight + strength("".join(v for v, _, _ in literals)) >= CUTOFF:
-            spans.update((start, 3, end) for _, start, end in literals if end > start)
+        for expression, places in expressions.items():
+            opened: set[str] = set()
+            todo: list[tuple[dict[str, tuple], bool]] = [({}, True), ({}, False)]  # expressions of names; the first of all others, or the strongest
+            while todo:
+                chosen, first = todo.pop()
+                literals, seen = [], {name}
+                work = [(*part, places, k) for k, part in enumerate(expression)][::-1]
+                while work:  # names stand for what they were assigned; a name met before is left out
+                    value, bare, at, k = work.pop()
+                    known = value.removeprefix("$").strip("{}") if bare else None
+                    if known not in groups:
+                        literals.append((value, at, k))
+                    elif known not in seen:
+                        seen.add(known)
+                        if known not in best:
+                            best[known] = max(groups[known], key=lambda e: (strength(v := "".join(x for x, _ in e)), len(v)))
+                        taken = next(iter(groups[known])) if first else chosen.get(known, best[known])
+                        if known not in opened and not first:
+                            opened.add(known)
+                            todo += [(chosen | {known: other}, False) for other in groups[known] if other != taken]
+                        work += [(*part, groups[known][taken], k) for k, part in enumerate(taken)][::-1]
+                if weight + strength("".join(v for v, _, _ in literals)) >= CUTOFF:
+                    spans.update((parts[k][1], 3, parts[k][2]) for _, at, k in literals for parts in at if parts[k][2] > parts[k][1])
     return list(spans)
 
 

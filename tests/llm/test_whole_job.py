@@ -2,7 +2,7 @@
 
 import random
 
-from potamos.llm import decontamination
+from potamos.llm import decontamination, secrets
 
 from .test_operators import docs_of
 
@@ -35,3 +35,22 @@ def test_decontamination_of_whole_items(spark):
         assert (len(texts) - 1, 8, 0) in want - plain
     kept = {r.doc_id for r in decontamination.drop_contaminated(docs, bench, one_in=decontamination.ONE_IN).collect()}
     assert kept == set(range(len(texts) + 2)) - {d for d, _, _ in got}
+
+
+def literals(text):
+    return {text[a:e] for a, kind, e in secrets.scan(text) if kind == 3}
+
+
+def test_secret_assignments_of_any_width():
+    assert literals(f'db_passphrase{" " * 30}={" " * 40}"s3cr3t-Val9"') == {"s3cr3t-Val9"}
+    assert literals(f'{"section." * 40}passphrase: "s3cr3t-Val9"') == {"s3cr3t-Val9"}
+    assert literals('passphrase = "s3cr" +\n' + " " * 24 + '"3t-Val9"') == {"s3cr", "3t-Val9"}
+    wide = "passphrase" + " " * 200_000 + "x" * 200_000 + " " * 200_000
+    assert literals(wide) == set()
+
+
+def test_secret_constants_of_several_assignments():
+    assert literals('k = ""\nk = "r3al-s3cret"\npassphrase = k') == {"r3al-s3cret"}
+    assert literals('k = "changeme"\nj = k\nk = "r3al-s3cret"\npassphrase = j') == {"r3al-s3cret"}
+    assert literals('a = ""\na = "r3al"\nb = ""\nb = "s3cr"\npassphrase = a + b') == {"r3al", "s3cr"}
+    assert literals('k = "f1rst-s3cret"\nk = "s3cond-one"\nk = "th1rd-one"\npassphrase = k') == {"f1rst-s3cret", "s3cond-one", "th1rd-one"}
