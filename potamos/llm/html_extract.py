@@ -28,12 +28,16 @@ UNSEEN = frozenset("script style noscript template svg iframe object canvas audi
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rt rp wbr img input picture map".split())
 #: Start tags that end an open element of the listed names.
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th")}
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th"), "optgroup": ("option", "optgroup")}
+#: Start tags that end an open paragraph in the standard; a hidden one ends by these only.
+CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li listing main menu nav ol p plaintext pre search section summary table ul xmp".split())
 #: What such an end can't reach beyond.
 SCOPES = frozenset("ul ol dl table select html body article section div nav aside main footer header form blockquote".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|itemprop|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute: its name and its value in double, single or no quotes.
+ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
+MARKING = frozenset("class id role aria-label itemprop".split())
 NAME_WORD = re.compile(r"[a-z]+")
 
 
@@ -49,6 +53,7 @@ class Block:
 class _Open:
     tag: str
     marks: frozenset[str] = field(default_factory=frozenset)
+    hidden: bool = False
 
 
 def _attributes(raw: str) -> tuple[frozenset[str], bool]:
@@ -61,7 +66,7 @@ def _attributes(raw: str) -> tuple[frozenset[str], bool]:
             gone = True
         elif name == "style":
             gone = gone or "display:none" in value.replace(" ", "")
-        else:
+        elif name in MARKING:
             words.update(NAME_WORD.findall(value))
     return frozenset(words), gone
 
@@ -71,7 +76,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[_Open] = []
     out: list[Block] = []
     text: list[str] = []
-    linked = hidden = 0
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
@@ -85,7 +90,7 @@ def blocks(page: str) -> list[Block]:
 
     def data(raw: str) -> None:
         nonlocal linked
-        if raw and not hidden:
+        if raw and not any(o.hidden for o in stack):
             text.append(html.unescape(raw) if "&" in raw else raw)
             if any(o.tag == "a" for o in stack):
                 linked += len(text[-1])
@@ -127,7 +132,8 @@ def blocks(page: str) -> list[Block]:
             if tag not in INLINE:
                 flush()
             continue
-        if (tag in UNSEEN or gone) and not raw.rstrip().endswith("/"):
+        closed = raw.rstrip().endswith("/")
+        if tag in UNSEEN and not closed:
             if tag not in INLINE:
                 flush()
             # the text up to the matching end tag is never seen; nested elements of the same name count
@@ -141,25 +147,28 @@ def blocks(page: str) -> list[Block]:
                 at = end.end()
                 depth += -1 if end[1] else nests
             continue
+        gone = gone and not closed
         if tag in INLINE:
-            stack.append(_Open(tag, marks))
+            stack.append(_Open(tag, marks, gone))
             continue
         flush()
         for k in range(len(stack) - 1, -1, -1):  # an open paragraph ends here, with what is open inside it
             if stack[k].tag == "p":
-                del stack[k:]
+                if tag in CLOSES_P or not stack[k].hidden:
+                    del stack[k:]
                 break
             if stack[k].tag not in INLINE:
                 break
         else:
-            stack[:] = [o for o in stack if o.tag not in INLINE]
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k].tag in CLOSES.get(tag, ()):
-                del stack[k:]
-                break
+            stack[:] = [o for o in stack if o.tag not in INLINE or o.hidden]
+        ends = len(stack)
+        for k in range(len(stack) - 1, -1, -1):  # a cell ends with its row, a row with its group
             if stack[k].tag in SCOPES:
                 break
-        stack.append(_Open(tag, marks))
+            if stack[k].tag in CLOSES.get(tag, ()):
+                ends = k
+        del stack[ends:]
+        stack.append(_Open(tag, marks, gone))
     flush()
     return out
 

@@ -2,7 +2,7 @@
 
 import random
 
-from potamos.llm import decontamination, secrets
+from potamos.llm import decontamination, html_extract, secrets
 
 from .test_operators import docs_of
 
@@ -54,3 +54,25 @@ def test_secret_constants_of_several_assignments():
     assert literals('k = "changeme"\nj = k\nk = "r3al-s3cret"\npassphrase = j') == {"r3al-s3cret"}
     assert literals('a = ""\na = "r3al"\nb = ""\nb = "s3cr"\npassphrase = a + b') == {"r3al", "s3cr"}
     assert literals('k = "f1rst-s3cret"\nk = "s3cond-one"\nk = "th1rd-one"\npassphrase = k') == {"f1rst-s3cret", "s3cond-one", "th1rd-one"}
+
+
+def seen(page):
+    return [b.text for b in html_extract.blocks(page)]
+
+
+def test_html_hides_by_the_hidden_attribute_only():
+    for raw in ('href="/hidden-valley"', 'title="The hidden life"', 'data-topic="hidden gems"', 'aria-hidden="false"', "alt='a hidden b'", "href=/hidden", "data-hidden", 'data-style="display:none"', "title='style=display:none'"):
+        assert seen(f"<div>one <a {raw}>two</a> three</div><p {raw}>four</p>") == ["one two three", "four"]
+    for raw in ("hidden", 'class="x"hidden', "HIDDEN=''", 'hidden="until-found"', "style='display: none'", 'title="a>b" hidden'):
+        assert seen(f"<div>one <a {raw}>two</a> three</div><p {raw}>four</p><p>five</p>") == ["one three", "five"]
+
+
+def test_html_hidden_element_without_end_tag():
+    assert seen("<div><p hidden>one<p>two</div>three") == ["two", "three"]
+    assert seen("<ul><li style='display:none'>one<li>two</ul>three") == ["two", "three"]
+    assert seen("<div><p hidden>one <b>x</div>three") == ["three"]
+    assert seen("<div><div hidden>one<div>two</div></div>three</div>four") == ["three", "four"]
+    assert seen("<p hidden>one <my-box>two</my-box> three</p>four") == ["four"]
+    assert seen("<span hidden>one<div>two</div>three</span>four") == ["four"]
+    assert seen("<table><tbody hidden><tr><td>one<tfoot><tr><td>two</table>") == ["two"]
+    assert seen("<table><tr hidden><td>one<td>two<tr><td>three</table>") == ["three"]
