@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .graph import follow, levels
+from .graph import follow, gather, levels
 from .lineage import settle
 
 AROUND8 = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx, dy) != (0, 0)]
@@ -117,7 +117,7 @@ def accumulate(flow: DataFrame) -> DataFrame:
         here = table.where(F.col("level") == level)
         came = waiting.groupBy("start_node").agg(F.sum("n").alias("came"))
         moved = settle(here.join(came, "start_node", "left").select("id", "end_node", (F.coalesce("came", F.lit(0)) + 1).alias("n")))
-        done = moved if done is None else done.unionByName(moved)
+        done = gather(done, moved, level)
         rest = waiting.join(here.select("start_node"), "start_node", "left_anti")
         waiting = settle(rest.unionByName(moved.select(F.col("end_node").alias("start_node"), "n")))
     return flow.select("x", "y", cell_id().alias("id")).join(done.select("id", F.col("n").alias("n_cells")), "id").select("x", "y", "n_cells")

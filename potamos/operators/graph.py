@@ -4,6 +4,7 @@ a round costs a constant number of joins on what is still active."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,6 +16,15 @@ from .lineage import settle
 MAX_ROUNDS = 10_000
 
 
+#: After so many rounds what is done goes to one table, so the plan of a deep network stays small.
+GATHER = 50
+
+
+def gather(done: DataFrame | None, part: DataFrame, rnd: int) -> DataFrame:
+    done = part if done is None else done.unionByName(part)
+    return done if rnd % GATHER else settle(done)
+
+
 def _none(df: DataFrame) -> bool:
     return df.isEmpty()
 
@@ -24,12 +34,12 @@ def levels(lines: DataFrame) -> DataFrame:
     cycles, and for self loops."""
     left = settle(lines.where("start_node <> end_node").select("id", "start_node", "end_node"))
     done = None
-    for level in range(1, MAX_ROUNDS):
+    for level in count(1):  # ends by itself: a round without a ready line is the last
         ready = left.join(left.select(F.col("end_node").alias("start_node")), "start_node", "left_anti")
         ready = settle(ready.select("id", F.lit(level).alias("level")))
         if _none(ready):
             break
-        done = ready if done is None else done.unionByName(ready)
+        done = gather(done, ready, level)
         left = settle(left.join(ready, "id", "left_anti"))
     known = lines.select("id")
     return known.withColumn("level", F.lit(-1)) if done is None else known.join(done, "id", "left").withColumn("level", F.coalesce("level", F.lit(-1)))
@@ -60,7 +70,7 @@ def route(lines: DataFrame, node_values: DataFrame, line_values: DataFrame | Non
         came = arrivals.groupBy("start_node").agg(F.sum("value").alias("came"))
         moved = here.join(came, "start_node", "left").withColumn("line_in", F.col("share") * (F.coalesce("came", F.lit(0.0)) + F.col("own")))
         moved = settle(moved.select("id", "end_node", "line_in", (F.col("line_in") + F.col("line_value")).alias("line_out")))
-        done = moved if done is None else done.unionByName(moved)
+        done = gather(done, moved, level)
         waiting = arrivals.join(here.select("start_node"), "start_node", "left_anti")
         arrivals = settle(waiting.unionByName(moved.select(F.col("end_node").alias("start_node"), F.col("line_out").alias("value"))))
     if done is None:
@@ -234,7 +244,7 @@ def peel_leaves(lines: DataFrame, may_go: DataFrame) -> DataFrame:
     """``(id, round, reversed)``: dangling lines peeled off while their free end and the other end are in ``may_go``
     (nodes), and whether the line pointed towards the leaf."""
     left, done = settle(lines.select("id", "start_node", "end_node")), None
-    for rnd in range(1, MAX_ROUNDS):
+    for rnd in count(1):  # ends by itself: each round takes lines away
         ends = left.select(F.col("start_node").alias("node")).union(left.select("end_node"))
         leaf = ends.groupBy("node").agg(F.count("*").alias("n")).where("n = 1").join(may_go, "node", "left_semi").select("node", F.lit(True).alias("leaf"))
         ok = may_go.select("node").distinct().withColumn("ok", F.lit(True))
@@ -243,7 +253,7 @@ def peel_leaves(lines: DataFrame, may_go: DataFrame) -> DataFrame:
         gone = settle(at.where("(l1 AND o2) OR (l2 AND o1)").select("id", F.lit(rnd).alias("round"), F.coalesce(~F.col("l1"), F.lit(True)).alias("reversed")))
         if _none(gone):
             break
-        done = gone if done is None else done.unionByName(gone)
+        done = gather(done, gone, rnd)
         left = settle(left.join(gone, "id", "left_anti"))
     return left.select("id", F.lit(0).alias("round"), F.lit(False).alias("reversed")).limit(0) if done is None else done
 
