@@ -49,7 +49,8 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: Tokenizers and alignment have no SQL; the tests hold run() against a brute-force version.
+#: Tokenizers and alignment have no SQL; the tests hold run() against the same stages one by one, whose operators
+#: have brute-force tests of their own.
 ORACLE_SQL = None
 
 
