@@ -1,16 +1,21 @@
 """SimHash fingerprints and near-duplicate groups by sharded BK-trees.
 
-Two fingerprints that differ in at most 3 of 64 bits agree in two of five blocks of bits, so each distinct
-fingerprint goes to the ten shards named by its pairs of blocks. A shard is a BK-tree (children keyed by their
-Hamming distance to the parent; a search follows only edges within the radius). Shards come to their tasks with the
-shuffle, not by broadcast: all trees together grow with the corpus. A shard above ``TREE_SIZE`` is split, and its
-parts are searched pair by pair in tasks of their own. Of the links found in a shard those that join nothing new
-are left out, so a group of thousands yields a chain of links and not all its pairs.
+A shard holds the fingerprints that agree in some blocks of bits; where blocks are wide and how many must agree follows
+from the number of fingerprints, so that a shard holds about ``SHARD_SIZE`` of them at every size. Any layout is exact:
+with m blocks, two fingerprints that differ in at most r bits agree in m - r of them, and there is a key for each choice
+of m - r blocks. A shard is a BK-tree (children keyed by their Hamming distance to the parent; a search follows only
+edges within the radius), built and searched for all its fingerprints at once. Shards come to their tasks with the
+shuffle, not by broadcast: all trees together grow with the corpus, and a broadcast would bring every fingerprint to the
+driver. A shard above ``TREE_SIZE`` is split, and the tree of each part goes to the tasks of its own and all later parts. Of the links
+found in a shard those that join nothing new are left out, so a group of thousands yields a chain of links and not all
+its pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -26,43 +31,51 @@ from .common import KEY
 RADIUS = 3
 WORDS = 3
 SEED = 42
-#: Block borders: five blocks, of which any three bits leave two untouched.
-BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
+#: Fingerprints that a shard holds on average, and those that one tree holds at most.
+SHARD_SIZE = 1024
 TREE_SIZE = 8192
 CHUNK = 1 << 15
 
 
 class BkTree:
-    """Metric tree over 64-bit fingerprints under Hamming distance."""
-
-    def __init__(self):
-        self.points: list[int] = []
-        self.edges: list[dict[int, int]] = []
-
-    def add(self, point: int) -> int:
-        new = len(self.points)
-        self.points.append(point)
-        self.edges.append({})
-        node = 0
-        while node != new:
-            node = self.edges[node].setdefault((self.points[node] ^ point).bit_count(), new) if new else new
-        return new
-
-    def near(self, point: int, radius: int) -> Iterator[int]:
-        """Numbers of the points within the radius."""
-        if not self.points:
-            return
-        points, edges, stack = self.points, self.edges, [0]
+    """Metric tree over 64-bit fingerprints under Hamming distance. ``subtrees`` holds ``(point, distances, children)``, a
+    point being named by its place in ``points``."""
+
+    def __init__(self, points: np.ndarray):
+        self.points = points
+        self.subtrees: list[tuple[int, list[int], list[int]]] = []
+        work = [(np.arange(len(points)), -1)] if len(points) else []
+        while work:
+            members, parent = work.pop()
+            number, head, rest = len(self.subtrees), int(members[0]), members[1:]
+            if parent >= 0:
+                self.subtrees[parent][2].append(number)
+            self.subtrees.append((head, [], []))
+            if len(rest):
+                d = np.bitwise_count(points[rest] ^ points[head])
+                order = np.argsort(d, kind="stable")
+                rest, d = rest[order], d[order]
+                borders = np.flatnonzero(np.diff(d)) + 1
+                parts = np.split(rest, borders)
+                self.subtrees[number][1].extend(int(x) for x in d[np.concatenate(([0], borders))[::-1]])
+                work += [(part, number) for part in parts]
+
+    def near(self, asked: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+        """``(number of a point, which of the asked lie within the radius)``. All searches go down the tree together: a
+        node is met once, by those whose way leads over it."""
+        stack = [(0, np.arange(len(asked)))] if self.subtrees and len(asked) else []
         while stack:
-            node = stack.pop()
-            d = (points[node] ^ point).bit_count()
-            if d <= radius:
-                yield node
-            below = edges[node]
-            if len(below) <= 2 * radius + 1:
-                stack += [c for k, c in below.items() if d - radius <= k <= d + radius]
-            else:
-                stack += [below[k] for k in range(d - radius, d + radius + 1) if k in below]
+            node, who = stack.pop()
+            head, distances, children = self.subtrees[node]
+            d = np.bitwise_count(asked[who] ^ self.points[head]).astype(np.int16)
+            hit = who[d <= radius]
+            if len(hit):
+                yield head, hit
+            if children:
+                low, high = int(d.min()) - radius, int(d.max()) + radius
+                for k, child in zip(distances, children):
+                    if low <= k <= high and len(go := who[np.abs(d - k) <= radius]):
+                        stack.append((child, go))
 
 
 class Forest:
@@ -109,45 +122,81 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return common.map_batches(chosen, run, "late boolean, id long, th long, doc_id long, fp long")
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
+def layout(n: int, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> list[list[tuple[int, int]]]:
+    """The keys for ``n`` fingerprints: for each the ``(first bit, bits)`` of its blocks. The fewest blocks are taken whose
+    keys are long enough to leave about ``shard_size`` fingerprints to a shard."""
+    need = max(1, round(log2(max(2.0, n / shard_size))))
+    for m in range(radius + 1, 33):
+        width, chosen = 64 // m, m - radius
+        if width * chosen >= need or m == 2 * radius + 2:
+            bits = min(width, -(-need // chosen))
+            return [[(block * width, bits) for block in key] for key in combinations(range(m), chosen)]
+    raise ValueError("the radius is too large for blocks")
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE, shard_size: int = SHARD_SIZE) -> DataFrame:
     """Links ``(src, dst)`` between distinct fingerprints, enough to connect whatever is within the radius."""
-    if radius > len(BLOCKS) - 2:
-        raise ValueError("the blocks only cover a radius of 3")
-    block = [F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1) for a, b in BLOCKS]
-    keys = [F.struct(F.lit(i * 8 + j).alias("p"), block[i].alias("x"), block[j].alias("y")) for i in range(len(BLOCKS)) for j in range(i)]
-    rows = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.p", "k.x", "k.y")
-    large = rows.groupBy("p", "x", "y").agg(F.count("*").alias("n")).where(F.col("n") > tree_size)
-    large = large.withColumn("parts", F.ceil(F.col("n") / tree_size).cast("int")).drop("n")
-    rows = rows.join(large, ["p", "x", "y"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"), F.lit(0)))
+    keys = []
+    for p, key in enumerate(layout(distinct.count(), radius, shard_size)):
+        value, at = F.lit(0).cast("long"), 0
+        for first, bits in key:
+            value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", first).bitwiseAND((1 << bits) - 1), at))
+            at += bits
+        keys.append(F.struct(F.lit(p).alias("p"), value.alias("x")))
+    rows = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.p", "k.x")
+    large = rows.groupBy("p", "x").agg(F.count("*").alias("n")).where(F.col("n") > tree_size)
+    large = common.settle(large.select("p", "x", F.ceil(F.col("n") / tree_size).cast("int").alias("parts")))
+    if not large.isEmpty():
+        rows = rows.join(large, ["p", "x"], "left")
+    else:
+        rows = rows.withColumn("parts", F.lit(1))
     # part i meets part j >= i in the task (i, j); rows of the first part build the tree
-    other = F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)
-    rows = rows.select("p", "x", "y", "fp", "part", F.explode(other).alias("o"))
-    rows = rows.select("p", "x", "y", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), (F.col("part") > F.col("o")).alias("asks"), "fp")
-    shard = ["p", "x", "y", "i", "j"]
+    parts = F.coalesce("parts", F.lit(1))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("fp"), parts).cast("int"))
+    rows = rows.select("p", "x", "fp", "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("o"))
+    rows = rows.select("p", "x", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), (F.col("part") > F.col("o")).alias("asks"), "fp")
+    shard = ["p", "x", "i", "j"]
     dealt = rows.repartition(*shard).sortWithinPartitions(*shard, "asks", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, tree, forest = None, BkTree(), Forest()
+        here, fps, asks = None, [], []
         for batch in batches:
-            src, dst = [], []
-            columns = [batch.column(k).to_pylist() for k in range(7)]
-            for p, x, y, i, j, asks, signed in zip(*columns):
-                if here != (p, x, y, i, j):
-                    here, tree, forest = (p, x, y, i, j), BkTree(), Forest()
-                fp = signed & 0xFFFFFFFFFFFFFFFF
-                for node in tree.near(fp, radius):
-                    found = tree.points[node]
-                    if forest.join(found, fp):
-                        src.append(found)
-                        dst.append(fp)
-                if not asks:
-                    tree.add(fp)
-            as_signed = [pa.array(np.array(c, "<u8").view("<i8")) for c in (src, dst)]
-            yield pa.RecordBatch.from_arrays(as_signed, names=["src", "dst"])
+            names = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)], axis=1)
+            late, fp = batch.column(4).to_numpy(zero_copy_only=False), batch.column(5).to_numpy().view(np.uint64)
+            borders = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
+            for start, stop in zip([0, *borders.tolist()], [*borders.tolist(), len(names)]):
+                name = tuple(names[start].tolist())
+                if name != here:
+                    if here is not None:
+                        yield from joined(np.concatenate(fps), np.concatenate(asks), radius)
+                    here, fps, asks = name, [], []
+                fps.append(fp[start:stop])
+                asks.append(late[start:stop])
+        if here is not None:
+            yield from joined(np.concatenate(fps), np.concatenate(asks), radius)
 
     return dealt.mapInArrow(run, "src long, dst long")
 
 
+def joined(fp: np.ndarray, asks: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
+    """Links inside a shard, or between its parts where some rows only ask; nothing that is joined already."""
+    if len(fp) < 2:
+        return
+    first = int(np.count_nonzero(~asks))  # rows that build the tree come first
+    label, src, dst = np.arange(len(fp)), [], []
+    asked = fp[first:] if first < len(fp) else fp
+    shift = first if first < len(fp) else 0
+    for point, hit in BkTree(fp[:first]).near(asked, radius):
+        names, who = np.unique(label[hit + shift], return_index=True)
+        new = names != label[point]
+        if new.any():
+            src.append(np.full(int(new.sum()), fp[point]))
+            dst.append(asked[hit[who[new]]])
+            label[np.isin(label, names[new])] = label[point]
+    if src:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in (src, dst)], names=["src", "dst"])
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` per input row; component_id is the smallest doc_id reachable over
     fingerprints that differ in at most ``radius`` bits.
@@ -170,13 +219,13 @@ def _grouped(marked: DataFrame, radius: int, tree_size: int) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that come first in their group (smallest doc_id, null ids last), all columns as they are;
-    of repeated rows one stays."""
+    """The rows of ``docs`` that come first in their group (smallest doc_id, null ids last), all columns as they are
+    whatever their names; of rows equal in id and text one stays. Null and empty texts are one group; an empty table
+    gives an empty result."""
     grouped = _grouped(common.settle(fingerprints(docs, id_col, text_col)), radius, tree_size)
-    heads = grouped.where(F.struct(*KEY) == F.col("head")).groupBy(*KEY).agg(F.count("*").alias("__copies"))
-    heads = heads.select(F.col("late").alias("__late"), F.col("id").alias("__id"), F.col("th").alias("__th"), "__copies")
-    named = [c.alias(f"__{k}") for k, c in zip(KEY, common.row_key(id_col, text_col))]
-    joined = docs.select("*", *named).join(heads, ["__late", "__id", "__th"])
+    heads = grouped.where(F.struct(*KEY) == F.col("head")).groupBy("head").agg(F.count("*").alias("copies"))
+    # input columns travel inside a struct, so none can clash with those added here
+    joined_rows = docs.select(F.struct(*docs.columns).alias("row"), F.struct(*common.row_key(id_col, text_col)).alias("head")).join(heads, "head")
     # only where a kept row is repeated do texts take part in an aggregation
-    single = joined.where("__copies = 1").select(*docs.columns)
-    return single.unionByName(joined.where("__copies > 1").dropDuplicates(["__late", "__id", "__th"]).select(*docs.columns))
+    single = joined_rows.where("copies = 1").select("row.*")
+    return single.unionByName(joined_rows.where("copies > 1").dropDuplicates(["head"]).select("row.*"))
