@@ -1,10 +1,13 @@
 """Secret scans by assignment-aware lexing.
 
-Source and configuration text is read as assignments: a target name and an expression of literals and names joined
-by ``+``. Names are replaced by the literals they were assigned anywhere in the text (constants propagate through
-any number of steps; a name assigned several times stands for each of its values in turn, the others keeping their
-strongest). Each literal is then scored by the names it reaches: words of the name that mark something
-sensitive, words that mark it harmless, and the look of the value.
+Source and configuration text is read as pairs of a target name and a value. Targets come from assignments of all common
+forms (``=``, ``:=``, ``=>``, ``:``, with type annotations, subscripts and braced initialisers), ``#define``, command-line
+flags, XML elements and attributes, and ``name``/``value`` entries. Values are literals (quoted in one, three or back
+quotes, with prefixes; YAML blocks; here-documents) and names, joined by ``+``, by standing side by side or inside
+brackets; names inside interpolated strings count as names. Names are replaced by the literals they were assigned anywhere
+in the text (constants propagate through any number of steps; a name assigned several times stands for each of its values
+in turn, the others keeping their strongest). Each literal is then scored by the names it reaches: words of the name that
+mark something sensitive, words that mark it harmless, and the look of the value.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -37,12 +41,26 @@ CUTOFF = 0.75
 #: A text without any of these can't hold an assignment that scores.
 _HINTS = ("pass", "pwd", "secret", "token", "credential", "key", "auth", "bearer", "dsn")
 
-TARGET = re.compile(r"(?<![\w$.-])([\"']?)([A-Za-z_][\w.$-]*+)\1[ \t]*+(?::=|=>|(?<![=!<>])=(?!=)|:(?!:))[ \t]*+", re.ASCII)
-PART = re.compile(r"\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|`((?:[^`\\]|\\.)*+)`|([^\s\"'`,;#<>(){}\[\]+&|]+)")
-JOIN = re.compile(r"[ \t]*+\+[ \t\n]*+")
+TARGET = re.compile(r"(?<![\w$.-])-*+([\"']?)([A-Za-z_][\w.$-]*+)\1(?:\[[^\[\]\n\"']*+\]|\])?+[ \t]*+(?::=|=>|(?<![=!<>])=(?!=)|:(?!:)|(?=\{[ \t\n]*+[\"']))[ \t]*+", re.ASCII)
+#: What follows the colon of an annotated name up to its value.
+ANNOTATION = re.compile(r"[A-Za-z_][\w. \t\[\],|?]*+=(?![=>])[ \t]*+", re.ASCII)
+DEFINE = re.compile(r"^[ \t]*+#[ \t]*+define[ \t]++([A-Za-z_]\w*+)[ \t]++", re.M | re.ASCII)
+FLAG = re.compile(r"(?<![\w-])--([A-Za-z][\w-]*+)[ \t]++(?=[^\s-])", re.ASCII)
+ELEMENT = re.compile(r"<([A-Za-z_][\w:.-]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>([^<]*+)(?=(</)?)", re.ASCII)
+XML_ATTRIBUTE = re.compile(r"([\w:.-]+)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)')", re.ASCII)
+NAMING, VALUED = ("key", "name", "id", "property"), ("value", "content", "default")
+OPENED = re.compile(r"([fFrRbBuU]{0,2})(\"{3}|'{3}|[\"'`])")
+CLOSED = {'"': re.compile(r"((?:[^\"\\\n]|\\.)*+)\""), "'": re.compile(r"((?:[^'\\\n]|\\.)*+)'"), "`": re.compile(r"((?:[^`\\]|\\.)*+)`", re.S)}
+HELD_BY_BRACES, HELD_BY_DOLLAR = re.compile(r"\{([A-Za-z_][\w.]*+)\}", re.ASCII), re.compile(r"\$(?:\{([A-Za-z_]\w*+)\}|([A-Za-z_]\w*+))", re.ASCII)
+BARE = re.compile(r"[^\s\"'`,;#<>(){}\[\]+&|]+")
+BLANK, WIDE = re.compile(r"(?:[ \t]|\\\r?\n)*+"), re.compile(r"\s*+")
+YAML_BLOCK = re.compile(r"[|>][+-]?[0-9]?[+-]?[ \t]*+(?:#[^\n]*+)?\r?\n")
+HERE = re.compile(r"<<[-~]?[ \t]*+([\"']?)([A-Za-z_]\w*+)\1[^\n]*+\n", re.ASCII)
+BRACKETS = {"(": ")", "[": "]", "{": "}"}
 NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 Span = tuple[int, int, int]
+Part = tuple[str, int, int, bool]  # value, start, end, whether it may be a name
 
 
 def base_spans(text: str) -> list[Span]:
@@ -57,23 +75,143 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def assignments(text: str) -> list[tuple[str, list[tuple[str, int, int, bool]]]]:
-    """``(target, parts)`` with parts ``(value, start, end, bare)`` in order; a bare part may be a name."""
-    found = []
-    for m in TARGET.finditer(text):
-        at, parts = m.end(), []
-        while (part := PART.match(text, at)) is not None:
-            group = part.lastindex
-            if group is None:
-                break
-            parts.append((part[group], part.start(group), part.end(group), group == 4))
-            more = JOIN.match(text, part.end())
-            if more is None:
+class Source:
+    """A text being read; line ends are looked up, not searched, so a text of many open blocks stays linear."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self._lines: dict[str, list[int]] | None = None
+
+    def line_of(self, word: str, at: int) -> int | None:
+        """Where the first line from ``at`` on starts that holds nothing but ``word``."""
+        if self._lines is None:
+            self._lines, start = {}, 0
+            for line in self.text.split("\n"):
+                stripped = line.strip()
+                if stripped and len(stripped) <= 64:
+                    self._lines.setdefault(stripped, []).append(start)
+                start += len(line) + 1
+        places = self._lines.get(word, [])
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else None
+
+    def string(self, at: int) -> tuple[list[Part], int] | None:
+        """The parts of a quoted literal that starts here, and where it ends."""
+        text, m = self.text, OPENED.match(self.text, at)
+        if m is None:
+            return None
+        prefix, quote, start = m[1], m[2], m.end()
+        if len(quote) == 3:
+            end = text.find(quote, start)
+            if end < 0:
+                return None
+            after = end + 3
+        elif (body := CLOSED[quote].match(text, start)) is not None:
+            end, after = body.end(1), body.end()
+        else:
+            return None
+        inner = HELD_BY_BRACES if "f" in prefix.lower() else HELD_BY_DOLLAR if quote[0] != "'" else None
+        parts, last = [], start
+        for held in inner.finditer(text, start, end) if inner else ():
+            parts += [(text[last : held.start()], last, held.start(), False)] * (held.start() > last)
+            parts.append((f"${{{held[1] or held[2]}}}", held.start(), held.end(), True))
+            last = held.end()
+        if last < end or not parts:
+            parts.append((text[last:end], last, end, False))
+        return parts, after
+
+    def block(self, at: int, target: int) -> list[Part] | None:
+        """A YAML block or here-document whose mark stands here."""
+        text = self.text
+        if (m := YAML_BLOCK.match(text, at)) is not None:
+            line = text.rfind("\n", 0, target) + 1
+            depth, lines, start = target - line - len(text[line:target].lstrip(" \t-")), [], m.end()
+            first = last = None
+            while start < len(text):
+                end = text.find("\n", start)
+                end = len(text) if end < 0 else end
+                stripped = text[start:end].strip()
+                indent = len(text[start:end]) - len(text[start:end].lstrip())
+                if stripped and indent <= depth:
+                    break
+                if stripped:
+                    first, last = (start + indent if first is None else first), start + indent + len(stripped)
+                    lines.append(stripped)
+                start = end + 1
+            return [("\n".join(lines), first, last, False)] if lines else None
+        if (m := HERE.match(text, at)) is not None and (end := self.line_of(m[2], m.end())) is not None:
+            body = text[m.end() : end]
+            return [(body.strip(), m.end(), max(m.end(), end - 1), False)] if body.strip() else None
+        return None
+
+    def values(self, at: int) -> list[list[Part]]:
+        """The expressions that start here, as their parts: one, or one for each element inside brackets."""
+        text, out, parts, closers = self.text, [], [], []
+        wanted = True  # a part may come; side by side only strings do
+        while True:
+            at = (WIDE if closers else BLANK).match(text, at).end()
+            c = text[at : at + 1]
+            if c and c in BRACKETS and wanted and not parts:
+                closers.append(BRACKETS[c])
+                at += 1
+            elif closers and c == closers[-1]:
+                closers.pop()
+                at, wanted = at + 1, False
+            elif closers and c == ",":
+                out.append(parts)
+                parts, wanted, at = [], True, at + 1
+            elif c == "+" and parts and not wanted:
+                at, wanted = WIDE.match(text, at + 1).end(), True
+            elif (found := self.string(at)) is not None:
+                parts, at, wanted = parts + found[0], found[1], False
+                if closers and text[WIDE.match(text, at).end() :][:1] in (":", "="):
+                    return []  # a mapping, whose names are targets of their own
+            elif wanted and (m := BARE.match(text, at)) is not None:
+                if text[m.end() : m.end() + 1] == "(":
+                    break  # what a call gives isn't written here
+                if closers and m[0].endswith((":", "=")):
+                    return []
+                parts, at, wanted = [*parts, (m[0], at, m.end(), True)], m.end(), False
+            else:
                 break
-            at = more.end()
-        if parts:
-            found.append((m[2], parts))
-    return found
+        out.append(parts)
+        return [x for x in out if x]
+
+    def elements(self) -> list[tuple[int, str, list[Part]]]:
+        """Targets and values of XML elements and their attributes."""
+        found = []
+        for m in ELEMENT.finditer(self.text):
+            named: dict[str, tuple[str, int, int]] = {}
+            for x in XML_ATTRIBUTE.finditer(self.text, m.start(2), m.end(2)):
+                group = 2 if x[2] is not None else 3
+                named.setdefault(x[1].lower(), (x[group], x.start(group), x.end(group)))
+            target = next((named[k][0] for k in NAMING if k in named), None)
+            for k in VALUED:
+                if target is not None and k in named:
+                    found.append((m.start(), target, [(*named[k], False)]))
+            body = m[3].strip()
+            if body and m[4] and not m[2].endswith("/"):
+                start = m.start(3) + len(m[3]) - len(m[3].lstrip())
+                found.append((m.start(), target if target is not None else m[1].rsplit(":", 1)[-1], [(body, start, start + len(body), False)]))
+        return found
+
+
+def assignments(text: str) -> list[tuple[str, list[Part]]]:
+    """``(target, parts)`` in order of the targets; a bare part may be a name."""
+    source, found = Source(text), []
+    for m in TARGET.finditer(text):
+        at = m.end()
+        if text[m.start() : at].rstrip().endswith(":") and (typed := ANNOTATION.match(text, at)) is not None:
+            at = typed.end()
+        block = source.block(at, m.start())
+        found += [(m.start(), m[2], parts) for parts in ([block] if block else source.values(at))]
+    for pattern in (DEFINE, FLAG):
+        found += [(m.start(), m[1], parts) for m in pattern.finditer(text) for parts in source.values(m.end())]
+    found.sort(key=lambda x: x[0])
+    entries = [(here[0], here[2][0][0], after[2]) for here, after in zip(found, found[1:]) if here[1].lower() in ("name", "key") and after[1].lower() == "value" and len(here[2]) == 1]
+    if "<" in text:
+        entries += source.elements()
+    return [(name, parts) for _, name, parts in sorted(found + entries, key=lambda x: x[0])]
 
 
 def sensitivity(name: str) -> float:
@@ -87,6 +225,8 @@ def sensitivity(name: str) -> float:
 def strength(value: str) -> float:
     """How much a value looks like a secret, from its length, mixture and entropy."""
     n = len(value)
+    if "PRIVATE KEY-----" in value:
+        return 0.3
     if n < 6 or PLACEHOLDER.search(value):
         return -1.0
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
