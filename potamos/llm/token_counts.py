@@ -2,8 +2,9 @@
 
 A BPE vocabulary is compiled, lazily, into a deterministic transducer over bytes. Its states are the sets of
 tokens that may still be completed, each with the token before it; a transition carries how many tokens the
-prefix gained. Text is counted in chunks: each chunk is summarised by a state map (what it does to whatever
-state it is entered in), and the maps compose associatively in a parallel-prefix tree.
+prefix gained. Text is counted in chunks. Each chunk is a state map: it takes the state that the machine is in when it
+enters the chunk (the kind of word that is open, the transducer's state, the byte held back) to the state on exit and the
+tokens emitted on the way. Maps compose associatively, and a parallel prefix scan composes them in pairs of pairs.
 
 Why the states are exact: a sequence is the BPE encoding of its text exactly if each pair of neighbours is the
 encoding of its own text. So every prefix of a word has one last token, and the one for the next byte is the
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -23,13 +25,15 @@ from pyspark.sql import DataFrame
 from . import common
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-#: ASCII white space: separates words in every part of the lexer, so a chunk map is constant beyond its first one.
-SPACE = b" \t\n\r\x0b\x0c"
-CHUNK_BYTES = 1 << 16
+#: Chunks end at the first place from here on where neither a character, a special string nor a contraction is cut.
+CHUNK_BYTES = 1 << 14
 #: States kept by one worker before the transducer is compiled anew.
 MAX_STATES = 200_000
 INFINITE = float("inf")
+#: ASCII white space ends words in every part of the lexer.
 _EDGE = regex.compile(rb"[ \t\n\r\x0b\x0c]")
+#: The one form of word pattern that is compiled: contractions, letters, single digits, other symbols.
+LEXER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def byte_symbols() -> dict[str, int]:
@@ -147,11 +151,7 @@ class BpeTransducer:
                 here = (token, count + 1)
         token, count = here
         key = tuple((n, b, c - count) for n, b, c in live) + ((0, token, 0),)
-        target = self.index.get(key)
-        if target is None:
-            target = self.index[key] = len(self.states)
-            self.states.append(key)
-            self.step.append({})
+        target = self.enter(key)
         out = self.step[state][byte] = (target, count)
         return out
 
@@ -164,6 +164,32 @@ class BpeTransducer:
                 return count + 1
         raise ValueError("no token completes the word")
 
+    def enter(self, key: tuple) -> int:
+        """The number of the state that ``key`` stands for; keys outlive ``reset``."""
+        state = self.index.get(key)
+        if state is None:
+            state = self.index[key] = len(self.states)
+            self.states.append(key)
+            self.step.append({})
+        return state
+
+    def advance(self, key: tuple | None, word: bytes) -> tuple[tuple, int]:
+        """State and tokens gained after the bytes of an unfinished word, from a state or from a word's start."""
+        state, total = 0 if key is None else self.enter(key), 0
+        for b in word:
+            move = self.step[state].get(b)
+            if move is None:
+                move = self._advance(state, b)
+            state = move[0]
+            total += move[1]
+        return self.states[state], total
+
+    def closed(self, key: tuple, last: int) -> int:
+        """Tokens gained by the last byte of a word."""
+        state = self.enter(key)
+        gained = self.step[state].get(256 + last)
+        return self._finish(state, last) if gained is None else gained
+
     def count(self, word: bytes) -> int:
         """Tokens of one pre-token: the sum over its transitions, the last one closing the word."""
         step, state, total = self.step, 0, 0
@@ -177,6 +203,53 @@ class BpeTransducer:
         return total + (self._finish(state, word[-1]) if gained is None else gained)
 
 
+#: What is open between two chunks: the kind of word (letters or symbols), what the transducer's state stands for, and
+#: the byte held back, as it may be the word's last. Nothing open is None.
+State = tuple[str, tuple, int] | None
+
+
+class ChunkMap:
+    """What a stretch of text does to the state it is entered in: ``at(state)`` is the state on exit and the tokens
+    emitted. Evaluated for the states that occur and remembered; two maps are equal if they do the same to all of them."""
+
+    def __init__(self, step: Callable[[State], tuple[State, int]]):
+        self.step = step
+        self.seen: dict[State, tuple[State, int]] = {}
+
+    def at(self, state: State) -> tuple[State, int]:
+        if state not in self.seen:
+            self.seen[state] = self.step(state)
+        return self.seen[state]
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, ChunkMap) and all(self.at(s) == other.at(s) for s in {None, *self.seen, *other.seen})
+
+    __hash__ = None
+
+
+def scan(maps: list, compose: Callable) -> list:
+    """All inclusive prefixes under an associative ``compose``: pairs are composed side by side, the pairs scanned, and
+    the places between filled in; the depth is logarithmic."""
+    if len(maps) < 2:
+        return list(maps)
+    inner = scan([compose(a, b) for a, b in zip(maps[::2], maps[1::2])], compose)
+    out = [maps[0]]
+    for k in range(1, len(maps)):
+        out.append(inner[k // 2] if k % 2 else compose(inner[k // 2 - 1], maps[k]))
+    return out
+
+
+@lru_cache(maxsize=1)
+def seconds() -> frozenset[str]:
+    """Characters that normalisation may join to the one before them, besides combining marks."""
+    found = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for c in range(0x80, 0x30000):
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            found.add(chr(int(parts[1], 16)))
+    return frozenset(found)
+
+
 class TextCounter:
     """Counts whole texts: normalises and lexes units between ASCII spaces, and composes chunk maps."""
 
@@ -186,18 +259,24 @@ class TextCounter:
         self.machine = BpeTransducer(spec)
         added = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
+        self.added = [t.encode() for t in added]
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        if split != LEXER:
+            raise ValueError("unknown word pattern")
         self.lexer = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
+        self.letter = regex.compile(r"\p{L}")
+        self.other = regex.compile(r"[^\p{White_Space}\p{L}\p{N}]")
         self.memo = common.Memo(self._unit)
         self.words = common.Memo(lambda word: self.machine.count(word.encode()))
 
+    def _normal(self, text: str) -> str:
+        if text.isascii():
+            return text.lower()
+        text = unicodedata.normalize("NFC", text)
+        return "".join(c.lower() for c in text)  # one by one: without rules for a word's last letter
+
     def _plain(self, text: str) -> int:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            text = "".join(c.lower() for c in text)  # one by one: without rules for a word's last letter
-        else:
-            text = text.lower()
-        return sum(map(self.words.__getitem__, self.lexer.findall(text)))
+        return sum(map(self.words.__getitem__, self.lexer.findall(self._normal(text))))
 
     def _unit(self, unit: bytes) -> int:
         text = unit.decode("utf-8", "replace")
@@ -205,31 +284,93 @@ class TextCounter:
             return self._plain(text)
         return n + sum(self._plain(part) for part in self.special.split(text) if part)
 
-    def chunk_map(self, chunk: bytes) -> tuple[bytes, int, bytes | None]:
-        """The state map of a chunk, as (head, count, tail). Whatever unit is open on entry is continued by
-        ``head``; after the first space the map is constant: ``count`` tokens, and ``tail`` open on exit.
-        A chunk without a space has tail None: it only continues the open unit."""
+    def close(self, state: State) -> int:
+        """Tokens emitted when the open word ends here."""
+        return 0 if state is None else self.machine.closed(state[1], state[2])
+
+    def feed(self, state: State, data: bytes) -> tuple[State, int]:
+        """The state map of bytes without ASCII white space, applied to one state."""
+        text, total = data.decode("utf-8", "replace"), 0
+        parts = self.special.split(text) if self.special else [text]
+        for k, part in enumerate(parts):
+            if k:  # a special string ends the open word and is one token
+                total, state = total + self.close(state) + 1, None
+            part, at = self._normal(part), 0
+            for m in self.lexer.finditer(part):
+                word = m[0]
+                contraction = word[0] == "'" and len(word) > 1 and word[1].isalpha()
+                kind = "" if contraction else "letters" if self.letter.match(word) else "symbols" if self.other.match(word) else ""
+                raw = word.encode()
+                if state is not None and (m.start() > at or kind != state[0]):
+                    total, state = total + self.close(state), None
+                at = m.end()
+                if not kind:  # contractions and digits are whole words
+                    total += self.words[word]
+                elif state is None and at < len(part):
+                    total += self.words[word]
+                else:
+                    key, emitted = self.machine.advance(None, raw[:-1]) if state is None else self.machine.advance(state[1], bytes([state[2]]) + raw[:-1])
+                    state, total = (kind, key, raw[-1]), total + emitted
+            if at < len(part):  # white space beyond ASCII
+                total, state = total + self.close(state), None
+        return state, total
+
+    def chunk_map(self, chunk: bytes) -> ChunkMap:
+        """Up to its first space a chunk continues what is open; what comes after is the same for every state."""
         first = _EDGE.search(chunk)
         if first is None:
-            return chunk, 0, None
-        last = max(chunk.rfind(s) for s in (SPACE[k : k + 1] for k in range(len(SPACE))))
-        return chunk[: first.start()], sum(map(self.memo.__getitem__, chunk[first.start() : last].split())), chunk[last + 1 :]
+            return ChunkMap(lambda state: self.feed(state, chunk) if chunk else (state, 0))
+        last = max(chunk.rfind(s) for s in (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c"))
+        middle = sum(map(self.memo.__getitem__, chunk[first.start() : last].split()))
+        exit_state, after = self.feed(None, chunk[last + 1 :])
+
+        def step(state: State) -> tuple[State, int]:
+            open_state, before = self.feed(state, chunk[: first.start()]) if first.start() else (state, 0)
+            return exit_state, before + self.close(open_state) + middle + after
 
-    def compose(self, a: tuple, b: tuple) -> tuple:
+        return ChunkMap(step)
+
+    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
         """Associative composition of two neighbouring chunk maps."""
-        if a[2] is None:
-            return a[0] + b[0], b[1], b[2]
-        if b[2] is None:
-            return a[0], a[1], a[2] + b[0]
-        middle = a[2] + b[0]
-        return a[0], a[1] + b[1] + (self.memo[middle] if middle else 0), b[2]
+
+        def step(state: State) -> tuple[State, int]:
+            between, first = a.at(state)
+            after, second = b.at(between)
+            return after, first + second
+
+        return ChunkMap(step)
+
+    def _may_cut(self, data: bytes, at: int) -> bool:
+        """Whether what follows can be normalised, lexed and searched for special strings on its own."""
+        if _EDGE.match(data, at):
+            return True
+        if data[at] & 0xC0 == 0x80 or b"'" in data[max(0, at - 3) : at + 1]:
+            return False
+        if data[at] >= 0x80:
+            char = data[at : at + 4].decode("utf-8", "ignore")[:1]
+            if not char or unicodedata.combining(char) or char in seconds():
+                return False
+        return all(data.find(t, max(0, at - len(t) + 1), at + len(t) - 1) < 0 for t in self.added)
+
+    def chunks(self, data: bytes) -> list[bytes]:
+        out, start = [], 0
+        while len(data) - start > CHUNK_BYTES:
+            at = start + CHUNK_BYTES
+            while at < len(data) and not self._may_cut(data, at):
+                at += 1
+            out.append(data[start:at])
+            start = at
+        return [*out, data[start:]]
 
     def count(self, data: bytes) -> int:
-        maps = [self.chunk_map(data[k : k + CHUNK_BYTES]) for k in range(0, len(data), CHUNK_BYTES)] or [(b"", 0, None)]
-        while len(maps) > 1:
-            maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-        head, total, tail = maps[0]
-        return total + sum(self.memo[unit] for unit in (head, tail) if unit)
+        if len(data) <= CHUNK_BYTES:  # one chunk, entered with nothing open
+            return sum(map(self.memo.__getitem__, data.split()))
+        maps = []
+        for chunk in self.chunks(data):
+            maps.append(self.chunk_map(chunk))
+            self.trim()
+        state, total = scan(maps, self.compose)[-1].at(None)
+        return total + self.close(state)
 
     def trim(self) -> None:
         self.memo.trim()
