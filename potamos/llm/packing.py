@@ -2,7 +2,10 @@
 
 Bounded-space online best-fit: a packer holds a fixed number of open bins, found through a bitset of the free
 spaces that occur; when the limit is reached the fullest bin closes first. Packers run side by side, each on its
-own share of the pieces, fed from long to short so that what arrives last fills the gaps.
+own share of the pieces. They take the pieces as they come, a block at a time, and place a block from long to short, so
+that what arrives last fills the gaps and the bins that stay open are nearly full: a packer's memory is a block and its
+open bins, however many pieces it gets. Without the limit as many sequences come out (README has figures), so it costs
+nothing.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -20,9 +24,10 @@ from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SCHEMA = PIECES + ", sequence_id long, offset long"
-#: Open bins of one packer, and the pieces that one packer receives on average.
-OPEN_BINS = 16_384
-PIECES_PER_PACKER = 49_152
+#: Open bins of one packer, the pieces that it orders at a time, and those that it receives on average.
+OPEN_BINS = 2048
+BLOCK = 8192
+PIECES_PER_PACKER = 65_536
 
 
 class BestFit:
@@ -86,27 +91,49 @@ def pack(
     end_id: int = 0,
     open_bins: int = OPEN_BINS,
     pieces_per_packer: int = PIECES_PER_PACKER,
+    block: int = BLOCK,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Place every token of every document (then ``end_id``) in a sequence of at most ``capacity`` tokens.
 
     Only documents longer than a sequence are cut. The pieces (no ids) are written to the shared folder once, then
-    dealt to packers by a hash, so neither a long document nor a hot key makes a packer larger than the others.
+    dealt to packers by their place in those files, so neither a long document nor a hot key nor a third of all rows
+    being the same makes a packer larger than the others, and a lost packer gets the same pieces again.
     Null text is an empty document of one token; a null id is carried along; each repeated row is packed as a
     document of its own; an empty table gives an empty result; other columns are ignored."""
     pieces = common.settle(cut(docs, tokenizer, capacity, end_id, id_col, text_col))
     packers = max(1, -(-pieces.count() // pieces_per_packer))
-    dealt = pieces.withColumn("deal", F.xxhash64("doc_id", "piece", "ids_crc32"))
-    dealt = dealt.repartition(packers, "deal").sortWithinPartitions(F.desc("length"), "deal", "doc_id", "piece")
+    dealt = pieces.withColumn("deal", F.xxhash64(F.monotonically_increasing_id())).repartition(packers, "deal")
+    dealt = dealt.sortWithinPartitions("deal")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, first = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 40
-        for batch in batches:
-            placed = [packer.place(n) for n in batch.column("length").to_pylist()]
+        for rows in in_blocks(batches, block):
+            lengths = rows.column("length").to_numpy()
+            order = np.argsort(-lengths, kind="stable")
+            rows = rows.take(pa.array(order))
+            placed = [packer.place(n) for n in lengths[order].tolist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:5], pa.array([first + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())],
-                names=[*batch.schema.names[:5], "sequence_id", "offset"],
+                [*rows.columns[:5], pa.array([first + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())],
+                names=[*rows.schema.names[:5], "sequence_id", "offset"],
             )
 
     return dealt.mapInArrow(run, SCHEMA)
+
+
+def in_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``size``, the last one shorter."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        while n + batch.num_rows >= size:
+            held.append(batch.slice(0, size - n))
+            batch = batch.slice(size - n)
+            yield pa.concat_batches(held)
+            held, n = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+    if held:
+        yield pa.concat_batches(held)
