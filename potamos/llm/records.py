@@ -26,6 +26,8 @@ from .tokens import encoder
 SHARDS = "part int, path string, n_records long, n_tokens long"
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 ROWS_AT_ONCE = 2048
+#: Text that one shard holds at most on average, in bytes.
+SHARD_BYTES = 1 << 29
 
 
 def masked(data: bytes) -> int:
@@ -59,14 +61,18 @@ def decode_payload(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if flags & 1 else doc_id, np.frombuffer(payload, "<u2" if flags & 2 else "<u4", offset=9).astype("<u4")
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode every text, append ``end_id`` and write shards in ascending doc_id order (null ids first, equal ids by
-    text). Returns the list of shards with the ids before each: one row per partition, the only thing that reaches
-    the driver. A task writes under a name of its own, and only names reported by tasks that ended count, so a task
-    that is lost or run twice leaves no trace in the result."""
+def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Encode every text, append ``end_id`` and write shards in ascending doc_id order (null ids first, equal ids by a
+    hash of the text). Returns the list of shards with the ids before each: one row per shard, the only thing that
+    reaches the driver. The number of shards follows from the bytes of text, and is the session's number of shuffle
+    partitions at least; equal ids, and equal rows, are spread over shards by a drawn number. A task writes under a name of its own, and
+    only names reported by tasks that ended count, so a task that is lost or run twice leaves no trace in the result."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = common.pick(docs, doc_id=id_col, text=text_col).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    chosen = common.pick(docs, doc_id=id_col, text=text_col)
+    n_bytes = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // shard_bytes))
+    order = ["doc_id", "th", "draw"]
+    ordered = chosen.withColumns({"th": F.xxhash64("text"), "draw": F.rand(1)}).repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = common.open_fs(folder)
