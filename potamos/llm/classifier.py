@@ -37,7 +37,7 @@ def _word(word: bytes) -> tuple[int, int]:
     shape = word
     for pattern, mark in _SHAPES:
         shape = pattern.sub(mark, shape)
-    return xxhash.xxh64_intdigest(word), xxhash.xxh64_intdigest(shape[:32], 7)
+    return xxhash.xxh64_intdigest(word), xxhash.xxh64_intdigest(shape, 7)
 
 
 def places(words: list[bytes], memo: common.Memo) -> np.ndarray:
@@ -71,7 +71,9 @@ class Ftrl:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Weights from labelled rows outside the held-out fold. Fitting runs in one task over at most ``max_labelled``
-    documents; only the weights, of fixed size, come to the driver. Without labels all weights are zero."""
+    documents; only the weights, of fixed size, come to the driver. Without labels, or without documents, all weights
+    are zero. Null labels and null ids are left out; of an id with several labels the lowest counts, of an id with
+    several texts the last in order; a null text is empty; other columns are ignored."""
     clean = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = clean.groupBy("doc_id").agg(F.min(label_col).cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     # one document per id: a repeated id must not lift the bound
