@@ -9,7 +9,12 @@ That score asks too much of short or evenly changed items. With ``one_in``, whol
 words is found wherever it is repeated with at most n // ``one_in`` words changed. It is cut into one block more than
 words may change, so one block is left as it was; the blocks' first words are looked up and the hits counted out.
 
-The table is broadcast in blocks of at most ``BLOCK_WORDS`` benchmark words; a larger benchmark takes several passes.
+A text that repeats itself meets an item on many diagonals. Those hits are taken from the diagonal with most of them
+down, and hits inside a stretch that is found already are passed over; stretches of one item that overlap in the document are
+one row, so the rows are linear in the text.
+
+The table is broadcast in blocks of at most ``BLOCK_WORDS`` benchmark words; a larger benchmark takes several passes, each
+over what the pass before it has written.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ ONE_IN = 5
 BLOCK_SEED = 4
 BLOCK_WORDS = 500_000
 FILTER_BITS = 22
+#: Positions of a document whose hits are held at a time.
+SEGMENT = 4096
 SCHEMA = "doc_id long, item_id long, doc_start long, item_start long, length long, matches long"
 _DROP = re.compile(r"[\W_]+")
 _ODD = [np.uint64(0x9E3779B97F4A7C15 + 2 * 0x1F83D9ABFB41BD6B * k & 0xFFFFFFFFFFFFFFFF) for k in range(64)]
@@ -130,17 +137,44 @@ class SeedTable:
             if len(w) - equal <= len(w) // self.one_in:
                 yield item, shift, equal
 
-    def hits(self, h: np.ndarray) -> set[tuple[int, int]]:
-        """``(item number, document position minus item position)`` of all seed hits."""
-        found: set[tuple[int, int]] = set()
+    def hit_groups(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Item numbers, document positions and item positions of the seed hits, ``SEGMENT`` positions at a time."""
         for mask in self.masks:
             x = windows(h, mask)
-            where = np.flatnonzero(self.seen[(x >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-            if len(where):
-                first, last = np.searchsorted(self.hashes, x[where], "left"), np.searchsorted(self.hashes, x[where], "right")
-                for p, a, b in zip(where.tolist(), first.tolist(), last.tolist()):
-                    found.update((k, p - q) for k, q in zip(self.owner[a:b].tolist(), self.at[a:b].tolist()))
-        return found
+            every = np.flatnonzero(self.seen[(x >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+            for k in range(0, len(every), SEGMENT):
+                where = every[k : k + SEGMENT]
+                first = np.searchsorted(self.hashes, x[where], "left")
+                count = np.searchsorted(self.hashes, x[where], "right") - first
+                row = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+                if len(row):
+                    yield self.owner[row].astype(np.int64), np.repeat(where, count), self.at[row].astype(np.int64)
+
+    def hits(self, h: np.ndarray) -> set[tuple[int, int]]:
+        """``(item number, document position minus item position)`` of all seed hits."""
+        return {pair for item, p, q in self.hit_groups(h) for pair in zip(item.tolist(), (p - q).tolist())}
+
+    def found(self, h: np.ndarray) -> Iterator[tuple[int, tuple[int, int, int, int]]]:
+        """Item numbers and verified stretches: diagonals with most hits first, none whose hits lie inside one stretch
+        of the item that was found before; then whole items."""
+        covered: dict[int, list[tuple[int, int]]] = {}
+        for item, p, q in self.hit_groups(h):
+            order = np.lexsort((p, p - q, item))
+            item, p, shift = item[order], p[order], (p - q)[order]
+            start = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]))))
+            stop = np.concatenate((start[1:], [len(item)]))
+            for k in np.lexsort((shift[start], start - stop, item[start])).tolist():
+                i, low, high = int(item[start[k]]), int(p[start[k]]), int(p[stop[k] - 1])
+                if any(a <= low and high < b for a, b in covered.get(i, ())):
+                    continue
+                if (best := self.verify(h, i, int(shift[start[k]]))) is not None:
+                    a, b = best[0], best[0] + best[2]
+                    apart = [x for x in covered.get(i, ()) if x[1] < a or x[0] > b]
+                    joined = [x for x in covered.get(i, ()) if not (x[1] < a or x[0] > b)]
+                    covered[i] = [*apart, (min([a, *(x[0] for x in joined)]), max([b, *(x[1] for x in joined)]))]
+                    yield i, best
+        for i, shift, equal in self.whole(h):
+            yield i, (shift, 0, len(self.words[i]), equal)
 
     def verify(self, h: np.ndarray, item: int, shift: int) -> tuple[int, int, int, int] | None:
         """``(document start, item start, length, equal words)`` of the best stretch on a diagonal, if good enough."""
@@ -156,18 +190,25 @@ class SeedTable:
         return low + start + shift, low + start, end - start, int(equal[start:end].sum())
 
 
-def seed_tables(benchmark: DataFrame, block_words: int = BLOCK_WORDS, one_in: int = 0) -> Iterator[Broadcast]:
-    """Broadcast tables of at most about ``block_words`` words each, one after the other."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // (4 * block_words)))  # a word and its space take four characters or more on average
-    for block in range(blocks):
-        memo = common.Memo(_normal)
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).dropDuplicates().orderBy("item_id", "text").collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(SeedTable([(r.item_id, word_hashes(r.text.encode(), memo)) for r in rows], one_in))
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def list_tables(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> int:
+    """How many tables of about ``block_words`` words each the benchmark takes."""
+    total = _items(benchmark).agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(1, -(-total // (4 * block_words)))  # a word and its space take four characters or more on average
+
+
+def seed_table(benchmark: DataFrame, block: int, blocks: int, one_in: int = 0) -> Broadcast:
+    """The broadcast table of one block of the benchmark."""
+    memo = common.Memo(_normal)
+    rows = _items(benchmark).where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).dropDuplicates().orderBy("item_id", "text").collect()
+    return benchmark.sparkSession.sparkContext.broadcast(SeedTable([(r.item_id, word_hashes(r.text.encode(), memo)) for r in rows], one_in))
 
 
 def stretches(table: SeedTable, data: bytes, memo: common.Memo) -> Iterator[tuple[int, ...]]:
+    """``(item_id, document start, item start, length, equal words)`` of every diagonal that holds a good stretch."""
     memo.trim()
     h = word_hashes(data, memo)
     done = set()
@@ -180,35 +221,74 @@ def stretches(table: SeedTable, data: bytes, memo: common.Memo) -> Iterator[tupl
             yield table.ids[item], shift, 0, len(table.words[item]), equal
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", one_in: int = 0) -> DataFrame:
+def merged(table: SeedTable, data: bytes, memo: common.Memo) -> Iterator[tuple[int, ...]]:
+    """The same with one row for all stretches of an item that overlap in the document: the words from the first to the
+    last, the item's part and equal words of the stretch with most of them."""
+    memo.trim()
+    found: dict[int, list[tuple[int, int, int, int]]] = {}
+    for item, best in table.found(word_hashes(data, memo)):
+        found.setdefault(item, []).append(best)
+    for item, rows in sorted(found.items()):
+        rows.sort()
+        start, stop, best = rows[0][0], rows[0][0] + rows[0][2], rows[0]
+        for row in rows[1:]:
+            if row[0] < stop:
+                stop, best = max(stop, row[0] + row[2]), max(best, row, key=lambda r: r[3])
+            else:
+                yield table.ids[item], start, best[1], stop - start, best[3]
+                start, stop, best = row[0], row[0] + row[2], row
+        yield table.ids[item], start, best[1], stop - start, best[3]
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", one_in: int = 0, merge: bool = False) -> DataFrame:
     """One row per document and benchmark stretch it repeats, up to substitutions; with ``one_in`` also per whole item
-    it repeats with at most one word in so many changed, where that is no such stretch.
+    it repeats with at most one word in so many changed, where that is no such stretch. With ``merge`` stretches of one
+    item that overlap in the document are one row.
 
     Texts are scanned whole and never shuffled. Null and empty texts (documents or items) match nothing, as do items
     of fewer than ``MIN_WORDS`` words without ``one_in``; a null id is carried along; repeated documents each get rows; an empty
     benchmark or table gives an empty result; other columns are ignored."""
-    chosen, found = common.pick(docs, doc_id=id_col, text=text_col), None
-    for shared in seed_tables(benchmark, block_words, one_in):
+    chosen, parts = common.pick(docs, doc_id=id_col, text=text_col), []
+    tables = list_tables(benchmark, block_words)
+    for block in range(tables):
+        shared, find = seed_table(benchmark, block, tables, one_in), merged if merge else stretches
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, find=find) -> Iterator[pa.RecordBatch]:
             memo = common.Memo(_normal)
             for batch in batches:
-                rows = [(doc_id, *s) for doc_id, data in zip(batch.column(0).to_pylist(), common.as_bytes(batch.column(1))) for s in stretches(shared.value, data, memo)]
+                rows = [(doc_id, *s) for doc_id, data in zip(batch.column(0).to_pylist(), common.as_bytes(batch.column(1))) for s in find(shared.value, data, memo)]
                 columns = zip(*rows) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         part = chosen.mapInArrow(run, SCHEMA)
-        found = part if found is None else found.unionByName(part)
+        if tables > 1:  # one table at a time is held
+            part = common.settle(part)
+            shared.unpersist()
+        parts.append(part)
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
     return found
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, text_col: str = "text", one_in: int = 0) -> DataFrame:
-    """The rows of ``docs`` without any overlap, all columns as they are, without a shuffle."""
-    for shared in seed_tables(benchmark, block_words, one_in):
+    """The rows of ``docs`` without any overlap, all columns as they are whatever their names, without a shuffle. Null
+    and empty texts stay; repeated rows stay or go together; an empty benchmark or table changes nothing. A benchmark
+    of several blocks takes a pass for each, over the rows that the last one left."""
+    tables = list_tables(benchmark, block_words)
+    for block in range(tables):
+        shared = seed_table(benchmark, block, tables, one_in)
 
         def clean(texts: list[bytes], shared=shared) -> list[bool]:
             memo = common.Memo(_normal)
-            return [next(stretches(shared.value, data, memo), None) is None for data in texts]
+            clear = []
+            for data in texts:
+                memo.trim()
+                clear.append(next(shared.value.found(word_hashes(data, memo)), None) is None)
+            return clear
 
         docs = common.keep_rows(docs, text_col, clean)
+        if tables > 1:
+            docs = common.settle(docs)
+            shared.unpersist()
     return docs

@@ -71,7 +71,7 @@ def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import ONE_IN, overlaps
 
-    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), one_in=ONE_IN)
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), one_in=ONE_IN, merge=True)
 
 
 def queries() -> dict:
