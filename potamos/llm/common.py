@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from potamos.operators.lineage import settle, shared_dir
 
-__all__ = ["KEY", "Memo", "as_bytes", "as_text", "keep_rows", "map_batches", "open_fs", "pick", "row_key", "settle", "shared_dir", "spread_join", "table"]
+__all__ = ["KEY", "Memo", "as_bytes", "as_row", "as_text", "keep_rows", "map_batches", "open_fs", "pick", "row_key", "settle", "shared_dir", "spread_join", "table"]
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -103,6 +103,11 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     return [F.col(id_col).isNull().alias("late"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(text_col).alias("th")]
 
 
+def as_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that none can clash with columns that an operator adds."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def keep_rows(df: DataFrame, text_col: str, keep: Callable[[list[bytes]], list[bool]]) -> DataFrame:
     """Filter whole rows by a function of their texts, without a shuffle."""
     at = df.columns.index(text_col)

@@ -6,6 +6,10 @@ holder is paired with the first one, so no run has to be left out for being freq
 diff on line hashes, and common blocks go from the later document; what is left is aligned again, so that blocks in
 another order go too, and blocks of lines too frequent to anchor an alignment are found by their runs. The first
 holder of a block always keeps it.
+
+Of the earlier document only windows around the shared runs travel, as wide as a block can be: the later document's
+number of lines to either side. So a first holder of any length costs a pair no more than its later document does, and
+a later document travels once however many partners it has.
 """
 
 from __future__ import annotations
@@ -15,8 +19,9 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -122,50 +127,128 @@ def repeated(a: list[int], b: list[int], words: list[int], least: int) -> list[i
     return sorted(gone)
 
 
-def runs(lines: list[bytes], words: list[int], least: int) -> set[int]:
-    """Hashes of the shortest runs of lines with enough words."""
-    return {xxhash.xxh64_intdigest(b"\n".join(lines[start:stop])) - (1 << 63) for start, stop in shortest(words, least)}
+def runs(lines: list[bytes], words: list[int], least: int) -> dict[int, int]:
+    """Hashes of the shortest runs of lines with enough words, and where each starts first."""
+    found: dict[int, int] = {}
+    for start, stop in shortest(words, least):
+        found.setdefault(xxhash.xxh64_intdigest(b"\n".join(lines[start:stop])) - (1 << 63), start)
+    return found
+
+
+class Later:
+    """A later document, asked about one window of an earlier one after the other."""
+
+    def __init__(self, hashes: list[int], words: list[int], least: int):
+        self.hashes, self.words, self.least = hashes, words, least
+        self.at: dict[int, list[int]] = {}
+        for k, (x, n) in enumerate(zip(hashes, words)):
+            if n:
+                self.at.setdefault(x, []).append(k)
+        self.gone: set[int] = set()
+
+    def meet(self, window: list[int], places: list[int]) -> None:
+        """Mark the lines in common with a window in which shared runs start at ``places``. Only the parts of this
+        document that lie on a diagonal of a shared run are looked at."""
+        spans = sorted({(max(0, k - p), k - p + len(window)) for p in places for k in self.at.get(window[p], ())})
+        lines: list[int | None] = []
+        words: list[int] = []
+        real: list[int] = []
+        end = 0
+        for start, stop in spans:
+            if start > end and lines:  # parts that aren't neighbours must not make a block
+                lines.append(None)
+                words.append(0)
+                real.append(-1)
+            start, end = max(start, end) if lines else start, max(end, min(stop, len(self.hashes)))
+            lines += self.hashes[start:end]
+            words += self.words[start:end]
+            real += range(start, end)
+        self.gone.update(real[k] for k in repeated(window, lines, words, self.least) if real[k] >= 0)
 
 
 def line_table(docs: DataFrame, min_block_words: int, id_col: str, text_col: str) -> DataFrame:
-    """Per document the hashes and word counts of its lines and the hashes of its runs; a repeated row (same id and
-    text) is one document."""
+    """Per document the hashes and word counts of its lines, and the hashes and places of its runs; a repeated row (same
+    id and text) is one document."""
 
     def run(batch: pa.RecordBatch):
-        hashes, words, starts = [], [], []
+        hashes, words, starts, places = [], [], [], []
         for data in common.as_bytes(batch.column(3)):
             lines = data.split(b"\n")
             hashes.append([xxhash.xxh64_intdigest(x) - (1 << 63) for x in lines])
             words.append([len(x.split()) for x in lines])
-            starts.append(list(runs(lines, words[-1], min_block_words)))
-        columns = [pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=[*KEY, "hashes", "words", "runs"])
+            held = runs(lines, words[-1], min_block_words)
+            starts.append(list(held))
+            places.append(list(held.values()))
+        columns = [pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=[*KEY, "hashes", "words", "runs", "places"])
 
     chosen = docs.select(*common.row_key(id_col, text_col), F.col(text_col).alias("text"))
-    rows = common.map_batches(chosen, run, "late boolean, id long, th long, hashes array<long>, words array<int>, runs array<long>")
+    rows = common.map_batches(chosen, run, "late boolean, id long, th long, hashes array<long>, words array<int>, runs array<long>, places array<int>")
     return rows.dropDuplicates(list(KEY))
 
 
+def _windows() -> Column:
+    """From the places of shared runs in the earlier document ``a`` to its windows ``(lo, lines)``; windows that meet
+    are one."""
+    n, none = F.col("n_lines"), F.expr("cast(array() as array<struct<lo:int,hi:int>>)")
+
+    def widen(held: Column, place: Column) -> Column:
+        last = F.try_element_at(held, F.lit(-1))
+        longer = F.concat(F.slice(held, F.lit(1), F.size(held) - 1), F.array(F.struct(last["lo"].alias("lo"), (place + n).alias("hi"))))
+        fresh = F.concat(held, F.array(F.struct(F.greatest(place - n, F.lit(0)).alias("lo"), (place + n).alias("hi"))))
+        return F.when(F.coalesce(place - n <= last["hi"] + 1, F.lit(False)), longer).otherwise(fresh)
+
+    spans = F.aggregate(F.array_sort("places"), none, widen)
+    return F.transform(spans, lambda w: F.struct(w["lo"].alias("lo"), F.slice(F.col("a"), w["lo"] + 1, w["hi"] - w["lo"] + 1).alias("lines")))
+
+
 def deletions(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(late, id, th, gone)``: the line numbers that each document loses."""
     table = common.settle(line_table(docs, min_block_words, id_col, text_col)).withColumn("doc", F.struct(*KEY))
-    held = table.select("doc", F.explode("runs").alias("h"))
-    firsts = held.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).where("first < last")
-    firsts = common.settle(firsts.select("h", "first", "n"))
-    met = common.spread_join(held, firsts.select("h", "first"), firsts.select("h", "n"), "h")
-    pairs = common.settle(met.where("doc > first").select("doc", "first").distinct())
+    held = table.select("doc", F.size("hashes").alias("n_lines"), F.explode(F.arrays_zip("runs", "places")).alias("r")).select("doc", "n_lines", F.col("r.runs").alias("h"), F.col("r.places").alias("place"))
+    firsts = held.groupBy("h").agg(F.min(F.struct("doc", "place")).alias("top"), F.max("doc").alias("last"), F.count("*").alias("n")).where("top.doc < last")
+    firsts = common.settle(firsts.select("h", F.col("top.doc").alias("first"), "top.place", "n"))
+    met = common.spread_join(held.drop("place"), firsts.select("h", "first", "place"), firsts.select("h", "n"), "h").where("doc > first")
+    pairs = common.settle(met.groupBy("doc", "first").agg(F.max("n_lines").alias("n_lines"), F.collect_set("place").alias("places")))
     earlier = table.select(F.col("doc").alias("first"), F.col("hashes").alias("a"))
     partners = pairs.groupBy("first").agg(F.count("*").alias("n"))
-    later = table.select("doc", F.col("hashes").alias("b"), "words")
-    joined = common.spread_join(pairs, earlier, partners, "first").join(later, "doc").select("doc.*", "a", "b", "words")
+    cut = common.spread_join(pairs, earlier, partners, "first").select("doc", "first", "places", _windows().alias("windows"))
+    # each later document, then its partners from first to last
+    none = F.lit(None)
+    own = table.select("doc", none.cast(cut.schema["first"].dataType).alias("first"), none.cast("array<int>").alias("places"), none.cast(cut.schema["windows"].dataType).alias("windows"), "hashes", "words")
+    asked = cut.select("*", none.cast("array<long>").alias("hashes"), none.cast("array<int>").alias("words"))
+    dealt = own.unionByName(asked).repartition("doc").sortWithinPartitions("doc", F.asc_nulls_first("first")).select("doc.*", "places", "windows", "hashes", "words")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, later = None, None  # where the document at hand stands; read only when a partner comes
+
+        def done(rows: list) -> None:
+            if later is not None and later.gone:
+                rows.append((*(source[0].column(k)[source[1]].as_py() for k in range(3)), sorted(later.gone)))
+
+        def packed(rows: list) -> pa.RecordBatch:
+            columns = zip(*rows) if rows else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int32())))], names=[*KEY, "gone"])
 
-    def align(batch: pa.RecordBatch):
-        # row by row, as the lines of a batch of long documents are too many to hold as Python numbers
-        gone = [repeated(*(batch.column(k)[row].as_py() for k in (3, 4, 5)), min_block_words) for row in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(gone, pa.list_(pa.int32()))], names=[*KEY, "gone"])
+        for batch in batches:
+            rows: list[tuple] = []
+            for row, is_own in enumerate(pa.compute.is_valid(batch.column(5)).to_pylist()):
+                if is_own:
+                    done(rows)
+                    source, later = (batch, row), None
+                    continue
+                if later is None:
+                    later = Later(*(source[0].column(k)[source[1]].as_py() for k in (5, 6)), min_block_words)
+                places = sorted(batch.column(3)[row].as_py())
+                for window in batch.column(4)[row].as_py():
+                    low, lines = window["lo"], window["lines"]
+                    later.meet(lines, [p - low for p in places if low <= p < low + len(lines)])
+            yield packed(rows)
+        rows = []
+        done(rows)
+        yield packed(rows)
 
-    found = common.map_batches(joined, align, "late boolean, id long, th long, gone array<int>").where(F.size("gone") > 0)
-    return found.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    return dealt.mapInArrow(align, "late boolean, id long, th long, gone array<int>")
 
 
 def dedup_lines(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,12 +258,13 @@ def dedup_lines(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS, id_col:
     Earlier means a smaller doc_id (null ids come last, equal ids go by a hash of the text); rows equal in id and text
     are one document and keep or lose the same lines. Null text stays null and empty text empty; a text that loses
     all its lines becomes empty; an empty table gives an empty result; input columns of the two added names are
-    replaced."""
-    gone = deletions(docs, min_block_words, id_col, text_col).select(F.struct(*KEY).alias("__doc"), F.col("gone").alias("__gone"))
-    marked = docs.withColumn("__doc", F.struct(*common.row_key(id_col, text_col))).join(gone, "__doc", "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: lines[i]), "\n"))
-    kept = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c.lower() not in ADDED]
-    removed = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
+    replaced, all others stay as they are whatever their names."""
+    gone = deletions(docs, min_block_words, id_col, text_col).select(F.struct(*KEY).alias("doc"), "gone")
+    marked = docs.select(common.as_row(docs).alias("row"), F.struct(*common.row_key(id_col, text_col)).alias("doc")).join(gone, "doc", "left")
+    old = F.col("row")[text_col]
+    lines = F.split(old, "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), old).otherwise(F.array_join(F.transform(stay, lambda i: lines[i]), "\n"))
+    kept = [(text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns if c.lower() not in ADDED]
+    removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
     return marked.select(*kept, F.size(lines).cast("long").alias(ADDED[0]), removed.alias(ADDED[1]))

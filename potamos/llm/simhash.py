@@ -225,7 +225,7 @@ def one_per_group(docs: DataFrame, radius: int = RADIUS, tree_size: int = TREE_S
     grouped = _grouped(common.settle(fingerprints(docs, id_col, text_col)), radius, tree_size)
     heads = grouped.where(F.struct(*KEY) == F.col("head")).groupBy("head").agg(F.count("*").alias("copies"))
     # input columns travel inside a struct, so none can clash with those added here
-    joined_rows = docs.select(F.struct(*docs.columns).alias("row"), F.struct(*common.row_key(id_col, text_col)).alias("head")).join(heads, "head")
+    joined_rows = docs.select(common.as_row(docs).alias("row"), F.struct(*common.row_key(id_col, text_col)).alias("head")).join(heads, "head")
     # only where a kept row is repeated do texts take part in an aggregation
     single = joined_rows.where("copies = 1").select("row.*")
     return single.unionByName(joined_rows.where("copies > 1").dropDuplicates(["head"]).select("row.*"))
