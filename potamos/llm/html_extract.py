@@ -24,9 +24,11 @@ from . import common
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 # Fixed lists of HTML elements by their role.
-UNSEEN = frozenset("script style noscript template svg iframe object canvas audio video head math".split())
+UNSEEN = frozenset("script style noscript template svg iframe object canvas audio video head title annotation annotation-xml".split())
+#: Of these an unclosed one goes to the page's end in the standard too.
+RAW = frozenset("script style".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rt rp wbr img input picture map".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rt rp wbr img input picture map math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle mpadded msub msup msubsup munder mover munderover mtable mtr mtd mspace semantics".split())
 #: Start tags that end an open element of the listed names.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th"), "optgroup": ("option", "optgroup")}
 #: Start tags that end an open paragraph in the standard; a hidden one ends by these only.
@@ -41,6 +43,11 @@ MARKING = frozenset("class id role aria-label itemprop".split())
 NAME_WORD = re.compile(r"[a-z]+")
 
 
+@lru_cache(maxsize=64)
+def same_tag(tag: str) -> re.Pattern:
+    return re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>?", re.I)
+
+
 @dataclass(slots=True)
 class Block:
     text: str
@@ -95,6 +102,7 @@ def blocks(page: str) -> list[Block]:
             if any(o.tag == "a" for o in stack):
                 linked += len(text[-1])
 
+    unclosed: set[str] = set()
     at, n = 0, len(page)
     while at < n:
         m = TAG.search(page, at)
@@ -134,18 +142,24 @@ def blocks(page: str) -> list[Block]:
             continue
         closed = raw.rstrip().endswith("/")
         if tag in UNSEEN and not closed:
-            if tag not in INLINE:
-                flush()
-            # the text up to the matching end tag is never seen; nested elements of the same name count
-            depth, same = 1, re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>?", re.I)
-            nests = tag not in ("script", "style", "head")
-            while depth:
-                end = same.search(page, at)
-                if end is None:
-                    at = n if tag != "head" else at
-                    break
-                at = end.end()
-                depth += -1 if end[1] else nests
+            # the text up to the matching end tag is never seen; nested elements of the same name count. No block ends
+            # here: a script inside a sentence leaves the sentence whole
+            depth, to = 1, at
+            if tag not in unclosed:
+                nests = tag not in ("script", "style", "head", "title")
+                for end in same_tag(tag).finditer(page, at):
+                    to = end.end()
+                    depth += -1 if end[1] else nests
+                    if not depth:
+                        break
+            if not depth:
+                at = to
+            elif tag in RAW:
+                at = n
+            else:  # without an end tag only the tag itself goes, and the text up to the next one
+                unclosed.add(tag)
+                after = page.find("<", at)
+                at = at if tag == "head" else n if after < 0 else after
             continue
         gone = gone and not closed
         if tag in INLINE:
