@@ -6,6 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def powers(width: Column, area: Column) -> Column:
+    """Logarithms and powers of scaling laws: ``{log_area, area_043, area_032, width_inverse}``, the last being the
+    drainage area that goes with a width (width over 9.6, to the power of 1 / 0.32)."""
+    return F.struct(F.log10(area).alias("log_area"), F.pow(area, F.lit(0.43)).alias("area_043"), F.pow(area, F.lit(0.32)).alias("area_032"), F.pow(width / 9.6, F.lit(1 / 0.32)).alias("width_inverse"))
+
+
+def insert_at(values: Column, at: Column, value: Column) -> Column:
+    """An array with a value put in at a place counted from 0."""
+    return F.concat(F.slice(values, F.lit(1), at), F.array(value), F.slice(values, at + 1, F.size(values)))
+
+
 def angle_difference(a: Column, b: Column) -> Column:
     """Smallest difference of two azimuths in degrees, 0 to 180."""
     return F.abs(F.pmod(a - b + 180, F.lit(360)) - 180)
@@ -15,6 +26,33 @@ def percent_deviation(a: Column, b: Column) -> Column:
     return (a / b - 1) * 100
 
 
+def pearson_r(a: Column, b: Column) -> Column:
+    """Aggregate: Pearson's correlation, null where a side doesn't vary."""
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.when(spread > 0, F.try_divide(F.covar_pop(a, b), spread))
+
+
+def pearson_p(r: Column, n: Column) -> Column:
+    """Two-sided p value of a correlation of n pairs: Student's distribution with n - 2 degrees of freedom as its finite
+    sum over powers of the cosine. Null for fewer than three pairs."""
+    nu, sine = n - 2, F.abs(r)
+    cosine = F.sqrt(F.greatest(F.lit(0.0), 1 - r * r))
+    odd = nu % 2 == 1
+    last = F.when(odd, (nu - 3) / 2).otherwise((nu - 2) / 2).cast("int")  # -1: no term
+    # terms follow from each other: an odd number takes 2k / (2k + 1), an even one (2k - 1) / (2k)
+    factor = lambda k: F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
+    start = F.struct(F.when(odd, cosine).otherwise(F.lit(1.0)).alias("term"), F.lit(0.0).alias("total"))
+
+    def add(acc: Column, k: Column) -> Column:
+        term = F.when(k == 0, acc["term"]).otherwise(acc["term"] * factor(k) * cosine * cosine)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    steps = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.expr("cast(array() as array<int>)"))
+    total = F.aggregate(steps, start, add)["total"]
+    inside = F.when(odd, (F.asin(F.least(sine, F.lit(1.0))) + sine * total) * 2 / F.pi()).otherwise(sine * total)
+    return F.when((nu > 0) & r.isNotNull(), F.greatest(F.lit(0.0), 1 - inside))
+
+
 def balance(out: Column, mainstem: Column) -> Column:
     """How far a bifurcation departs from its main branch, relative to the larger; null sides are skipped in the maximum."""
     return (out - mainstem) / F.greatest(out, mainstem)

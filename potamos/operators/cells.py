@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .graph import follow, gather, levels
+from .graph import follow, route
 from .lineage import settle
 
 AROUND8 = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx, dy) != (0, 0)]
@@ -108,19 +108,12 @@ def steepest(cells: DataFrame, elev: str = "elev") -> DataFrame:
 
 
 def accumulate(flow: DataFrame) -> DataFrame:
-    """``(x, y, n_cells)``: cells that drain through each cell, itself included. ``flow`` is acyclic."""
-    lines = flow.select(cell_id().alias("id"), cell_id().alias("start_node"), F.when(F.col("to_x").isNotNull(), cell_id("to_x", "to_y")).otherwise(-cell_id() - 1).alias("end_node"))
-    table = settle(lines.join(levels(lines), "id"))
-    deepest = table.agg(F.max("level")).first()[0] or 0
-    waiting, done = table.sparkSession.createDataFrame([], "start_node long, n long"), None
-    for level in range(1, deepest + 1):
-        here = table.where(F.col("level") == level)
-        came = waiting.groupBy("start_node").agg(F.sum("n").alias("came"))
-        moved = settle(here.join(came, "start_node", "left").select("id", "end_node", (F.coalesce("came", F.lit(0)) + 1).alias("n")))
-        done = gather(done, moved, level)
-        rest = waiting.join(here.select("start_node"), "start_node", "left_anti")
-        waiting = settle(rest.unionByName(moved.select(F.col("end_node").alias("start_node"), "n")))
-    return flow.select("x", "y", cell_id().alias("id")).join(done.select("id", F.col("n").alias("n_cells")), "id").select("x", "y", "n_cells")
+    """``(x, y, n_cells)``: cells that drain through each cell, itself included. ``flow`` is acyclic. Routing a value of one
+    from every cell: runs of cells without a confluence are passed in one step."""
+    lines = flow.select(cell_id().alias("id"), cell_id().alias("start_node"), F.when(F.col("to_x").isNotNull(), cell_id("to_x", "to_y")).otherwise(-cell_id() - 1).alias("end_node"), F.lit(1.0).alias("width"))
+    _, nodes = route(lines, lines.select(F.col("id").alias("node"), F.lit(1.0).alias("value")))
+    at = flow.select("x", "y", cell_id().alias("node"))
+    return at.join(nodes, "node").select("x", "y", F.col("node_in").cast("long").alias("n_cells"))
 
 
 def subbasins(flow: DataFrame, streams: DataFrame) -> DataFrame:

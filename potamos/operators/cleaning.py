@@ -1,67 +1,90 @@
-"""Composite network operators: cleaning, cycle removal, end snapping, direction solving, names."""
+"""Composite network operators: cleaning, cycle removal, end snapping, splitting, directions."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from potamos.functions import scalars as S
-
 from . import network as N
 from . import spatial as P
-from . import stats as A
 from .components import connected_components
 from .graph import bridges, shortest_paths
-from .lineage import settle
-
-MAX_CYCLES = 15
-
+from .lineage import release, settle
 
 def _components(lines: DataFrame) -> DataFrame:
     return connected_components(lines.select(F.col("start_node").alias("src"), F.col("end_node").alias("dst")))
 
 
-def clean_network(lines: DataFrame, nodes: DataFrame, factor: float = 1.0, lake_factor: float = 2.0, min_accum: float = 50.0, rounds: int = MAX_CYCLES) -> DataFrame:
-    """Lines without self loops and short dangles. A dangle is short if its length is below the wider of its nodes
-    times ``factor``, or both nodes are lakes and it is below that times ``lake_factor``. Where several are short at a
-    node the longest stays, except for outlets, of which the shortest stays; a dangle whose free end drains at least
-    ``min_accum`` and is no lake stays. Rounds go on, with degrees computed anew, until nothing goes."""
+def clean_network(lines: DataFrame, nodes: DataFrame, factor: float = 1.0, lake_factor: float = 2.0, min_accum: float = 50.0, rounds: int | None = None) -> DataFrame:
+    """Lines without self loops and short dangles, after ``rounds`` rounds or, by default, when nothing goes any more.
+
+    A dangle has exactly one tip: a node of one line that no round before has visited. It is short if its length is below the width of its
+    wider node (smaller id on ties) times ``factor``, or both nodes are lakes and it is below that times ``lake_factor``.
+    Of the short ones that share the wider node, the shortest with an outlet stays, even alone, and of the others the
+    longest where there are several. A dangle whose tip drains at least ``min_accum`` and is no lake stays. Nodes that
+    were tips are out of all later rounds, so what stayed once stays."""
     left = settle(lines.where("start_node <> end_node"))
     n = nodes.select(F.col("id").alias("node"), "river_width", "is_lake", "darea", "is_outlet")
-    a, b = (n.select(*(F.col(c).alias(f"{p}_{c}") for c in n.columns)) for p in ("d", "i"))
-    for _ in range(rounds):
-        d = N.dangles(left)
-        d = d.join(a, F.col("dangle_node") == F.col("d_node"), "left").join(b, F.col("inner_node") == F.col("i_node"), "left")
-        least = F.greatest("d_river_width", "i_river_width")
-        lake = (F.col("d_is_lake") == 1) & (F.col("i_is_lake") == 1)
-        short = d.where((F.col("length") < least * factor) | (lake & (F.col("length") < least * lake_factor)))
-        short = short.where(~F.coalesce((F.col("d_darea") >= min_accum) & (F.col("d_is_lake") == 0), F.lit(False)))
-        w = Window.partitionBy("inner_node")
-        order = F.when(F.col("d_is_outlet") == 1, F.col("length")).otherwise(-F.col("length"))
-        ranked = short.withColumns({"n": F.count("*").over(w), "r": F.row_number().over(w.orderBy(F.desc("d_is_outlet"), order, "id"))})
-        gone = settle(ranked.where("n = 1 OR r > 1").select("id"))
+    visited, done = None, 0
+    while rounds is None or done < rounds:
+        done += 1
+        tips = N.degrees(left).where("n_lines = 1").select("node")
+        tips = settle(tips if visited is None else tips.join(visited, "node", "left_anti"))
+        ends = N.incidence(left)
+        single = ends.join(tips, "node").groupBy("line").agg(F.count("*").alias("k"), F.min("node").alias("tip")).where("k = 1").drop("k")
+        at = ends.join(single, "line").join(n, "node", "left")
+        at = at if visited is None else at.join(visited, "node", "left_anti")
+        facts = at.groupBy("line", "tip").agg(
+            F.max("river_width").alias("least"), F.min_by("node", F.struct((-F.coalesce("river_width", F.lit(-1.0))).alias("w"), "node")).alias("node"),
+            F.min("is_lake").alias("lake"), F.max("is_outlet").alias("outlet"),
+            F.max(F.when(F.col("node") == F.col("tip"), F.col("darea"))).alias("tip_darea"), F.max(F.when(F.col("node") == F.col("tip"), F.col("is_lake"))).alias("tip_lake"),
+        )
+        facts = facts.join(left.select(F.col("id").alias("line"), "length"), "line")
+        short = facts.where((F.col("length") < F.col("least") * factor) | ((F.col("lake") == 1) & (F.col("length") < F.col("least") * lake_factor)))
+        first = F.row_number().over(Window.partitionBy("node", "outlet").orderBy("length", "line"))
+        short = short.withColumn("first", first).where("NOT (coalesce(outlet, 0) = 1 AND first = 1)")
+        w = Window.partitionBy("node")
+        short = short.withColumns({"k": F.count("*").over(w), "last": F.row_number().over(w.orderBy(F.desc("length"), "line"))}).where("NOT (k > 1 AND last = 1)")
+        gone = settle(short.where(~F.coalesce((F.col("tip_darea") >= min_accum) & (F.col("tip_lake") != 1), F.lit(False))).select(F.col("line").alias("id")))
         if gone.isEmpty():
+            release(gone, tips, visited)
             break
-        left = settle(left.join(gone, "id", "left_anti"))
+        left = settle(left.join(gone, "id", "left_anti"), left)
+        visited = settle(tips if visited is None else visited.unionByName(tips), visited)
+        release(gone, tips)
     return left
 
 
-def snap_ends(lines: DataFrame, points: DataFrame, dmin: float, dmax: float, min_loop: float = 1000.0) -> DataFrame:
-    """``(a, b, dist, loop)``: pairs of free ends that may be joined by a new line: each other's nearest in reach, and
-    either in different components or joined so far only by a path longer than ``min_loop``."""
-    ends = N.degrees(lines).where("n_lines = 1").select(F.col("node").alias("id")).join(points, "id")
-    pairs = P.within(ends, ends, dmax, dmin).where("id <> to_id")
+def snap_ends(lines: DataFrame, nodes: DataFrame, dmin: float, dmax: float, min_loop: float = 1000.0, factor: float = 1.0) -> DataFrame:
+    """``(a, b, dist, loop, n_between)``: pairs of free ends that a new line may join. ``nodes`` is ``(id, x, y, river_width,
+    is_end)``, ``is_end`` marking nodes of a kind that may be joined.
+
+    Each free end looks for the nearest other end at ``dmin`` to ``dmax``; pairs found from both sides are one. A pair
+    joins if there is no way between its ends (loop and n_between are null), or if the shortest way with the new line
+    is longer than ``min_loop``, the way of fewest nodes has more than one between, and one of the two end lines is no
+    short dangle: as long as the wider of its nodes times ``factor``, or without another line at either end."""
+    lines = lines.where("start_node <> end_node")
+    degree = N.degrees(lines).select("node", "n_lines")
+    free = degree.where("n_lines = 1").select(F.col("node").alias("id"))
+    ends = nodes.join(free, "id", "left_semi")
+    pairs = P.within(ends.select("id", "x", "y"), ends.where("is_end").select("id", "x", "y"), dmax, dmin).where("id <> to_id")
     best = pairs.groupBy("id").agg(F.min(F.struct("dist", "to_id")).alias("b")).select(F.least("id", "b.to_id").alias("a"), F.greatest("id", "b.to_id").alias("b"), F.col("b.dist").alias("dist"))
-    best = settle(best.distinct())
-    comp = _components(lines)
+    best = settle(best.groupBy("a", "b").agg(F.min("dist").alias("dist")))
+    comp = settle(_components(lines))
     tagged = best.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
+    apart = tagged.where("ca <> cb").select("a", "b", "dist", F.lit(None).cast("double").alias("loop"), F.lit(None).cast("long").alias("n_between"))
     same = settle(tagged.where("ca = cb"))
-    inside = lines.join(comp.select(F.col("node").alias("start_node"), F.col("component").alias("ca")), "start_node").join(same.select("ca"), "ca", "left_semi")
-    paths = shortest_paths(inside, same.select(F.col("a").alias("node")).distinct())
-    loops = same.join(paths.select(F.col("source").alias("a"), F.col("node").alias("b"), F.col("distance").alias("loop")), ["a", "b"]).where(F.col("loop") > min_loop)
-    apart = tagged.where("ca <> cb").select("a", "b", "dist", F.lit(None).cast("double").alias("loop"))
-    return apart.unionByName(loops.select("a", "b", "dist", "loop"))
+    inside = lines.join(comp.select(F.col("node").alias("start_node"), F.col("component").alias("ca")), "start_node").join(same.select("ca"), "ca", "left_semi").withColumn("one", F.lit(1.0))
+    sources = same.select(F.col("a").alias("node")).distinct()
+    way = lambda weight, name: shortest_paths(inside, sources, weight).select(F.col("source").alias("a"), F.col("node").alias("b"), F.col("distance").alias(name))
+    loops = same.join(way("length", "way"), ["a", "b"]).join(way("one", "hops"), ["a", "b"])
+    loops = loops.select("a", "b", "dist", (F.col("way") + F.col("dist")).alias("loop"), (F.col("hops") - 1).cast("long").alias("n_between"))
+    width = nodes.select(F.col("id").alias("dangle_node"), F.col("river_width").alias("w1")), nodes.select(F.col("id").alias("inner_node"), F.col("river_width").alias("w2"))
+    short = N.dangles(lines).join(width[0], "dangle_node", "left").join(width[1], "inner_node", "left").where(F.col("length") < F.greatest("w1", "w2") * factor)
+    short = short.select(F.col("dangle_node").alias("node"), F.lit(True).alias("short"))
+    mark = lambda c: short.select(F.col("node").alias(c), F.col("short").alias(f"short_{c}"))
+    loops = loops.where((F.col("loop") > min_loop) & (F.col("n_between") > 1)).join(mark("a"), "a", "left").join(mark("b"), "b", "left")
+    return apart.unionByName(loops.where("short_a IS NULL OR short_b IS NULL").select("a", "b", "dist", "loop", "n_between"))
 
 
 def _path_lines(lines: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
@@ -94,45 +117,55 @@ def remove_cycles(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     drainage area stay; the longer of parallel lines and self loops go."""
     left = lines.where("start_node <> end_node")
     left = settle(left.join(N.parallel_lines(left).where("rank > 1").select("id"), "id", "left_anti"))
-    for _ in range(MAX_CYCLES):
+    while True:  # ends by itself: shortest paths leave no cycle, so every round takes lines
         loops = settle(left.join(bridges(left), "id", "left_anti"))
         if loops.isEmpty():
             break
         gone = loops.join(_path_lines(loops, nodes, _components(loops)), "id", "left_anti").select("id")
-        left = settle(left.join(gone, "id", "left_anti"))
+        left = settle(left.join(gone, "id", "left_anti"), left)
+        release(loops)
     return left
 
 
 def split_interbasin(lines: DataFrame, cut_nodes: DataFrame) -> DataFrame:
-    """``(node, id, n_nodes)``: at each cut node with several lines, the one to drop: that whose far side, with all cut
-    nodes taken out, belongs to the component of fewest nodes. Dangles at a cut node don't count."""
-    at = settle(N.other_end(cut_nodes, lines))
-    degree = N.degrees(lines).select(F.col("node").alias("other"), "n_lines")
-    several = at.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
-    gone = cut_nodes.select(F.col("id").alias("n"))
+    """``(node, id, n_nodes)``: at each cut node with several lines, the one to drop: that whose far side, without the
+    lines of this one cut node, belongs to the component of fewest nodes (-1 where no line is left there), smallest id
+    on ties. Cut nodes at an end of a dangle are ignored.
+
+    The network without all cut nodes is taken apart once; each cut node then sees a small graph of those parts and the
+    other cut nodes of its component, so the work is the parts times the cut nodes of a component."""
+    lines = settle(lines.where("start_node <> end_node").select("id", "start_node", "end_node"))
+    degree = N.degrees(lines).select("node", "n_lines")
+    tips = degree.where("n_lines = 1").select("node")
+    held = N.incidence(lines)
+    beside = held.join(held.join(tips, "node", "left_semi").select("line").distinct(), "line", "left_semi").select("node").distinct()
+    cuts = settle(cut_nodes.select(F.col("id").alias("node")).distinct().join(degree.where("n_lines > 1"), "node", "left_semi").join(beside, "node", "left_anti"))
+    at = settle(N.other_end(cuts.select(F.col("node").alias("id")), lines).select("node", "line", "other"))
+    gone = cuts.select(F.col("node").alias("n"))
     rest = lines.join(gone, F.col("start_node") == F.col("n"), "left_anti").join(gone, F.col("end_node") == F.col("n"), "left_anti")
-    comp = _components(rest)
-    size = comp.groupBy("component").agg(F.count("*").alias("n_nodes"))
-    far = at.join(several, "node", "left_semi").join(degree, "other").where("n_lines > 1").join(comp.select(F.col("node").alias("other"), "component"), "other", "left").join(size, "component", "left")
-    best = far.groupBy("node").agg(F.min(F.struct(F.coalesce("n_nodes", F.lit(1)).alias("n_nodes"), F.col("line").alias("id"))).alias("b"))
+    part = settle(_components(rest))
+    # a far node is in a part, is a cut node itself, or stands alone between cut nodes
+    far = at.join(part.select(F.col("node").alias("other"), "component"), "other", "left").withColumn("far", F.coalesce("component", "other"))
+    sizes = part.groupBy(F.col("component").alias("v")).agg(F.count("*").alias("size"))
+    links = settle(far.select(F.col("node").alias("src"), F.col("far").alias("dst")).distinct())
+    whole = _components(lines).select("node", F.col("component").alias("whole"))
+    tagged = settle(links.join(whole.withColumnRenamed("node", "src"), "src"))
+    seen = cuts.join(whole, "node").withColumnRenamed("node", "cut")
+    copies = seen.join(tagged, "whole").where("src <> cut AND dst <> cut").select("cut", "src", "dst")
+    key = lambda c: F.struct("cut", F.col(c).alias("v"))
+    ids = settle(copies.select(key("src").alias("k")).union(copies.select(key("dst").alias("k"))).distinct().withColumn("num", F.monotonically_increasing_id()))
+    number = lambda c: ids.select(F.col("k.cut").alias("cut"), F.col("k.v").alias(c), F.col("num").alias(f"{c}_num"))
+    joined = copies.join(number("src"), ["cut", "src"]).join(number("dst"), ["cut", "dst"])
+    found = connected_components(joined.select(F.col("src_num").alias("src"), F.col("dst_num").alias("dst")))
+    member = ids.join(found, F.col("num") == F.col("node")).select("k.cut", "k.v", "component").join(sizes, "v", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    totals = member.groupBy("cut", "component").agg(F.sum("size").alias("n_nodes"))
+    known = member.select("cut", "v", "component").join(totals, ["cut", "component"]).select(F.col("cut").alias("node"), F.col("v").alias("far"), "n_nodes")
+    each = far.join(known, ["node", "far"], "left").join(sizes.withColumnRenamed("v", "far"), "far", "left")
+    each = each.withColumn("n_nodes", F.coalesce("n_nodes", "size", F.lit(-1)))
+    best = each.groupBy("node").agg(F.min(F.struct("n_nodes", F.col("line").alias("id"))).alias("b"))
     return best.select("node", "b.id", "b.n_nodes")
 
 
-def solver_nodes(lines: DataFrame, nodes: DataFrame, single_width: float = 100.0) -> DataFrame:
-    """Flags of each node for the direction solver."""
-    d = N.degrees(lines).select(F.col("node").alias("id"), "n_lines")
-    flag = lambda c: F.when(c, 1).otherwise(0)
-    return nodes.join(d, "id").select("id", "n_lines", "is_outlet", flag((F.col("n_lines") == 1) & (F.col("is_outlet") == 0)).alias("inlet"), flag(F.col("grwl_value") == 126).alias("coastal"), flag(F.col("river_width") < single_width).alias("single_flow"))
-
-
-def solver_links(lines: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Half medians and gradient of vertex values, number of cells and bridge flag of each line."""
-    halves = A.half_medians(vertices).withColumnsRenamed({"first_half": "darea_start", "last_half": "darea_end", "gradient": "darea_gradient"})
-    cells = vertices.groupBy("id").agg(F.count("*").alias("length_cells"))
-    flagged = bridges(lines).withColumn("bridge", F.lit(1))
-    return lines.select("id", "start_node", "end_node").join(halves, "id").join(cells, "id").join(flagged, "id", "left").fillna(0, ["bridge"])
-
-
 def solve_directions(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     """Directions by elevation: lines point down; level ones from the smaller node. A heuristic of our own that leaves
     no directed cycle."""
@@ -143,55 +176,6 @@ def solve_directions(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     return N.flip(lines, wrong).select("id", "start_node", "end_node")
 
 
-def d8_from_lines(vertices: DataFrame) -> DataFrame:
-    """``(x, y, code)``: D8 code of the step to the next vertex, 0 at a line's end, the least where lines meet."""
-    w = Window.partitionBy("id").orderBy("pos")
-    code = S.d8_code(F.lead("x").over(w) - F.col("x"), F.lead("y").over(w) - F.col("y"))
-    return vertices.select("x", "y", F.coalesce(code, F.lit(0)).alias("code")).groupBy("x", "y").agg(F.min("code").alias("code"))
-
-
-def river_names(named: DataFrame, reaches: DataFrame, dmax: float) -> DataFrame:
-    """``(id, name, n)``: for each reach the name most of its nearest named points carry: an English or international
-    tag before the name itself; the smallest point id decides ties."""
-    pairs = P.nearest_within(named.select("id", "x", "y"), reaches.select("id", "x", "y"), dmax)
-    tags = S.parse_tags(F.col("other_tags"))
-    label = named.select("id", F.coalesce(S.first_tag(tags, "name:en", "int_name", "name:fr"), F.col("name")).alias("label"))
-    votes = pairs.join(label, "id").groupBy(F.col("to_id").alias("reach"), "label").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    return votes.groupBy("reach").agg(F.max(F.struct("n", (-F.col("first")).alias("k"), F.col("label").alias("name"))).alias("b")).select(F.col("reach").alias("id"), "b.name", "b.n")
-
-
-def fill_names(lines: DataFrame, max_length: int = 20) -> DataFrame:
-    """``(id, name)`` for unnamed lines on simple paths of at most ``max_length`` lines between nodes that touch the
-    same name, inside each component of unnamed lines. More frequent names fill first. One task per component."""
-    blank = lines.where("name IS NULL")
-    comp = settle(_components(blank))
-    inside = blank.join(comp.select(F.col("node").alias("start_node"), "component"), "start_node").select("component", "id", F.col("start_node").alias("a"), F.col("end_node").alias("b"), F.lit(None).cast("string").alias("name"))
-    named = lines.where("name IS NOT NULL")
-    touch = N.incidence(named).join(named.select(F.col("id").alias("line"), "name"), "line").select("node", "name").distinct()
-    ends = touch.join(comp, "node").select("component", F.lit(None).cast("long").alias("id"), F.col("node").alias("a"), F.col("node").alias("b"), "name")
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        around: dict[int, list[tuple[int, int]]] = {}
-        for r in pdf[pdf.id.notna()].itertuples():
-            around.setdefault(r.a, []).append((r.b, int(r.id)))
-            around.setdefault(r.b, []).append((r.a, int(r.id)))
-        touching = pdf[pdf.id.isna()]
-        out: dict[int, str] = {}
-        for name, nodes in sorted(touching.groupby("name").a.apply(set).items(), key=lambda x: (-len(x[1]), x[0])):
-            for start in sorted(nodes):
-                stack = [(start, frozenset([start]), ())]
-                while stack:
-                    node, seen, path = stack.pop()
-                    if path and node in nodes and node > start:
-                        for line in path:
-                            out.setdefault(line, name)
-                    if len(path) < max_length:
-                        stack += [(other, seen | {other}, (*path, line)) for other, line in around.get(node, ()) if other not in seen]
-        return pd.DataFrame({"id": pd.Series(list(out), dtype="int64"), "name": pd.Series(list(out.values()), dtype="str")})
-
-    return inside.unionByName(ends).groupBy("component").applyInPandas(fill, "id long, name string")
-
-
 def equal_reaches(lines: DataFrame, longest: float) -> DataFrame:
     """Split each line into the fewest equal parts no longer than ``longest``."""
     n = F.greatest(F.ceil(F.col("length") / longest), F.lit(1)).cast("int")

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import Rounds, settle
+
 
 def agglomerate(basins: DataFrame, max_area: float) -> DataFrame:
     """``(id, domain)``: greedy merging of neighbouring boxes inside each region. The pair whose merged envelope gains
@@ -51,15 +53,38 @@ def agglomerate(basins: DataFrame, max_area: float) -> DataFrame:
     return basins.groupBy("region").applyInPandas(merge, "id long, domain long")
 
 
-def allocate_components(nodes: DataFrame, ignore_known: bool = True) -> DataFrame:
-    """``(domain, comp)``: which domain keeps a component that several hold. ``nodes`` is ``(domain, comp, x, y)``;
-    components are the same where their nodes coincide. The domain with most nodes of it keeps it, the first in order
-    on ties; with ``ignore_known`` off a component stays in every domain that holds it."""
-    sizes = nodes.groupBy("domain", "comp").agg(F.count("*").alias("n"))
-    if not ignore_known:
-        return sizes.select("domain", "comp")
+def allocate_components(nodes: DataFrame, skip_given: bool = True) -> DataFrame:
+    """``(domain, comp)``: which domains keep a component that several hold. ``nodes`` is ``(domain, comp, x, y)``;
+    components are the same where nodes of theirs coincide.
+
+    Domains are taken in order. A component without an overlap is kept; one that meets several components of another
+    domain is kept; one that meets a single component is kept if it has at least as many nodes, and the other is then
+    given away. Components given away are left out of what later domains see and, with ``skip_given``, of what they
+    hold themselves. One round per domain, over its overlaps only."""
+    sizes = settle(nodes.groupBy("domain", "comp").agg(F.count("*").alias("n")))
     a, b = nodes.alias("a"), nodes.alias("b")
     same = a.join(b, ["x", "y"]).where("a.domain <> b.domain").select(F.col("a.domain").alias("domain"), F.col("a.comp").alias("comp"), F.col("b.domain").alias("o_domain"), F.col("b.comp").alias("o_comp")).distinct()
     other = sizes.select(F.col("domain").alias("o_domain"), F.col("comp").alias("o_comp"), F.col("n").alias("o_n"))
-    beaten = same.join(sizes, ["domain", "comp"]).join(other, ["o_domain", "o_comp"]).where("o_n > n OR (o_n = n AND o_domain < domain)").select("domain", "comp").distinct()
-    return sizes.join(beaten, ["domain", "comp"], "left_anti").select("domain", "comp")
+    same = settle(same.join(sizes, ["domain", "comp"]).join(other, ["o_domain", "o_comp"]))
+    order = [r.domain for r in same.select("domain").distinct().orderBy("domain").collect()]  # a row per domain
+    given, taken = Rounds(nodes.sparkSession), Rounds(nodes.sparkSession)
+    away = given.add(sizes.select(F.col("domain").alias("o_domain"), F.col("comp").alias("o_comp")).limit(0))
+    for domain in order:
+        away = given.all().select("o_domain", "o_comp")
+        met = same.where(F.col("domain") == domain).join(away, ["o_domain", "o_comp"], "left_anti")
+        if skip_given:
+            met = met.join(away.where(F.col("o_domain") == domain).select(F.col("o_comp").alias("comp")), "comp", "left_anti")
+        ways = met.groupBy("comp", "o_domain", "n").agg(F.count("*").alias("k"), F.min("o_comp").alias("o_comp"), F.min("o_n").alias("o_n"))
+        ways = ways.withColumn("keeps", (F.col("k") > 1) | (F.col("n") >= F.col("o_n")))
+        ways = taken.add(ways.select(F.lit(domain).alias("domain"), "comp", "o_domain", "o_comp", "k", "keeps"))
+        given.add(ways.where("keeps AND k = 1").select("o_domain", "o_comp"))
+    away = given.all().select(F.col("o_domain").alias("domain"), F.col("o_comp").alias("comp")).distinct()
+    if not order:
+        return sizes.select("domain", "comp")
+    decided = taken.all().groupBy("domain", "comp").agg(F.bool_or("keeps").alias("keeps"))
+    kept = sizes.join(decided, ["domain", "comp"], "left")
+    if skip_given:  # given away before its own domain's turn, unless that domain had taken it already
+        kept = kept.join(away.withColumn("away", F.lit(True)), ["domain", "comp"], "left").where("coalesce(keeps, away IS NULL)")
+    else:
+        kept = kept.where("coalesce(keeps, true)")
+    return kept.select("domain", "comp")

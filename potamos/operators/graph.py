@@ -4,92 +4,132 @@ a round costs a constant number of joins on what is still active."""
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .lineage import settle
-
-MAX_ROUNDS = 10_000
-
-
-#: After so many rounds what is done goes to one table, so the plan of a deep network stays small.
-GATHER = 50
-
-
-def gather(done: DataFrame | None, part: DataFrame, rnd: int) -> DataFrame:
-    done = part if done is None else done.unionByName(part)
-    return done if rnd % GATHER else settle(done)
+from .lineage import Rounds, release, settle
 
 
 def _none(df: DataFrame) -> bool:
     return df.isEmpty()
 
 
+def chains(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``chain`` and ``pos``: runs of lines joined by nodes of one inflow and one outflow, named by their
+    first line and numbered from 0. Runs that close on themselves have no chain. Pointer jumping: a number of rounds
+    that grows with the logarithm of the longest run. Self loops must be gone."""
+    ends = lines.select(F.col("start_node").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(lines.select("end_node", F.lit(0), F.lit(1)))
+    inner = ends.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).where("o = 1 AND i = 1").select("node")
+    above = lines.select(F.col("end_node").alias("node"), F.col("id").alias("above")).join(inner, "node").select(F.col("node").alias("start_node"), "above")
+    before = lines.select("id", "start_node").join(above, "start_node", "left").select(F.col("id").alias("node"), F.col("above").alias("next"))
+    heads = follow(before).select(F.col("node").alias("id"), F.col("root").alias("chain"), F.col("steps").alias("pos"))
+    return lines.join(heads, "id", "left")
+
+
+def _sweep(edges: DataFrame, combine, head: Column, gain: Column) -> DataFrame:
+    """``(chain, head)``: a value for the start of each edge once all edges above are done, which adds ``gain`` on its way
+    down; ``combine`` joins what arrives at a node and ``head`` makes the start value from it (``came``). Only the
+    front and nodes that still wait for an inflow are held; edges on and below cycles get no row."""
+    n_in = edges.groupBy(F.col("end_node").alias("node")).agg(F.count("*").alias("n_in"))
+    edges = settle(edges.join(n_in.withColumnRenamed("node", "end_node"), "end_node"))
+    log, waiting = Rounds(edges.sparkSession), None
+    columns = ["chain", "end_node", "n_in", head.cast("double").alias("head"), (head + gain).cast("double").alias("carry")]
+    sources = edges.join(edges.select(F.col("end_node").alias("start_node")), "start_node", "left_anti")
+    front = log.add(sources.withColumn("came", F.lit(0.0)).select(*columns))
+    while not _none(front):
+        arrived = front.select(F.col("end_node").alias("node"), "n_in", "carry", F.lit(1).alias("n"))
+        pool = arrived if waiting is None else waiting.unionByName(arrived)
+        pool = settle(pool.groupBy("node", "n_in").agg(combine("carry").alias("carry"), F.sum("n").cast("int").alias("n")), waiting)
+        ready = pool.where("n = n_in").select(F.col("node").alias("start_node"), F.col("carry").alias("came"))
+        front = log.add(edges.join(ready, "start_node").select(*columns))
+        waiting = settle(pool.where("n < n_in"), pool)
+    release(edges, waiting)
+    return log.all().select("chain", "head")
+
+
 def levels(lines: DataFrame) -> DataFrame:
     """``(id, level)``: 1 for lines from inlets, else one more than the highest level above; -1 on and below directed
-    cycles, and for self loops."""
-    left = settle(lines.where("start_node <> end_node").select("id", "start_node", "end_node"))
-    done = None
-    for level in count(1):  # ends by itself: a round without a ready line is the last
-        ready = left.join(left.select(F.col("end_node").alias("start_node")), "start_node", "left_anti")
-        ready = settle(ready.select("id", F.lit(level).alias("level")))
-        if _none(ready):
-            break
-        done = gather(done, ready, level)
-        left = settle(left.join(ready, "id", "left_anti"))
-    known = lines.select("id")
-    return known.withColumn("level", F.lit(-1)) if done is None else known.join(done, "id", "left").withColumn("level", F.coalesce("level", F.lit(-1)))
+    cycles, and for self loops. Chains are passed in one step, so the rounds are as many as junctions on the longest way."""
+    table = settle(chains(lines.where("start_node <> end_node").select("id", "start_node", "end_node")))
+    edges = table.where("chain IS NOT NULL").groupBy("chain").agg(F.min_by("start_node", "pos").alias("start_node"), F.max_by("end_node", "pos").alias("end_node"), F.count("*").alias("k"))
+    found = _sweep(edges, F.max, F.col("came") + 1, F.col("k") - 1)
+    level = table.join(found, "chain").select("id", (F.col("head") + F.col("pos")).cast("int").alias("level"))
+    return lines.select("id").join(level, "id", "left").withColumn("level", F.coalesce("level", F.lit(-1)))
 
 
 def route(lines: DataFrame, node_values: DataFrame, line_values: DataFrame | None = None, method: str = "sum") -> tuple[DataFrame, DataFrame]:
     """Route values downstream. ``node_values`` is ``(node, value)``, ``line_values`` ``(id, value)``; missing and null
-    values are 0. A node's inflow and own value go to its lines by their share of the width, or all to the main branch
-    (``method='mainstem'``); a line adds its own value on the way. Returns ``(id, line_in, line_out)`` for lines with a
-    level and ``(node, node_in)``; end nodes of the network never count their own value."""
+    values are 0. A node holds what flows in and its own value, unless no line leaves it; that goes to its lines by
+    their share of the width, or all to the main branch (``method='mainstem'``); a line adds its own value on the way.
+
+    Returns ``(id, line_in, line_out)`` for all lines and ``(node, node_in, node_out)`` for all nodes, ``node_out`` being what
+    goes into each line by ascending id. Lines on and below directed cycles come first in the order of routing, so
+    they carry their node's own value and nothing from above."""
     w = Window.partitionBy("start_node")
     share = F.col("width") / F.sum("width").over(w)
     if method == "mainstem":
         share = (F.row_number().over(w.orderBy(F.desc("width"), "id")) == 1).cast("double")
-    table = lines.select("id", "start_node", "end_node", share.alias("share")).join(levels(lines), "id").where("level > 0")
-    own = node_values.select(F.col("node").alias("start_node"), F.coalesce("value", F.lit(0.0)).alias("own"))
-    table = table.join(own, "start_node", "left")
+    own = node_values.groupBy(F.col("node").alias("start_node")).agg(F.max(F.coalesce("value", F.lit(0.0))).alias("own"))
+    table = lines.select("id", "start_node", "end_node", share.alias("share")).join(own, "start_node", "left")
     if line_values is not None:
         table = table.join(line_values.select("id", F.col("value").alias("line_value")), "id", "left")
     else:
         table = table.withColumn("line_value", F.lit(0.0))
-    table = settle(table.fillna(0.0, ["own", "line_value"]))
-    deepest = table.agg(F.max("level")).first()[0] or 0
-    arrivals = table.sparkSession.createDataFrame([], "start_node long, value double")
-    done = None
-    for level in range(1, deepest + 1):
-        here = table.where(F.col("level") == level)  # all lines that leave a node have one level
-        came = arrivals.groupBy("start_node").agg(F.sum("value").alias("came"))
-        moved = here.join(came, "start_node", "left").withColumn("line_in", F.col("share") * (F.coalesce("came", F.lit(0.0)) + F.col("own")))
-        moved = settle(moved.select("id", "end_node", "line_in", (F.col("line_in") + F.col("line_value")).alias("line_out")))
-        done = gather(done, moved, level)
-        waiting = arrivals.join(here.select("start_node"), "start_node", "left_anti")
-        arrivals = settle(waiting.unionByName(moved.select(F.col("end_node").alias("start_node"), F.col("line_out").alias("value"))))
-    if done is None:
-        done = table.sparkSession.createDataFrame([], "id long, end_node long, line_in double, line_out double")
-    return done.select("id", "line_in", "line_out"), done.groupBy(F.col("end_node").alias("node")).agg(F.sum("line_out").alias("node_in"))
+    table = table.fillna(0.0, ["own", "line_value"])
+    runs = chains(table.where("start_node <> end_node").select("id", "start_node", "end_node")).select("id", "chain", "pos")
+    table = settle(table.join(runs, "id", "left"))
+    # inside a chain all of a node goes on: its own value joins what the line above brings
+    inner = F.when(F.col("pos") > 0, F.col("own")).otherwise(0.0)
+    first = lambda c: F.min_by(c, "pos").alias(c)
+    edges = table.where("chain IS NOT NULL").groupBy("chain").agg(first("start_node"), first("share"), first("own"), F.max_by("end_node", "pos").alias("end_node"), (F.sum("line_value") + F.sum(inner)).alias("gain"))
+    found = _sweep(edges, F.sum, F.col("share") * (F.col("came") + F.col("own")), F.col("gain"))
+    along = Window.partitionBy("chain").orderBy("pos")
+    passed = F.sum(inner).over(along) + F.coalesce(F.sum("line_value").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    flow = table.where("chain IS NOT NULL").withColumn("passed", passed).join(found, "chain", "left").select("id", (F.col("head") + F.col("passed")).alias("flow"))
+    done = table.join(flow, "id", "left").withColumn("line_in", F.coalesce("flow", F.col("share") * F.col("own"), F.lit(0.0)))
+    done = settle(done.select("id", "start_node", "end_node", "own", "line_in", (F.col("line_in") + F.col("line_value")).alias("line_out")), table)
+    out = done.groupBy(F.col("start_node").alias("node")).agg(F.max("own").alias("own"), F.sort_array(F.collect_list(F.struct("id", "line_in"))).getField("line_in").alias("node_out"))
+    came = done.groupBy(F.col("end_node").alias("node")).agg(F.sum("line_out").alias("came"))
+    nodes = out.join(came, "node", "full_outer")
+    node_in = F.coalesce("came", F.lit(0.0)) + F.coalesce("own", F.lit(0.0))
+    return done.select("id", "line_in", "line_out"), nodes.select("node", node_in.alias("node_in"), F.coalesce("node_out", F.expr("cast(array() as array<double>)")).alias("node_out"))
+
+
+def route_cells(lines: DataFrame, node_values: DataFrame, vertices: DataFrame, method: str = "sum") -> DataFrame:
+    """``(id, pos, routed)``: what flows through each cell of a line, its own value included. ``vertices`` is
+    ``(id, pos, value)``; null values are 0."""
+    value = F.coalesce("value", F.lit(0.0))
+    routed, _ = route(lines, node_values, vertices.groupBy("id").agg(F.sum(value).alias("value")), method)
+    along = Window.partitionBy("id").orderBy("pos")
+    return vertices.join(routed, "id").select("id", "pos", (F.col("line_in") + F.sum(value).over(along)).alias("routed"))
+
+
+def route_mean(lines: DataFrame, node_values: DataFrame, vertices: DataFrame, node_cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Means instead of sums: what is routed, over the number of cells that drain there. ``vertices`` is
+    ``(id, pos, value, n_cells)`` and ``node_cells`` ``(node, n_cells)``. Returns ``(id, pos, mean)`` and
+    ``(node, mean_in, mean_out)``, the latter over all lines that leave the node."""
+    value = F.coalesce("value", F.lit(0.0))
+    routed, nodes = route(lines, node_values, vertices.groupBy("id").agg(F.sum(value).alias("value")))
+    along = Window.partitionBy("id").orderBy("pos")
+    cells = vertices.join(routed, "id").select("id", "pos", ((F.col("line_in") + F.sum(value).over(along)) / F.col("n_cells")).alias("mean"))
+    out = F.aggregate("node_out", F.lit(0.0), lambda a, b: a + b)
+    return cells, nodes.join(node_cells, "node").select("node", (F.col("node_in") / F.col("n_cells")).alias("mean_in"), (out / F.col("n_cells")).alias("mean_out"))
 
 
 def reachable(lines: DataFrame, seeds: DataFrame) -> DataFrame:
     """``(node, hops)``: nodes downstream of the seed nodes with the fewest steps."""
     edges = settle(lines.select("start_node", "end_node").distinct())
-    front = settle(seeds.select(F.col("node")).distinct().withColumn("hops", F.lit(0)))
-    found = front
-    for hops in range(1, MAX_ROUNDS):
+    log, hops = Rounds(edges.sparkSession), 0
+    front = log.add(seeds.select(F.col("node")).distinct().withColumn("hops", F.lit(0)))
+    while not _none(front):  # ends by itself: each round finds new nodes
+        hops += 1
         nxt = front.join(edges, F.col("node") == F.col("start_node")).select(F.col("end_node").alias("node")).distinct()
-        front = settle(nxt.join(found, "node", "left_anti").withColumn("hops", F.lit(hops)))
-        if _none(front):
-            return found
-        found = found.unionByName(front)
-    raise RuntimeError("reachability did not settle")
+        front = log.add(nxt.join(log.all().select("node"), "node", "left_anti").withColumn("hops", F.lit(hops)))
+    release(edges)
+    return log.all().select("node", "hops")
 
 
 def downstream_lines(lines: DataFrame, kept: DataFrame) -> DataFrame:
@@ -107,16 +147,16 @@ def shortest_paths(lines: DataFrame, sources: DataFrame, weight: str = "length",
     edges = settle(edges)
     best = settle(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("distance"), F.lit(None).cast("long").alias("line")).distinct())
     front = best
-    for _ in range(MAX_ROUNDS):
+    while True:  # ends by itself: distances only fall
         step = front.join(edges, F.col("node") == F.col("start_node")).select("source", F.col("end_node").alias("node"), (F.col("distance") + F.col("cost")).alias("distance"), F.col("id").alias("line"))
         step = step.groupBy("source", "node").agg(F.min(F.struct("distance", "line")).alias("new")).select("source", "node", "new.*")
         old = best.select("source", "node", F.struct("distance", "line").alias("old"))
         better = step.join(old, ["source", "node"], "left").where("old IS NULL OR distance < old.distance").drop("old")
-        front = settle(better)
+        front = settle(better, front if front is not best else None)
         if _none(front):
+            release(edges, front)
             return best
-        best = settle(best.join(front, ["source", "node"], "left_anti").unionByName(front))
-    raise RuntimeError("shortest paths did not settle")
+        best = settle(best.join(front, ["source", "node"], "left_anti").unionByName(front), best)
 
 
 def bridges(lines: DataFrame) -> DataFrame:
@@ -200,7 +240,8 @@ def strong_components(lines: DataFrame) -> DataFrame:
 
 def cycle_report(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines with undefined ends go, then lines on directed cycles are found: ``(id, cycle)`` with the smallest node
-    of the cluster, and per cluster its nodes, lines, in- and outflow nodes and label."""
+    of the cluster, and per cluster its nodes, in- and outflow nodes (nodes outside that touch it by one line only) and
+    label: a source has outflows only, a sink inflows only."""
     clean = lines.where("start_node >= 0 AND end_node >= 0")
     scc = settle(strong_components(clean))
     s, e = scc.select(F.col("node").alias("start_node"), F.col("scc").alias("s1")), scc.select(F.col("node").alias("end_node"), F.col("scc").alias("s2"))
@@ -208,12 +249,16 @@ def cycle_report(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     clusters = connected_components(induced.select(F.col("start_node").alias("src"), F.col("end_node").alias("dst")))
     on = induced.where("s1 = s2").join(clusters.select(F.col("node").alias("start_node"), F.col("component").alias("cycle")), "start_node")
     flagged = settle(on.select("id", "cycle"))
-    touching = clean.join(clusters.select(F.col("node").alias("start_node"), F.col("component").alias("c1")), "start_node", "left").join(clusters.select(F.col("node").alias("end_node"), F.col("component").alias("c2")), "end_node", "left")
-    inflow = touching.where("c1 IS NULL AND c2 IS NOT NULL").groupBy(F.col("c2").alias("cycle")).agg(F.countDistinct("end_node").alias("n_in"))
-    outflow = touching.where("c2 IS NULL AND c1 IS NOT NULL").groupBy(F.col("c1").alias("cycle")).agg(F.countDistinct("start_node").alias("n_out"))
+    # nodes that touch a cluster from outside by exactly one line, which leads in or out of it
+    within = lambda c, name: clusters.select(F.col("node").alias(c), F.col("component").alias(name))
+    touching = clean.join(within("start_node", "c1"), "start_node", "left").join(within("end_node", "c2"), "end_node", "left")
+    outward = touching.where("c1 IS NOT NULL AND c1 IS DISTINCT FROM c2").select(F.col("c1").alias("cycle"), F.col("end_node").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o"))
+    inward = touching.where("c2 IS NOT NULL AND c1 IS DISTINCT FROM c2").select(F.col("c2").alias("cycle"), F.col("start_node").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o"))
+    beside = outward.union(inward).groupBy("cycle", "node").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).where("i + o = 1")
+    flows = beside.groupBy("cycle").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
     size = clusters.groupBy(F.col("component").alias("cycle")).agg(F.count("*").alias("n_nodes"))
-    report = size.join(inflow, "cycle", "left").join(outflow, "cycle", "left").fillna(0, ["n_in", "n_out"])
-    label = F.when(F.col("n_in") == 0, "single-source").when(F.col("n_out") == 0, "single-sink").otherwise("in-out")
+    report = size.join(flows, "cycle", "left").fillna(0, ["n_in", "n_out"])
+    label = F.when((F.col("n_out") > 0) & (F.col("n_in") == 0), "single-source").when((F.col("n_in") > 0) & (F.col("n_out") == 0), "single-sink").otherwise("in-out")
     return flagged, report.withColumn("label", label)
 
 
@@ -240,22 +285,23 @@ def upstream_bifurcations(lines: DataFrame) -> DataFrame:
     return lines.select("id", "start_node").join(counts, "start_node", "left").select("id", F.coalesce("n_bifurcations", F.lit(0)).alias("n_bifurcations"))
 
 
-def peel_leaves(lines: DataFrame, may_go: DataFrame) -> DataFrame:
+def peel_leaves(lines: DataFrame, may_go: DataFrame, tips: DataFrame | None = None) -> DataFrame:
     """``(id, round, reversed)``: dangling lines peeled off while their free end and the other end are in ``may_go``
-    (nodes), and whether the line pointed towards the leaf."""
-    left, done = settle(lines.select("id", "start_node", "end_node")), None
-    for rnd in count(1):  # ends by itself: each round takes lines away
+    (nodes), and whether the line pointed towards the leaf. Free ends must be among ``tips`` too, where these are given."""
+    tips = may_go if tips is None else tips
+    left, log, rnd = settle(lines.select("id", "start_node", "end_node")), Rounds(lines.sparkSession), 0
+    ok = may_go.select("node").distinct().withColumn("ok", F.lit(True))
+    while True:  # ends by itself: each round takes lines away
+        rnd += 1
         ends = left.select(F.col("start_node").alias("node")).union(left.select("end_node"))
-        leaf = ends.groupBy("node").agg(F.count("*").alias("n")).where("n = 1").join(may_go, "node", "left_semi").select("node", F.lit(True).alias("leaf"))
-        ok = may_go.select("node").distinct().withColumn("ok", F.lit(True))
+        leaf = ends.groupBy("node").agg(F.count("*").alias("n")).where("n = 1").join(tips, "node", "left_semi").select("node", F.lit(True).alias("leaf"))
         at = left.join(leaf.select(F.col("node").alias("start_node"), F.col("leaf").alias("l1")), "start_node", "left").join(leaf.select(F.col("node").alias("end_node"), F.col("leaf").alias("l2")), "end_node", "left")
         at = at.join(ok.select(F.col("node").alias("start_node"), F.col("ok").alias("o1")), "start_node", "left").join(ok.select(F.col("node").alias("end_node"), F.col("ok").alias("o2")), "end_node", "left")
-        gone = settle(at.where("(l1 AND o2) OR (l2 AND o1)").select("id", F.lit(rnd).alias("round"), F.coalesce(~F.col("l1"), F.lit(True)).alias("reversed")))
+        gone = log.add(at.where("(l1 AND o2) OR (l2 AND o1)").select("id", F.lit(rnd).alias("peeled"), F.coalesce(~F.col("l1"), F.lit(True)).alias("reversed")))
         if _none(gone):
-            break
-        done = gather(done, gone, rnd)
-        left = settle(left.join(gone, "id", "left_anti"))
-    return left.select("id", F.lit(0).alias("round"), F.lit(False).alias("reversed")).limit(0) if done is None else done
+            release(left)
+            return log.all().select("id", F.col("peeled").alias("round"), "reversed")
+        left = settle(left.join(gone, "id", "left_anti"), left)
 
 
 def merge_polylines(lines: DataFrame) -> DataFrame:

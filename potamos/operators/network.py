@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from potamos.functions import scalars as S
+
 
 def incidence(lines: DataFrame) -> DataFrame:
     """``(node, line, role)``: each end of each line. A self loop has two rows."""
@@ -58,6 +60,16 @@ def flip(lines: DataFrame, flagged: DataFrame) -> DataFrame:
     return marked.withColumns(swapped)
 
 
+def fix_links(matches: DataFrame, min_share: float = 0.9, tolerance: float = 10.0) -> DataFrame:
+    """``(line, upstream_node)`` for segments laid under a line of known direction. ``matches`` is ``(line, start_node,
+    end_node, share, azimuth, fix_azimuth)``; those that share more than ``min_share`` of their length count. The same
+    direction makes the start node the upper one, the opposite the end node; anything between is an error."""
+    d = S.angle_difference(F.col("fix_azimuth"), F.col("azimuth"))
+    wrong = F.raise_error(F.format_string("line %d crosses its match by %s degrees", "line", F.col("d").cast("string"))).cast("long")
+    found = matches.where(F.col("share") > min_share).withColumn("d", d)
+    return found.select("line", F.when(F.col("d") < tolerance, F.col("start_node")).when(F.col("d") > 180 - tolerance, F.col("end_node")).otherwise(wrong).alias("upstream_node"))
+
+
 def _pair() -> list[Column]:
     return [F.least("start_node", "end_node"), F.greatest("start_node", "end_node")]
 
@@ -91,17 +103,21 @@ def dangles(lines: DataFrame) -> DataFrame:
 
 
 def short_dangles(lines: DataFrame, nodes: DataFrame, min_length: float) -> DataFrame:
-    """Dangles that go: shorter than the minimum and not at an outlet. Where several meet at a three-way node the
-    longest stays, and none goes where that would close the remaining lines into a parallel loop."""
-    outlets = nodes.where("is_outlet = 1").select(F.col("id").alias("dangle_node"))
-    short = dangles(lines).where(F.col("length") < min_length).join(outlets, "dangle_node", "left_anti")
-    degree = degrees(lines).select(F.col("node").alias("inner_node"), F.col("n_lines").alias("inner_degree"))
-    w = Window.partitionBy("inner_node")
-    ranked = short.join(degree, "inner_node").withColumn("n_short", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("length"), "id")))
-    ranked = ranked.where("NOT (inner_degree = 3 AND n_short >= 2 AND rank = 1)")
-    rest = other_end(ranked.select(F.col("inner_node").alias("id")).distinct(), lines).join(ranked.select(F.col("id").alias("line")), "line", "left_anti")
-    loops = rest.groupBy(F.col("node").alias("inner_node")).agg(F.countDistinct("other").alias("n_next"), F.countDistinct("line").alias("n_left")).where("n_next <> n_left")
-    return ranked.join(loops, "inner_node", "left_anti").select("id", "dangle_node", "inner_node", "length")
+    """Dangles that go, by the tip they are seen from: shorter than the minimum, and the tip is no outlet. Where several
+    meet at a three-way node the longest stays, and none goes where lines of the inner node share a far node, as that
+    would leave a loop. A line on its own has two tips and is seen from both."""
+    lines = lines.where("start_node <> end_node")
+    d = degrees(lines).select("node", "n_lines")
+    outlets = nodes.where("is_outlet = 1").select("id")
+    tips = d.where("n_lines = 1").select(F.col("node").alias("id")).join(outlets, "id", "left_anti")
+    short = other_end(tips, lines).join(lines.select(F.col("id").alias("line"), "length"), "line").where(F.col("length") < min_length)
+    short = short.join(d.select(F.col("node").alias("other"), F.col("n_lines").alias("inner_degree")), "other")
+    w = Window.partitionBy("other")
+    ranked = short.withColumns({"k": F.count("*").over(w), "rank": F.row_number().over(w.orderBy(F.desc("length"), "line"))}).where("NOT (inner_degree = 3 AND k > 1 AND rank = 1)")
+    around = other_end(ranked.select(F.col("other").alias("id")).distinct(), lines)
+    loops = around.groupBy(F.col("node").alias("inner_node")).agg(F.countDistinct("other").alias("a"), F.countDistinct("line").alias("b")).where("a <> b")
+    kept = ranked.select(F.col("line").alias("id"), F.col("node").alias("dangle_node"), F.col("other").alias("inner_node"), "length")
+    return kept.join(loops, "inner_node", "left_anti").select("id", "dangle_node", "inner_node", "length")
 
 
 def topology_ids(lines: DataFrame) -> DataFrame:

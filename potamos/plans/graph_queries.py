@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from potamos.operators import cleaning as K
 from potamos.operators import graph as G
+from potamos.operators import names as W
 from potamos.operators import network as N
+from potamos.operators import solver as V
 from potamos.operators.components import connected_components
 from potamos.plans.registry import query
 
@@ -25,9 +27,13 @@ def _(t):
     return K.clean_network(t.loose_lines, t.nodes, factor=4.0, lake_factor=8.0, min_accum=900.0).select("id")
 
 
-@query("o_g02_short_dangles")
+@query(
+    "o_g02_short_dangles",
+    "WITH d AS (SELECT node, count(*) AS n FROM (SELECT start_node AS node FROM loose_lines UNION ALL SELECT end_node FROM loose_lines) e GROUP BY node), s AS (SELECT l.id, l.length, t.node AS tip, CASE WHEN t.node = l.start_node THEN l.end_node ELSE l.start_node END AS far FROM loose_lines l JOIN d t ON t.n = 1 AND (t.node = l.start_node OR t.node = l.end_node) WHERE l.length < 1500 AND t.node NOT IN (SELECT id FROM nodes WHERE is_outlet = 1)), r AS (SELECT s.*, d.n AS deg, count(*) OVER (PARTITION BY far) AS k, row_number() OVER (PARTITION BY far ORDER BY length DESC, id) AS rk FROM s JOIN d ON d.node = s.far), a AS (SELECT node, count(DISTINCT other) AS p, count(DISTINCT id) AS q FROM (SELECT start_node AS node, end_node AS other, id FROM loose_lines UNION ALL SELECT end_node, start_node, id FROM loose_lines) x GROUP BY node) SELECT r.id, tip AS dangle_node, far AS inner_node FROM r JOIN a ON a.node = r.far WHERE a.p = a.q AND NOT (deg = 3 AND k > 1 AND rk = 1)",
+    ("loose_lines", "nodes"),
+)
 def _(t):
-    return N.short_dangles(t.loose_lines, t.nodes, 1100.0).select("id", "dangle_node", "inner_node")
+    return N.short_dangles(t.loose_lines, t.nodes, 1500.0).select("id", "dangle_node", "inner_node")
 
 
 @query(
@@ -41,7 +47,8 @@ def _(t):
 
 @query("o_g04_snap_ends")
 def _(t):
-    return K.snap_ends(t.loose_lines, t.nodes.select("id", (F.col("id") * 7919 % 2003 * 10.0).alias("x"), (F.col("id") * 104729 % 2003 * 10.0).alias("y")), dmin=60.0, dmax=400.0, min_loop=1000.0)
+    at = t.nodes.select("id", (F.col("id") * 7919 % 503 * 10.0).alias("x"), (F.col("id") * 104729 % 503 * 10.0).alias("y"), "river_width", F.col("grwl_value").isin(126, 255).alias("is_end"))
+    return K.snap_ends(t.loose_lines, at, dmin=60.0, dmax=900.0, min_loop=3000.0, factor=4.0)
 
 
 @query("o_g05_prune_triangles")
@@ -59,13 +66,22 @@ def _(t):
     return K.remove_cycles(t.messy_lines.where("start_node >= 0 AND end_node >= 0"), t.nodes).select("id")
 
 
-@query("o_g08_bridges", "WITH both_ways AS (SELECT id, start_node AS a, end_node AS b FROM loose_lines UNION ALL SELECT id, end_node, start_node FROM loose_lines) SELECT DISTINCT id FROM both_ways", ("loose_lines",))
+# whether the ends of a line still meet without it, for each line
+_BRIDGE = "two AS (SELECT id, start_node AS a, end_node AS b FROM {0} UNION ALL SELECT id, end_node, start_node FROM {0}), go AS (SELECT id AS cut, start_node AS node, end_node AS goal FROM {0} UNION SELECT g.cut, two.b, g.goal FROM go g JOIN two ON two.a = g.node AND two.id <> g.cut WHERE g.node <> g.goal), bridge AS (SELECT id FROM {0} WHERE id NOT IN (SELECT cut FROM go WHERE node = goal)), beside AS (SELECT a AS node, count(DISTINCT b) AS k FROM two GROUP BY a)"
+
+
+@query("o_g08_bridges", "WITH " + _BRIDGE.format("loose_lines") + " SELECT id FROM bridge", ("loose_lines",))
 def _(t):
-    """A forest: each line is a bridge."""
     return G.bridges(t.loose_lines)
 
 
-@query("o_g08_bridges_with_loops")
+@query("o_g08_inner_bridges", "WITH " + _BRIDGE.format("loose_lines") + " SELECT l.id FROM loose_lines l JOIN bridge ON bridge.id = l.id JOIN beside s ON s.node = l.start_node JOIN beside e ON e.node = l.end_node WHERE s.k > 1 AND e.k > 1", ("loose_lines",))
+def _(t):
+    """Bridges that aren't dangles."""
+    return V.inner_bridges(t.loose_lines).select("id")
+
+
+@query("o_g08_bridges_with_loops", "WITH whole AS (SELECT id, start_node, end_node FROM messy_lines WHERE start_node >= 0 AND end_node >= 0), " + _BRIDGE.format("whole") + " SELECT id FROM bridge", ("messy_lines",))
 def _(t):
     return G.bridges(t.messy_lines.where("start_node >= 0 AND end_node >= 0"))
 
@@ -117,31 +133,47 @@ def _(t):
 
 @query("o_g13_split_interbasin")
 def _(t):
-    return K.split_interbasin(t.loose_lines, t.nodes.where("id % 41 = 0").select("id"))
+    return K.split_interbasin(t.loose_lines, t.nodes.where("type = 'interbasin'").select("id"))
 
 
 @query(
     "o_g14_solver_nodes",
-    "WITH d AS (SELECT node, count(*) AS n, CAST(sum(o) AS BIGINT) AS n_out FROM (SELECT start_node AS node, 1 AS o FROM lines UNION ALL SELECT end_node, 0 FROM lines) e GROUP BY node) SELECT id, n AS n_lines, is_outlet, CASE WHEN n = 1 AND is_outlet = 0 THEN 1 ELSE 0 END AS inlet, CASE WHEN grwl_value = 126 THEN 1 ELSE 0 END AS coastal, CASE WHEN river_width < 100 THEN 1 ELSE 0 END AS single_flow FROM nodes JOIN d ON d.node = id",
-    ("lines", "nodes"),
+    "WITH c AS (SELECT id, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS conn, count(*) AS n_lines FROM (SELECT DISTINCT start_node AS id, id AS line FROM lines UNION SELECT end_node, id FROM lines) e GROUP BY id), n AS (SELECT w.*, c.conn, c.n_lines, w.grwl_value IS NULL AS single, coalesce(type = 'outlet', false) AS was FROM net_nodes w JOIN c ON c.id = w.id), o AS (SELECT *, bool_and(single) OVER (PARTITION BY comp) AS single_only, row_number() OVER (PARTITION BY comp, was ORDER BY darea DESC, id) AS r FROM n), q AS (SELECT *, was AND (NOT single_only OR r = 1) AS outl FROM o) SELECT id, conn, n_lines, CAST(outl AS INTEGER) AS outlet, CAST((n_lines = 1 AND NOT outl) OR coalesce(type = 'interbasin', false) AS INTEGER) AS inlet, CAST(coalesce(grwl_value = 126, false) AS INTEGER) AS coastal, CAST(single AS INTEGER) AS single_flow, comp AS component, darea AS accumulation, outlet_distance AS synthetic_elevation, mainchannel_darea FROM q",
+    ("lines", "net_nodes"),
 )
 def _(t):
-    return K.solver_nodes(t.lines, t.nodes)
+    return V.solver_nodes(t.lines, t.net_nodes)
+
+
+def _half(name: str, part: str) -> str:
+    return f"quantile_cont(CASE WHEN {'k < greatest(1, n // 2)' if part == 'start' else 'k >= n - greatest(1, n // 2)'} THEN {name} END, 0.5)"
 
 
 @query(
     "o_g15_solver_links",
-    "WITH k AS (SELECT id, pos, value, count(*) OVER (PARTITION BY id) AS n FROM vertices), h AS (SELECT id, count(*) AS length_cells, quantile_cont(CASE WHEN pos < greatest(1, n // 2) THEN value END, 0.5) AS darea_start, quantile_cont(CASE WHEN pos >= n - greatest(1, n // 2) THEN value END, 0.5) AS darea_end FROM k GROUP BY id) SELECT l.id, l.start_node, l.end_node, length_cells, darea_start, darea_end, darea_end - darea_start AS darea_gradient FROM loose_lines l JOIN h ON h.id = l.id",
-    ("loose_lines", "vertices"),
+    "WITH c AS (SELECT v.id, v.pos, v.idx, v.width, l.start_node, l.end_node, min(pos) OVER (PARTITION BY v.id) AS lo, max(pos) OVER (PARTITION BY v.id) AS hi, avg(CASE WHEN idx IS NOT NULL THEN v.width END) OVER (PARTITION BY v.id) AS mean_width FROM line_cells v JOIN loose_lines l ON l.id = v.id), k AS (SELECT id, pos, coalesce(idx, CASE WHEN pos = lo THEN start_node ELSE end_node END * 1000000) AS idx, CASE WHEN idx IS NULL THEN coalesce(mean_width, 30) ELSE width END AS width FROM c WHERE idx IS NOT NULL OR pos = lo OR pos = hi), "
+    "li AS (SELECT id, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY pos) AS idx_list, coalesce(string_agg(CAST(CAST(floor(width) AS BIGINT) AS VARCHAR), ',' ORDER BY pos), '') AS width_list, count(*) AS length_cells FROM k GROUP BY id), h0 AS (SELECT id, darea, elev, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS k, count(*) OVER (PARTITION BY id) AS n FROM line_cells WHERE idx IS NOT NULL), "
+    f"h AS (SELECT id, {_half('darea', 'start')} AS darea_start, {_half('darea', 'end')} AS darea_end, {_half('elev', 'start')} AS elevation_start, {_half('elev', 'end')} AS elevation_end FROM h0 GROUP BY id), "
+    + _BRIDGE.format("loose_lines")
+    + " SELECT l.id, l.start_node, l.end_node, idx_list, width_list, length_cells, darea_start, darea_end, darea_end - darea_start AS darea_gradient, elevation_start, elevation_end, elevation_end - elevation_start AS elevation_gradient, CASE WHEN s.k > 1 AND e.k > 1 AND l.id IN (SELECT id FROM bridge) THEN 1 ELSE 0 END AS bridge FROM loose_lines l LEFT JOIN li ON li.id = l.id LEFT JOIN h ON h.id = l.id JOIN beside s ON s.node = l.start_node JOIN beside e ON e.node = l.end_node",
+    ("loose_lines", "line_cells"),
 )
 def _(t):
-    return K.solver_links(t.loose_lines, t.vertices).select("id", "start_node", "end_node", "length_cells", "darea_start", "darea_end", "darea_gradient")
+    return V.solver_links(t.loose_lines, t.line_cells, t.nodes.select(F.col("id").alias("node"), (F.col("id") * 1_000_000).alias("idx")))
 
 
 @query("o_g16_peel_leaves")
 def _(t):
-    single = t.nodes.where("is_outlet = 0 AND river_width < 350").select(F.col("id").alias("node"))
-    return G.peel_leaves(t.lines, single)
+    return V.prune_single_flow(t.messy_lines, _single(t))[1]
+
+
+@query("o_g16_pruned_nodes")
+def _(t):
+    return V.prune_single_flow(t.messy_lines, _single(t))[2].select("id", "n_lines", "outlet", "inlet")
+
+
+def _single(t):
+    return t.nodes.select("id", (F.col("river_width") < 350).cast("int").alias("single_flow"), F.col("is_outlet").alias("outlet"))
 
 
 @query("o_g17_solve_directions", "WITH l AS (SELECT lines.id, start_node, end_node, s.elevation AS a, e.elevation AS b FROM lines JOIN nodes s ON s.id = start_node JOIN nodes e ON e.id = end_node) SELECT id, CASE WHEN a > b OR (a = b AND start_node < end_node) THEN start_node ELSE end_node END AS start_node, CASE WHEN a > b OR (a = b AND start_node < end_node) THEN end_node ELSE start_node END AS end_node FROM l", ("lines", "nodes"))
@@ -158,14 +190,27 @@ def _(t):
     return G.strong_components(t.messy_lines.where("start_node >= 0 AND end_node >= 0"))
 
 
-@query("o_g18_directed_cycles")
+_CLEAN = "clean AS (SELECT id, start_node, end_node FROM messy_lines WHERE start_node >= 0 AND end_node >= 0)"
+_CLUSTER = f"{_CLEAN}, {_SCC}, cyc AS (SELECT DISTINCT a AS node FROM fw WHERE a = b), both_ways AS (SELECT start_node AS a, end_node AS b FROM clean WHERE start_node IN (SELECT node FROM cyc) AND end_node IN (SELECT node FROM cyc) UNION SELECT end_node, start_node FROM clean WHERE start_node IN (SELECT node FROM cyc) AND end_node IN (SELECT node FROM cyc)), reach AS (SELECT node, node AS other FROM cyc UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.other), cl AS (SELECT node, min(other) AS cycle FROM reach GROUP BY node)"
+
+
+@query(
+    "o_g18_directed_cycles",
+    f"WITH {_CLUSTER}, t AS (SELECT c1.cycle AS c1, c2.cycle AS c2, start_node, end_node FROM clean LEFT JOIN cl c1 ON c1.node = start_node LEFT JOIN cl c2 ON c2.node = end_node), o AS (SELECT c1 AS cycle, end_node AS node, 0 AS i, 1 AS o FROM t WHERE c1 IS NOT NULL AND c1 IS DISTINCT FROM c2 UNION ALL SELECT c2, start_node, 1, 0 FROM t WHERE c2 IS NOT NULL AND c1 IS DISTINCT FROM c2), f AS (SELECT cycle, sum(i) AS i, sum(o) AS o FROM (SELECT cycle, node, sum(i) AS i, sum(o) AS o FROM o GROUP BY cycle, node HAVING count(*) = 1) x GROUP BY cycle), s AS (SELECT cycle, count(*) AS n_nodes FROM cl GROUP BY cycle), q AS (SELECT s.cycle, n_nodes, CAST(coalesce(f.i, 0) AS BIGINT) AS n_in, CAST(coalesce(f.o, 0) AS BIGINT) AS n_out FROM s LEFT JOIN f ON f.cycle = s.cycle) SELECT cycle, n_nodes, n_in, n_out, CASE WHEN n_out > 0 AND n_in = 0 THEN 'single-source' WHEN n_in > 0 AND n_out = 0 THEN 'single-sink' ELSE 'in-out' END AS label FROM q",
+    ("messy_lines",),
+)
 def _(t):
     return G.cycle_report(t.messy_lines)[1]
 
 
-@query("o_g18_continuity", "SELECT node, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM (SELECT start_node AS node, 1 AS o, 0 AS i FROM lines WHERE id % 7 <> 0 UNION ALL SELECT end_node, 0, 1 FROM lines WHERE id % 7 <> 0) e WHERE node NOT IN (SELECT id FROM nodes WHERE is_outlet = 1) GROUP BY node HAVING (sum(i) = 0 AND sum(o) > 1) OR (sum(i) > 1 AND sum(o) = 0)", ("lines", "nodes"))
+@query("o_g18_cycle_lines", f"WITH {_CLUSTER} SELECT id, cycle FROM clean JOIN cl ON cl.node = start_node WHERE EXISTS (SELECT 1 FROM fw WHERE a = end_node AND b = start_node) OR start_node = end_node", ("messy_lines",))
+def _(t):
+    return G.cycle_report(t.messy_lines)[0]
+
+
+@query("o_g18_continuity", "SELECT node, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM (SELECT start_node AS node, 1 AS o, 0 AS i FROM loose_lines UNION ALL SELECT end_node, 0, 1 FROM loose_lines) e WHERE node NOT IN (SELECT id FROM nodes WHERE is_outlet = 1) GROUP BY node HAVING (sum(i) = 0 AND sum(o) > 1) OR (sum(i) > 1 AND sum(o) = 0)", ("loose_lines", "nodes"))
 def _(t):
-    return G.continuity_violations(t.lines.where("id % 7 <> 0"), t.nodes.where("is_outlet = 1").select(F.col("id").alias("node")))
+    return G.continuity_violations(t.loose_lines, t.nodes.where("is_outlet = 1").select(F.col("id").alias("node")))
 
 
 @query("o_g19_levels", f"WITH {_LEVEL} SELECT id, max(level) AS level FROM lv GROUP BY id", ("lines",))
@@ -188,19 +233,34 @@ def _(t):
     return G.follow(main)
 
 
-@query("o_g22_raster_segments", "SELECT n.id AS node, count(DISTINCT u.id) AS n_up, count(DISTINCT d.id) AS n_down, count(DISTINCT d.id) > 1 AS is_bifurcation FROM nodes n LEFT JOIN lines u ON u.end_node = n.id LEFT JOIN lines d ON d.start_node = n.id GROUP BY n.id", ("lines", "nodes"))
+@query(
+    "o_g22_raster_segments",
+    "WITH u AS (SELECT end_node AS node, min(id) AS first, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM messy_lines GROUP BY 1), d AS (SELECT start_node AS node, min(id) AS first, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM messy_lines GROUP BY 1), v AS (SELECT id, x, y, pos, max(pos) OVER (PARTITION BY id) AS hi FROM vertices), n AS (SELECT coalesce(u.node, d.node) AS node, u.first AS up, d.first AS down, coalesce(u.ids, '') AS upstream, coalesce(d.ids, '') AS downstream, coalesce(d.n, 0) > 1 AS bifurcation FROM u FULL JOIN d ON d.node = u.node) SELECT n.node, upstream, downstream, bifurcation, v.x, v.y FROM n LEFT JOIN v ON v.id = coalesce(n.up, n.down) AND v.pos = CASE WHEN n.up IS NOT NULL THEN v.hi ELSE 0 END",
+    ("messy_lines", "vertices"),
+)
 def _(t):
-    d = N.degrees(t.lines)
-    return t.nodes.select(F.col("id").alias("node")).join(d, "node", "left").fillna(0, ["n_in", "n_out"]).select("node", F.col("n_in").alias("n_up"), F.col("n_out").alias("n_down"), (F.col("n_out") > 1).alias("is_bifurcation"))
+    nodes = V.raster_segments(t.messy_lines, t.vertices)[1]
+    text = lambda c: F.concat_ws(",", F.transform(c, lambda i: i.cast("string")))
+    return nodes.select("node", text("upstream_segments").alias("upstream"), text("downstream_segments").alias("downstream"), "bifurcation", "x", "y")
+
+
+@query("o_g22_trimmed_segments", "SELECT id, pos, x, y FROM (SELECT *, max(pos) OVER (PARTITION BY id) AS hi FROM vertices) v WHERE pos > 0 AND pos < hi", ("vertices",))
+def _(t):
+    return V.raster_segments(t.messy_lines, t.vertices)[0]
+
+
+@query("o_g22_connected_lines", "SELECT id, start_node, end_node FROM messy_lines WHERE start_node > 0 AND end_node > 0", ("messy_lines",))
+def _(t):
+    return V.raster_segments(t.messy_lines, t.vertices)[2].select("id", "start_node", "end_node")
 
 
 @query(
     "o_g23_d8_from_network",
-    "WITH s AS (SELECT x, y, sign(lead(x) OVER w - x) AS dx, sign(lead(y) OVER w - y) AS dy FROM vertices WINDOW w AS (PARTITION BY id ORDER BY pos)), k AS (SELECT x, y, CASE WHEN dx = 1 AND dy = 1 THEN 1 WHEN dx = 0 AND dy = 1 THEN 2 WHEN dx = -1 AND dy = 1 THEN 3 WHEN dx = -1 AND dy = 0 THEN 4 WHEN dx = -1 AND dy = -1 THEN 5 WHEN dx = 0 AND dy = -1 THEN 6 WHEN dx = 1 AND dy = -1 THEN 7 WHEN dx = 1 AND dy = 0 THEN 8 ELSE 0 END AS code FROM s) SELECT x, y, min(code) AS code FROM k GROUP BY x, y",
-    ("vertices",),
+    "WITH b AS (SELECT id, start_node, row_number() OVER (PARTITION BY start_node ORDER BY width DESC, id) AS r FROM lines), late AS (SELECT min(id) AS id FROM b WHERE r > 1 GROUP BY start_node), s AS (SELECT x, y, sign(lead(x) OVER w - x) AS dx, sign(lead(y) OVER w - y) AS dy FROM vertices WHERE pos > 0 OR id NOT IN (SELECT id FROM late) WINDOW w AS (PARTITION BY id ORDER BY pos)), k AS (SELECT x, y, CASE WHEN dx = 1 AND dy = 1 THEN 1 WHEN dx = 0 AND dy = 1 THEN 2 WHEN dx = -1 AND dy = 1 THEN 3 WHEN dx = -1 AND dy = 0 THEN 4 WHEN dx = -1 AND dy = -1 THEN 5 WHEN dx = 0 AND dy = -1 THEN 6 WHEN dx = 1 AND dy = -1 THEN 7 WHEN dx = 1 AND dy = 0 THEN 8 WHEN dx = 0 AND dy = 0 THEN 0 END AS code FROM s WHERE dx IS NOT NULL UNION ALL SELECT v.x, v.y, 0 FROM (SELECT end_node, min(id) AS id FROM lines WHERE end_node NOT IN (SELECT start_node FROM lines) GROUP BY end_node) o JOIN (SELECT *, max(pos) OVER (PARTITION BY id) AS hi FROM vertices) v ON v.id = o.id AND v.pos = v.hi) SELECT x, y, min(code) AS code FROM k GROUP BY x, y",
+    ("lines", "vertices"),
 )
 def _(t):
-    return K.d8_from_lines(t.vertices)
+    return V.drainage(t.lines, t.vertices)
 
 
 @query(
@@ -212,17 +272,23 @@ def _(t):
     return G.upstream_bifurcations(t.lines)
 
 
-@query("o_g25_river_names")
+# Student's distribution by its finite sum, with gamma functions for the products
+_P_VALUE = "1 - CASE WHEN nu % 2 = 1 THEN 2 / pi() * (asin(least(abs(r), 1)) + abs(r) * coalesce((SELECT sum(exp(lgamma(k + 1) + 0.5 * ln(pi()) - lgamma(k + 1.5) - ln(2)) * power(sqrt(1 - r * r), 2 * k + 1)) FROM range(0, 30) g(k) WHERE k <= (nu - 3) / 2), 0)) ELSE abs(r) * coalesce((SELECT sum(exp(lgamma(k + 0.5) - lgamma(k + 1) - 0.5 * ln(pi())) * power(sqrt(1 - r * r), 2 * k)) FROM range(0, 30) g(k) WHERE k <= (nu - 2) / 2), 0) END"
+
+
+@query(
+    "o_g25_river_names",
+    f"WITH d AS (SELECT p.id, p.seq, p.length, s.id AS to_id, sqrt(power(p.x - s.x, 2) + power(p.y - s.y, 2)) AS dist FROM reach_pieces p CROSS JOIN named_points s), n AS (SELECT id, seq, length, to_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY id, seq ORDER BY dist, to_id) AS r FROM d) x WHERE r = 1), c AS (SELECT *, sum(length) OVER (PARTITION BY id ORDER BY seq) AS along FROM n), f AS (SELECT id, count(*) AS n, count(*) - 2 AS nu, CASE WHEN stddev_pop(dist) > 0 THEN corr(along, dist) END AS r, count(CASE WHEN dist > 300 THEN 1 END) AS far FROM c GROUP BY id), p AS (SELECT id, n, r, far, {_P_VALUE} AS p FROM f), g AS (SELECT id FROM p WHERE far / n <= 0.5 AND NOT coalesce(n > 3 AND abs(r) > 0.5 AND p < 0.005, false)), v AS (SELECT id, to_id, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, to_id) AS r FROM c WHERE id IN (SELECT id FROM g) GROUP BY id, to_id) "
+    """SELECT v.id, v.to_id AS named_id, s.name AS local, coalesce(nullif(regexp_extract(s.other_tags, '"name:en"=>"([^"]*)"', 1), ''), nullif(regexp_extract(s.other_tags, '"int_name"=>"([^"]*)"', 1), '')) AS en FROM v JOIN named_points s ON s.id = v.to_id WHERE v.r = 1""",
+    ("reach_pieces", "named_points"),
+)
 def _(t):
-    named = t.stations.select("id", "x", "y").join(t.tags.select("id", "other_tags", "name"), "id")
-    reaches = t.targets.select("id", "x", "y")
-    return K.river_names(named, reaches, dmax=900.0)
+    return W.river_names(t.reach_pieces, t.named_points, max_dist=300.0)
 
 
 @query("o_g26_fill_names")
 def _(t):
-    named = t.loose_lines.select("id", "start_node", "end_node", F.when(F.col("id") % 4 == 0, F.concat(F.lit("r"), (F.col("end_node") % 5).cast("string"))).alias("name"))
-    return K.fill_names(named, max_length=20)
+    return W.fill_names(t.named_lines, max_length=4, priority="length")
 
 
 @query("o_g27_downstream_closure", "WITH r AS (SELECT end_node AS node FROM lines WHERE id % 50 = 7 UNION SELECT l.end_node FROM r JOIN lines l ON l.start_node = r.node) SELECT id FROM lines WHERE id % 50 = 7 OR start_node IN (SELECT node FROM r)", ("lines",))
@@ -235,34 +301,99 @@ def _(t):
     return G.reachable(t.lines, t.lines.where("id = 197").select(F.col("start_node").alias("node")))
 
 
-_SHARES = "s AS (SELECT id, start_node, end_node, width / sum(width) OVER (PARTITION BY start_node) AS share, CASE WHEN row_number() OVER (PARTITION BY start_node ORDER BY width DESC, id) = 1 THEN 1.0 ELSE 0.0 END AS main FROM lines)"
+_SHARES = "s AS (SELECT id, start_node, end_node, width / sum(width) OVER (PARTITION BY start_node) AS share, CASE WHEN row_number() OVER (PARTITION BY start_node ORDER BY width DESC, id) = 1 THEN 1.0 ELSE 0.0 END AS main FROM routed)"
+
 
+def _route_sql(share: str, line_value: str = "0", columns: str = "node, round(sum(v), 4) AS node_in", values: str = "") -> str:
+    # flow by path: what a node or line adds goes down every path, times the shares on the way; a node holds its own
+    # value too if a line leaves it, and lines on and below cycles take their own node's value only
+    return (
+        f"WITH {_SHARES}, bad AS (SELECT a AS node FROM around WHERE a = b UNION SELECT r.end_node FROM bad JOIN routed r ON r.start_node = bad.node AND r.start_node <> r.end_node), "
+        f"good AS (SELECT * FROM s WHERE start_node <> end_node AND start_node NOT IN (SELECT node FROM bad)), p AS (SELECT id, end_node, CAST({share} * (1 + start_node % 7) AS DOUBLE) AS came FROM s UNION ALL SELECT s.id, s.end_node, CAST({share} * p.came AS DOUBLE) FROM p JOIN good s ON s.start_node = p.end_node WHERE p.id IN (SELECT id FROM good)), "
+        f"q AS (SELECT id, end_node, CAST({line_value} AS DOUBLE) AS v FROM s UNION ALL SELECT s.id, s.end_node, CAST({share} * q.v AS DOUBLE) FROM q JOIN good s ON s.start_node = q.end_node WHERE q.id IN (SELECT id FROM good)), "
+        "h AS (SELECT end_node AS node, came AS v FROM p UNION ALL SELECT end_node, v FROM q UNION ALL SELECT DISTINCT start_node, CAST(1 + start_node % 7 AS DOUBLE) FROM s)"
+        f"{values} SELECT {columns}"
+    )
 
-def _route_sql(share: str, line_value: str = "0") -> str:
-    # flow by path: each node's own value and each line's value go down every path, times the shares on the way
-    return f"WITH {_SHARES}, p AS (SELECT id, end_node, CAST({share} * (1 + start_node % 7) AS DOUBLE) AS came FROM s UNION ALL SELECT s.id, s.end_node, CAST({share} * (p.came) AS DOUBLE) FROM p JOIN s ON s.start_node = p.end_node), q AS (SELECT id, end_node, CAST({line_value} AS DOUBLE) AS v FROM s UNION ALL SELECT s.id, s.end_node, CAST({share} * q.v AS DOUBLE) FROM q JOIN s ON s.start_node = q.end_node) SELECT node, round(sum(v), 4) AS node_in FROM (SELECT end_node AS node, came AS v FROM p UNION ALL SELECT end_node, v FROM q) u GROUP BY node"
+
+def _over(table: str, cycles: bool = False) -> str:
+    around = "around AS (SELECT start_node AS a, end_node AS b FROM routed WHERE start_node <> end_node UNION SELECT x.a, r.end_node FROM around x JOIN routed r ON r.start_node = x.b AND r.start_node <> r.end_node)" if cycles else "around AS (SELECT start_node AS a, end_node AS b FROM routed WHERE false)"
+    return f"routed AS (SELECT * FROM {table}), {around}, "
 
 
 def _own(t):
     return t.nodes.select(F.col("id").alias("node"), (1 + F.col("id") % 7).cast("double").alias("value"))
 
 
-@query("o_g29_route_sum", _route_sql("s.share"), ("lines",))
+def _nodes_sql(table: str, share: str, line_value: str = "0", cycles: bool = False) -> str:
+    return _route_sql(share, line_value, "node, round(sum(v), 4) AS node_in FROM h GROUP BY node").replace("WITH ", "WITH " + _over(table, cycles), 1)
+
+
+@query("o_g29_route_sum", _nodes_sql("lines", "s.share"), ("lines",))
 def _(t):
     return G.route(t.lines, _own(t))[1].select("node", F.round("node_in", 4).alias("node_in"))
 
 
-@query("o_g29_route_mainstem", _route_sql("s.main"), ("lines",))
+@query("o_g29_route_mainstem", _nodes_sql("lines", "s.main"), ("lines",))
 def _(t):
     return G.route(t.lines, _own(t), method="mainstem")[1].select("node", F.round("node_in", 4).alias("node_in"))
 
 
-@query("o_g29_route_line_values", _route_sql("s.share", "s.id % 10"), ("lines",))
+@query("o_g29_route_line_values", _nodes_sql("lines", "s.share", "s.id % 10"), ("lines",))
 def _(t):
     values = t.lines.select("id", (F.col("id") % 10).cast("double").alias("value"))
     return G.route(t.lines, _own(t), values)[1].select("node", F.round("node_in", 4).alias("node_in"))
 
 
+def _whole(t):
+    return t.messy_lines.where("end_node >= 0")
+
+
+_WHOLE = "(SELECT * FROM messy_lines WHERE end_node >= 0) m"
+
+
+@query("o_g29_route_cycles", _nodes_sql(_WHOLE, "s.share", "s.id % 10", cycles=True), ("messy_lines",))
+def _(t):
+    """Lines on and below cycles, self loops among them, are in the result."""
+    values = _whole(t).select("id", (F.col("id") % 10).cast("double").alias("value"))
+    return G.route(_whole(t), _own(t), values)[1].select("node", F.round("node_in", 4).alias("node_in"))
+
+
+def _lines_sql(table: str, cycles: bool, columns: str) -> str:
+    text = _route_sql("s.share", "s.id % 10", columns, ", own_line AS (SELECT id, CAST(id % 10 AS DOUBLE) AS v FROM s), lf AS (SELECT id, sum(came) AS line_out FROM (SELECT id, came FROM p UNION ALL SELECT id, v FROM q) u GROUP BY id)")
+    return text.replace("WITH ", "WITH " + _over(table, cycles), 1)
+
+
+@query("o_g29_route_lines", _lines_sql(_WHOLE, True, "lf.id, round(line_out - v, 4) AS line_in, round(line_out, 4) AS line_out FROM lf JOIN own_line o ON o.id = lf.id"), ("messy_lines",))
+def _(t):
+    values = _whole(t).select("id", (F.col("id") % 10).cast("double").alias("value"))
+    return G.route(_whole(t), _own(t), values)[0].select("id", F.round("line_in", 4).alias("line_in"), F.round("line_out", 4).alias("line_out"))
+
+
+def _cells_sql(columns: str) -> str:
+    text = _route_sql("s.share", "coalesce((SELECT sum(value) FROM vertices w WHERE w.id = s.id), 0)", columns, ", lf AS (SELECT id, sum(came) AS line_out FROM (SELECT id, came FROM p UNION ALL SELECT id, v FROM q) u GROUP BY id), cs AS (SELECT id, pos, value, sum(value) OVER (PARTITION BY id ORDER BY pos) AS upto, sum(value) OVER (PARTITION BY id) AS total FROM vertices)")
+    return text.replace("WITH ", "WITH " + _over("lines"), 1)
+
+
+@query("o_g29_route_cells", _cells_sql("cs.id, cs.pos, round(line_out - total + upto, 4) AS routed FROM cs JOIN lf ON lf.id = cs.id"), ("lines", "vertices"))
+def _(t):
+    return G.route_cells(t.lines, _own(t), t.vertices).select("id", "pos", F.round("routed", 4).alias("routed"))
+
+
+@query("o_g29_route_mean", _cells_sql("node, round(sum(v) / (2 + node % 5), 4) AS mean_in FROM h GROUP BY node"), ("lines", "vertices"))
+def _(t):
+    cells = t.vertices.withColumn("n_cells", F.col("pos") + 1)
+    counts = t.nodes.select(F.col("id").alias("node"), (2 + F.col("id") % 5).alias("n_cells"))
+    return G.route_mean(t.lines, _own(t), cells, counts)[1].select("node", F.round("mean_in", 4).alias("mean_in"))
+
+
+@query("o_g29_route_mean_cells", _cells_sql("cs.id, cs.pos, round((line_out - total + upto) / (cs.pos + 1), 4) AS mean FROM cs JOIN lf ON lf.id = cs.id"), ("lines", "vertices"))
+def _(t):
+    cells = t.vertices.withColumn("n_cells", F.col("pos") + 1)
+    counts = t.nodes.select(F.col("id").alias("node"), (2 + F.col("id") % 5).alias("n_cells"))
+    return G.route_mean(t.lines, _own(t), cells, counts)[0].select("id", "pos", F.round("mean", 4).alias("mean"))
+
+
 @query("o_g34_merge_polylines", "WITH e AS (SELECT id, start_node AS node FROM loose_lines UNION ALL SELECT id, end_node FROM loose_lines), m AS (SELECT min(id) AS a, max(id) AS b FROM e GROUP BY node HAVING count(*) = 2 AND min(id) <> max(id)), both_ways AS (SELECT a, b FROM m UNION SELECT b, a FROM m), r AS (SELECT id, id AS other FROM loose_lines UNION SELECT r.id, b FROM r JOIN both_ways ON a = r.other) SELECT id, min(other) AS segment FROM r GROUP BY id", ("loose_lines",))
 def _(t):
     return G.merge_polylines(t.loose_lines)

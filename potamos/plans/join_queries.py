@@ -20,9 +20,9 @@ def _(t):
     return N.with_attributes(t.lines.select("id", F.col("start_node")), t.nodes.select(F.col("id").alias("start_node"), "darea", "grwl_value"), "start_node").select("id", "darea", "grwl_value")
 
 
-@query("o_j02_overlay_adds_keys", "SELECT coalesce(a.id, b.id) AS id, coalesce(b.v, a.darea) AS darea FROM (SELECT id, darea FROM nodes WHERE id < 1000) a FULL JOIN (SELECT id, elevation * 3 AS v FROM nodes WHERE id > 500) b ON a.id = b.id", ("nodes",))
+@query("o_j02_overlay_adds_keys", "SELECT coalesce(a.id, b.id) AS id, coalesce(b.v, a.darea) AS darea FROM nodes a FULL JOIN (SELECT id, abs(darea) * 3 AS v FROM stations) b ON a.id = b.id", ("nodes", "stations"))
 def _(t):
-    return N.overlay(t.nodes.where("id < 1000").select("id", "darea"), t.nodes.where("id > 500").select("id", (F.col("elevation") * 3).alias("darea")), "id", ["darea"])
+    return N.overlay(t.nodes.select("id", "darea"), t.stations.select("id", (F.abs("darea") * 3).alias("darea")), "id", ["darea"])
 
 
 @query("o_j03_column_subset_join", "SELECT l.id, s.darea FROM lines l LEFT JOIN stations s ON s.id = l.id", ("lines", "stations"))
@@ -155,11 +155,9 @@ def _(t):
     return v.join(left, ["x", "y"], "left").join(right, ["x", "y"], "left").groupBy("id").agg(F.max("lv").alias("left_value"), F.max("rv").alias("right_value"))
 
 
-@query("o_j21_fix_line_match", "SELECT id, CASE WHEN d < 10 THEN start_node WHEN d > 170 THEN end_node END AS node FROM (SELECT id, start_node, end_node, abs((id * 13 % 360 - id * 29 % 360 + 540) % 360 - 180) AS d FROM lines WHERE id % 4 = 0) x WHERE d < 10 OR d > 170", ("lines",))
+@query("o_j21_fix_line_match", "SELECT line, CASE WHEN d < 10 THEN start_node WHEN d > 170 THEN end_node END AS upstream_node FROM (SELECT *, abs(((fix_azimuth - azimuth + 180) % 360 + 360) % 360 - 180) AS d FROM fix_matches WHERE share > 0.9) x", ("fix_matches",))
 def _(t):
-    d = S.angle_difference(F.col("id") * 13 % 360, F.col("id") * 29 % 360)
-    picked = t.lines.where("id % 4 = 0").withColumn("d", d).where("d < 10 OR d > 170")
-    return picked.select("id", F.when(F.col("d") < 10, F.col("start_node")).when(F.col("d") > 170, F.col("end_node")).otherwise(F.raise_error(F.lit("line crosses its match")).cast("long")).alias("node"))
+    return N.fix_links(t.fix_matches)
 
 
 @query("o_j22_id_translation", "SELECT l.id, v.value FROM lines l JOIN (SELECT id + 10000000 * 3 AS global_id, sum(value) AS value FROM vertices GROUP BY id) v ON v.global_id - 30000000 = l.id", ("lines", "vertices"))
@@ -204,18 +202,9 @@ def _(t):
     return C.patch(t.cells.where("x < 60").withColumn("v", F.col("elev")), t.cells.where("x > 30").withColumn("v", F.col("value")), band="v")
 
 
-_SIZES = "sz AS (SELECT domain, comp, count(*) AS n FROM shared GROUP BY ALL)"
-_SHARED = "shared AS (SELECT id % 3 AS domain, id // 30 + 100 * (id % 3) AS comp, id // 6 AS x, id % 2 AS y FROM stations WHERE id % 5 <> 1)"
-
-
-@query(
-    "o_g30_allocate_components",
-    f"WITH {_SHARED}, {_SIZES} SELECT domain, comp FROM sz WHERE NOT EXISTS (SELECT 1 FROM shared a JOIN shared b ON a.x = b.x AND a.y = b.y AND a.domain <> b.domain JOIN sz o ON o.domain = b.domain AND o.comp = b.comp WHERE a.domain = sz.domain AND a.comp = sz.comp AND (o.n > sz.n OR (o.n = sz.n AND o.domain < sz.domain)))",
-    ("stations",),
-)
+@query("o_g30_allocate_components")
 def _(t):
-    nodes = t.stations.where("id % 5 <> 1").selectExpr("id % 3 AS domain", "id DIV 30 + 100 * (id % 3) AS comp", "id DIV 6 AS x", "id % 2 AS y")
-    return D.allocate_components(nodes)
+    return D.allocate_components(t.shared_nodes)
 
 
 @query("o_g31_agglomerate_domains")

@@ -53,9 +53,9 @@ def _(t):
     return t.lines.select("start_node", "end_node", "id", "length")
 
 
-@query("o_s08_explode_points", "SELECT id, pos, x, y FROM vertices WHERE pos < 2", ("vertices",))
+@query("o_s08_explode_points", "SELECT id, pos, x, y FROM vertices", ("vertices",))
 def _(t):
-    multi = t.vertices.where("pos < 2").groupBy("id").agg(F.collect_list(F.struct("pos", "x", "y")).alias("points"))
+    multi = t.vertices.groupBy("id").agg(F.collect_list(F.struct("pos", "x", "y")).alias("points"))
     return multi.select("id", F.explode("points").alias("p")).select("id", "p.pos", "p.x", "p.y")
 
 
@@ -319,10 +319,9 @@ def _(t):
     return t.domains.select("id", box.alias("envelope"), (F.col("area") / box).alias("compactness"))
 
 
-@query("o_x06_strings", "SELECT id, concat('component_', lpad(CAST(id % 10000 AS VARCHAR), 4, '0')) AS name, lower(waterway) AS waterway, round(CAST(id AS DOUBLE) * CAST(0.125 AS DOUBLE), 2) AS r FROM tags WHERE id % 8 <> 4 AND id % 8 <> 1 AND id % 8 <> 3 AND id % 8 <> 5 AND id % 8 <> 7", ("tags",))
+@query("o_x06_strings", "SELECT id, concat('component_', lpad(CAST(id % 10000 AS VARCHAR), 4, '0')) AS name, lower(waterway) AS waterway, round_even(CAST(id AS DOUBLE) * CAST(0.125 AS DOUBLE), 2) AS r FROM tags", ("tags",))
 def _(t):
-    kept = t.tags.where("id % 8 NOT IN (1, 3, 4, 5, 7)")
-    return kept.select("id", F.format_string("component_%04d", F.col("id") % 10000).alias("name"), F.lower("waterway").alias("waterway"), F.bround(F.col("id") * 0.125, 2).alias("r"))
+    return t.tags.select("id", F.format_string("component_%04d", F.col("id") % 10000).alias("name"), F.lower("waterway").alias("waterway"), F.bround(F.col("id") * F.lit(0.125), 2).alias("r"))
 
 
 @query("o_l01_ordered_pairs", "SELECT least(start_node, end_node) AS a, greatest(start_node, end_node) AS b, min(length) AS shortest, count(*) AS n FROM messy_lines GROUP BY 1, 2 HAVING count(*) > 1", ("messy_lines",))

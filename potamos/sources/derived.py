@@ -33,14 +33,52 @@ DERIVED: dict[str, str] = {
         SELECT id + 40000000, start_node, end_node, length + 100, width FROM {lines} WHERE id % 53 = 0
         UNION ALL
         SELECT id + 50000000, start_node, CAST(-1 AS BIGINT), length, width FROM {lines} WHERE id % 211 = 0""",
-    # pieces: a fifth of the lines is gone, so there are many components
-    "loose_lines": "SELECT id, start_node, end_node, length, width FROM {lines} WHERE start_node % 5 <> 3 AND id < 10000000",
+    # pieces: a fifth of the lines is gone; braids, parallel lines and lines of both directions are left
+    "loose_lines": "SELECT id, start_node, end_node, length, width FROM {messy_lines} WHERE start_node % 5 <> 3 AND end_node >= 0 AND start_node <> end_node",
     "nodes": """
         SELECT n AS id, CAST(50 + (n * 37) % 1000 AS DOUBLE) AS darea, CAST(n AS DOUBLE) AS elevation,
                CASE n % 4 WHEN 0 THEN 255 WHEN 1 THEN 180 WHEN 2 THEN 126 END AS grwl_value,
                CAST(30 + (n % 50) * 10 AS DOUBLE) AS river_width, CASE WHEN n < 64 THEN 1 ELSE 0 END AS is_outlet,
-               CASE WHEN n % 4 = 1 THEN 1 ELSE 0 END AS is_lake, CASE WHEN n % 11 = 0 THEN 'sink' WHEN n % 13 = 0 THEN 'coast' END AS type
+               CASE WHEN n % 4 = 1 THEN 1 ELSE 0 END AS is_lake, CASE WHEN n % 11 = 0 THEN 'sink' WHEN n % 13 = 0 THEN 'coast' WHEN n % 17 = 5 THEN 'interbasin' END AS type
         FROM (SELECT start_node AS n FROM {lines} UNION SELECT end_node FROM {lines}) e""",
+    # what a direction solver knows of nodes: the component is the outlet below, some are of single flow only
+    "net_nodes": """
+        SELECT id, comp, CASE WHEN id < 64 OR id % 37 = 1 THEN 'outlet' WHEN id % 41 = 0 THEN 'interbasin' END AS type,
+               CASE WHEN comp % 4 = 3 THEN NULL ELSE grwl_value END AS grwl_value, darea, elevation * 30 AS outlet_distance, darea * 2 AS mainchannel_darea
+        FROM (SELECT n.*, CAST(id // CASE """ + " ".join(f"WHEN id < {64 << k} THEN {1 << k}" for k in range(36)) + """ END AS BIGINT) AS comp FROM {nodes} n) c""",
+    # cells along lines, some without a cell in the grid
+    "line_cells": """
+        SELECT id, pos, CASE WHEN (id * 3 + pos) % 7 = 0 THEN NULL ELSE CAST(id * 10 + pos AS BIGINT) END AS idx,
+               CASE WHEN id % 9 = 0 THEN NULL ELSE CAST(30 * (1 + (id + pos) % 5) AS DOUBLE) END AS width, value AS darea, CAST((id * 11 + pos * 17) % 300 AS DOUBLE) AS elev
+        FROM {vertices}""",
+    # vertices whose arcs span several cells, straight, diagonal or neither
+    "wide_vertices": """
+        SELECT id, pos, CAST(id % 500 * 30 + CASE id % 4 WHEN 0 THEN pos * pos * 30 WHEN 1 THEN pos * 90 WHEN 2 THEN -pos * 60 ELSE pos * 45 END AS DOUBLE) AS x,
+               CAST(id % 300 * 30 + CASE id % 4 WHEN 0 THEN 0 WHEN 1 THEN pos * 90 WHEN 2 THEN pos * (pos + 1) * 30 ELSE pos * 70 END AS DOUBLE) AS y
+        FROM {vertices}""",
+    # short parts of segments with their middles
+    "reach_pieces": """
+        SELECT id, CAST(pos AS INT) AS seq, CAST(100 + (id * 7 + pos * 13) % 100 AS DOUBLE) AS length,
+               CAST((id * 7919) % 9001 + pos * (id % 9) * 60 AS DOUBLE) AS x, CAST((id * 104729) % 9001 + pos * (id % 7) * 80 AS DOUBLE) AS y
+        FROM {lines} CROSS JOIN (SELECT 0 AS pos UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8) p
+        WHERE pos <= id % 7 + 2""",
+    "named_points": "SELECT s.id, s.x, s.y, t.name, t.other_tags FROM {stations} s JOIN {tags} t ON t.id = s.id",
+    # lines some of which have lost their names, in components
+    "named_lines": """
+        SELECT l.id, l.start_node, l.end_node, l.length, n.comp, CASE WHEN l.id % 4 = 0 THEN concat('r', CAST(l.end_node % 5 AS VARCHAR(10))) END AS name
+        FROM {lines} l JOIN {net_nodes} n ON n.id = l.start_node""",
+    # fix lines laid over segments, with the angle of both
+    "fix_matches": """
+        SELECT id AS line, start_node, end_node, CAST(id % 40 AS DOUBLE) / 39 AS share, CAST(id * 13 % 360 AS DOUBLE) AS azimuth,
+               CASE WHEN id % 40 <= 35 THEN CAST(id * 29 % 360 AS DOUBLE) WHEN id % 3 = 0 THEN CAST((id * 13 + 176) % 360 AS DOUBLE) ELSE CAST((id * 13 + id % 7) % 360 AS DOUBLE) END AS fix_azimuth
+        FROM {lines}""",
+    # components of three domains, in part the same nodes
+    "shared_nodes": """
+        SELECT CAST(id % 3 AS BIGINT) AS domain, CAST(id // 30 + 100 * (id % 3) + CASE WHEN id % 3 = 2 AND id % 60 < 15 THEN 1000 ELSE 0 END AS BIGINT) AS comp,
+               CAST(id // 6 AS BIGINT) + CASE WHEN id % 5 = 1 THEN 100000 * (id % 3) ELSE 0 END AS x, CAST(id % 2 AS BIGINT) AS y FROM {stations}""",
+    # polygons inside the boxes of the domains: a diamond each
+    "diamonds": """
+        SELECT id, minx, miny, maxx, maxy, (minx + maxx) / 2 AS cx, (miny + maxy) / 2 AS cy FROM {domains}""",
     # vertices of each line
     "vertices": """
         SELECT id, pos, CAST(start_node % 1000 * 30 + pos * 30 AS DOUBLE) AS x, CAST(end_node % 1000 * 30 + (pos * pos) % 5 * 30 AS DOUBLE) AS y,
