@@ -262,7 +262,9 @@ def dedup_lines(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS, id_col:
     gone = deletions(docs, min_block_words, id_col, text_col).select(F.struct(*KEY).alias("doc"), "gone")
     marked = docs.select(common.as_row(docs).alias("row"), F.struct(*common.row_key(id_col, text_col)).alias("doc")).join(gone, "doc", "left")
     old = F.col("row")[text_col]
-    lines = F.split(old, "\n", -1)
+    # lines are a column of their own, as a lambda would split the text anew for every line
+    marked = marked.withColumn("lines", F.split(old, "\n", -1))
+    lines = F.col("lines")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), old).otherwise(F.array_join(F.transform(stay, lambda i: lines[i]), "\n"))
     kept = [(text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns if c.lower() not in ADDED]
