@@ -12,6 +12,11 @@ def powers(width: Column, area: Column) -> Column:
     return F.struct(F.log10(area).alias("log_area"), F.pow(area, F.lit(0.43)).alias("area_043"), F.pow(area, F.lit(0.32)).alias("area_032"), F.pow(width / 9.6, F.lit(1 / 0.32)).alias("width_inverse"))
 
 
+def area_units(square_metres: Column, res: float = 30.0) -> dict[str, Column]:
+    """An area in square kilometres, hectares and cells."""
+    return {"km2": square_metres / 1_000_000, "hectares": square_metres * 0.0001, "cells": square_metres / (res * res)}
+
+
 def insert_at(values: Column, at: Column, value: Column) -> Column:
     """An array with a value put in at a place counted from 0."""
     return F.concat(F.slice(values, F.lit(1), at), F.array(value), F.slice(values, at + 1, F.size(values)))
@@ -39,13 +44,14 @@ def pearson_p(r: Column, n: Column) -> Column:
     cosine = F.sqrt(F.greatest(F.lit(0.0), 1 - r * r))
     odd = nu % 2 == 1
     last = F.when(odd, (nu - 3) / 2).otherwise((nu - 2) / 2).cast("int")  # -1: no term
-    # terms follow from each other: an odd number takes 2k / (2k + 1), an even one (2k - 1) / (2k)
-    factor = lambda k: F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
-    start = F.struct(F.when(odd, cosine).otherwise(F.lit(1.0)).alias("term"), F.lit(0.0).alias("total"))
+    # terms follow from each other: an odd number takes 2k / (2k + 1), an even one (2k - 1) / (2k). What they need travels
+    # in the accumulator: read from outside, the values of another row were seen
+    start = F.struct(F.when(odd, cosine).otherwise(F.lit(1.0)).alias("term"), F.lit(0.0).alias("total"), (cosine * cosine).alias("square"), odd.alias("odd"))
 
     def add(acc: Column, k: Column) -> Column:
-        term = F.when(k == 0, acc["term"]).otherwise(acc["term"] * factor(k) * cosine * cosine)
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+        factor = F.when(acc["odd"], 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / F.greatest(2 * k, F.lit(1)))
+        term = F.when(k == 0, acc["term"]).otherwise(acc["term"] * factor * acc["square"])
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"), acc["square"].alias("square"), acc["odd"].alias("odd"))
 
     steps = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.expr("cast(array() as array<int>)"))
     total = F.aggregate(steps, start, add)["total"]

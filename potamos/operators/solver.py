@@ -10,7 +10,8 @@ from potamos.functions import scalars as S
 from . import network as N
 from .components import connected_components
 from .geometry import dense_lines
-from .graph import bridges, peel_leaves
+from .graph import bridges, cycle_report, levels, peel_leaves
+from .lineage import settle
 
 
 def solver_nodes(lines: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -123,3 +124,13 @@ def drainage(lines: DataFrame, vertices: DataFrame, res: float = 30.0) -> DataFr
 
 def components_of(lines: DataFrame) -> DataFrame:
     return connected_components(lines.select(F.col("start_node").alias("src"), F.col("end_node").alias("dst")))
+
+
+def take_directions(lines: DataFrame, flipped: DataFrame, node_facts: DataFrame) -> DataFrame:
+    """``(id, start_node, end_node, flipped, level, ...)``: a solver's directions taken over. Lines in ``flipped`` are turned,
+    those on directed cycles or with undefined ends go, levels follow, and the facts of start nodes are joined."""
+    turned = settle(N.flip(lines, flipped).select("id", "start_node", "end_node", "flipped"))
+    on_cycles, _ = cycle_report(turned)
+    kept = settle(turned.where("start_node >= 0 AND end_node >= 0").join(on_cycles, "id", "left_anti"))
+    facts = node_facts.withColumnRenamed("id", "start_node")
+    return kept.join(levels(kept), "id").join(facts, "start_node", "left").select("id", "start_node", "end_node", "flipped", "level", *(c for c in facts.columns if c != "start_node"))

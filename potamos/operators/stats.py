@@ -49,6 +49,13 @@ def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"), F.max(v).alias("max"), F.sum(v).alias("total"))
 
 
+def describe_sets(boxes: DataFrame, by: str, value: str = "area") -> DataFrame:
+    """Statistics of a value per set and, as ``TOTAL``, of all rows, with the share of the summed envelopes that it fills."""
+    v, box = F.col(value), (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))
+    found = boxes.rollup(by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.percentile(v, F.lit(0.5)).alias("q2"), F.max(v).alias("max"), F.sum(v).alias("total"), (F.sum(v) / F.sum(box)).alias("compactness"), F.grouping(by).alias("whole"))
+    return found.withColumn("set_name", F.when(F.col("whole") == 1, "TOTAL").otherwise(F.col(by).cast("string"))).drop(by, "whole")
+
+
 def dissolve(boxes: DataFrame, by: list[str]) -> DataFrame:
     """Envelope and summed area of each group of boxes."""
     return boxes.groupBy(*by).agg(F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"), F.sum("area").alias("area"), F.count("*").alias("n"))

@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from potamos.operators import cells as C
 from potamos.operators import network as N
 from potamos.operators import stats as A
+from potamos.functions import scalars as S
 from potamos.plans.registry import query
 
+# Student's distribution by its finite sum, with gamma functions for the products
+P_VALUE = "1 - CASE WHEN nu % 2 = 1 THEN 2 / pi() * (asin(least(abs(r), 1)) + abs(r) * coalesce((SELECT sum(exp(lgamma(k + 1) + 0.5 * ln(pi()) - lgamma(k + 1.5) - ln(2)) * power(sqrt(1 - r * r), 2 * k + 1)) FROM range(0, 30) g(k) WHERE k <= (nu - 3) / 2), 0)) ELSE abs(r) * coalesce((SELECT sum(exp(lgamma(k + 0.5) - lgamma(k + 1) - 0.5 * ln(pi())) * power(sqrt(1 - r * r), 2 * k)) FROM range(0, 30) g(k) WHERE k <= (nu - 2) / 2), 0) END"
+
 
 @query("o_a01_degrees", "SELECT node, count(*) AS n_lines, sum(i) AS n_in, sum(o) AS n_out FROM (SELECT start_node AS node, CAST(0 AS BIGINT) AS i, CAST(1 AS BIGINT) AS o FROM lines UNION ALL SELECT end_node, 1, 0 FROM lines) e GROUP BY node".replace("sum(i)", "CAST(sum(i) AS BIGINT)").replace("sum(o)", "CAST(sum(o) AS BIGINT)"), ("lines",))
 def _(t):
@@ -92,11 +96,11 @@ def _(t):
     return A.modal(t.lines.select("end_node", (F.col("id") % 3).alias("v")), ["end_node"], "v", "modal")
 
 
-@query("o_a14_length_correlation", "WITH c AS (SELECT id, sum(value) OVER (PARTITION BY id ORDER BY pos) AS cum, x FROM vertices) SELECT id, round(corr(cum, x), 6) AS r, count(*) AS n FROM c GROUP BY id HAVING stddev_pop(x) > 0 AND stddev_pop(cum) > 0", ("vertices",))
+@query("o_a14_length_correlation", "WITH c AS (SELECT id, sum(length) OVER (PARTITION BY id ORDER BY seq) AS cum, y FROM reach_pieces), f AS (SELECT id, CASE WHEN stddev_pop(y) > 0 THEN corr(cum, y) END AS r, count(*) AS n, count(*) - 2 AS nu FROM c GROUP BY id) SELECT id, round(r, 6) AS r, n, round(" + P_VALUE + ", 6) AS p FROM f WHERE n > 2 AND r IS NOT NULL", ("reach_pieces",))
 def _(t):
-    run = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    g = t.vertices.withColumn("cum", F.sum("value").over(run)).groupBy("id").agg(F.round(F.corr("cum", "x"), 6).alias("r"), F.count("*").alias("n"), F.stddev_pop("x").alias("sx"), F.stddev_pop("cum").alias("sc"))
-    return g.where("sx > 0 AND sc > 0").select("id", "r", "n")
+    run = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    g = t.reach_pieces.withColumn("cum", F.sum("length").over(run)).groupBy("id").agg(S.pearson_r(F.col("cum"), F.col("y")).alias("r"), F.count("*").alias("n"))
+    return g.where("n > 2 AND r IS NOT NULL").select("id", F.round("r", 6).alias("r"), "n", F.round(S.pearson_p(F.col("r"), F.col("n")), 6).alias("p"))
 
 
 @query("o_a15_share_over", "SELECT id FROM vertices GROUP BY id HAVING sum(CASE WHEN value > 40 THEN 1 ELSE 0 END) / count(*) > 0.5", ("vertices",))
@@ -117,11 +121,20 @@ def _(t):
     return N.with_attributes(t.lines.select("id"), w, "id").fillna(0, ["median", "n"])
 
 
-@query("o_a18_describe", "SELECT grwl_value, count(darea) AS n, avg(darea) AS mean, round(stddev_samp(darea), 6) AS std, min(darea) AS min, quantile_cont(darea, 0.25) AS q1, quantile_cont(darea, 0.5) AS q2, quantile_cont(darea, 0.75) AS q3, max(darea) AS max, sum(darea) AS total FROM nodes GROUP BY grwl_value", ("nodes",))
+_DESCRIBED = "count(darea) AS n, avg(darea) AS mean, round(stddev_samp(darea), 6) AS std, min(darea) AS min, quantile_cont(darea, 0.25) AS q1, quantile_cont(darea, 0.5) AS q2, quantile_cont(darea, 0.75) AS q3, max(darea) AS max, sum(darea) AS total"
+
+
+@query("o_a18_describe", f"SELECT grwl_value, {_DESCRIBED} FROM nodes GROUP BY grwl_value", ("nodes",))
 def _(t):
     return A.describe(t.nodes, ["grwl_value"], "darea").withColumn("std", F.round("std", 6))
 
 
+@query("o_a18_describe_sets", "SELECT coalesce(CAST(region AS VARCHAR), 'TOTAL') AS set_name, count(*) AS n, avg(area) AS mean, round(stddev_samp(area), 6) AS std, min(area) AS min, quantile_cont(area, 0.5) AS q2, max(area) AS max, sum(area) AS total, round(sum(area) / sum((maxx - minx) * (maxy - miny)), 6) AS compactness FROM domains GROUP BY GROUPING SETS ((region), ())", ("domains",))
+def _(t):
+    """Statistics of each set and of all, with the share of the envelopes that is filled."""
+    return A.describe_sets(t.domains, "region").select("set_name", "n", "mean", F.round("std", 6).alias("std"), "min", "q2", "max", "total", F.round("compactness", 6).alias("compactness"))
+
+
 @query("o_a19_overlap_and_width", "SELECT zx, count(elev) / count(*) AS grwl_overlap, round_even(quantile_cont(elev, 0.5), 0) AS grwl_value, coalesce(round(stddev_pop(elev), 6), 0) AS width_std FROM cells GROUP BY zx", ("cells",))
 def _(t):
     z = C.zonal(t.cells, ["zx"], "elev")

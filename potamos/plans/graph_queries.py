@@ -10,6 +10,7 @@ from potamos.operators import names as W
 from potamos.operators import network as N
 from potamos.operators import solver as V
 from potamos.operators.components import connected_components
+from potamos.plans.aggregate_queries import P_VALUE
 from potamos.plans.registry import query
 
 _REACH = "both_ways AS (SELECT start_node AS a, end_node AS b FROM {0} UNION SELECT end_node, start_node FROM {0}), reach AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.other)"
@@ -272,13 +273,9 @@ def _(t):
     return G.upstream_bifurcations(t.lines)
 
 
-# Student's distribution by its finite sum, with gamma functions for the products
-_P_VALUE = "1 - CASE WHEN nu % 2 = 1 THEN 2 / pi() * (asin(least(abs(r), 1)) + abs(r) * coalesce((SELECT sum(exp(lgamma(k + 1) + 0.5 * ln(pi()) - lgamma(k + 1.5) - ln(2)) * power(sqrt(1 - r * r), 2 * k + 1)) FROM range(0, 30) g(k) WHERE k <= (nu - 3) / 2), 0)) ELSE abs(r) * coalesce((SELECT sum(exp(lgamma(k + 0.5) - lgamma(k + 1) - 0.5 * ln(pi())) * power(sqrt(1 - r * r), 2 * k)) FROM range(0, 30) g(k) WHERE k <= (nu - 2) / 2), 0) END"
-
-
 @query(
     "o_g25_river_names",
-    f"WITH d AS (SELECT p.id, p.seq, p.length, s.id AS to_id, sqrt(power(p.x - s.x, 2) + power(p.y - s.y, 2)) AS dist FROM reach_pieces p CROSS JOIN named_points s), n AS (SELECT id, seq, length, to_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY id, seq ORDER BY dist, to_id) AS r FROM d) x WHERE r = 1), c AS (SELECT *, sum(length) OVER (PARTITION BY id ORDER BY seq) AS along FROM n), f AS (SELECT id, count(*) AS n, count(*) - 2 AS nu, CASE WHEN stddev_pop(dist) > 0 THEN corr(along, dist) END AS r, count(CASE WHEN dist > 300 THEN 1 END) AS far FROM c GROUP BY id), p AS (SELECT id, n, r, far, {_P_VALUE} AS p FROM f), g AS (SELECT id FROM p WHERE far / n <= 0.5 AND NOT coalesce(n > 3 AND abs(r) > 0.5 AND p < 0.005, false)), v AS (SELECT id, to_id, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, to_id) AS r FROM c WHERE id IN (SELECT id FROM g) GROUP BY id, to_id) "
+    f"WITH d AS (SELECT p.id, p.seq, p.length, s.id AS to_id, sqrt(power(p.x - s.x, 2) + power(p.y - s.y, 2)) AS dist FROM reach_pieces p CROSS JOIN named_points s), n AS (SELECT id, seq, length, to_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY id, seq ORDER BY dist, to_id) AS r FROM d) x WHERE r = 1), c AS (SELECT *, sum(length) OVER (PARTITION BY id ORDER BY seq) AS along FROM n), f AS (SELECT id, count(*) AS n, count(*) - 2 AS nu, CASE WHEN stddev_pop(dist) > 0 THEN corr(along, dist) END AS r, count(CASE WHEN dist > 300 THEN 1 END) AS far FROM c GROUP BY id), p AS (SELECT id, n, r, far, {P_VALUE} AS p FROM f), g AS (SELECT id FROM p WHERE far / n <= 0.5 AND NOT coalesce(n > 3 AND abs(r) > 0.5 AND p < 0.005, false)), v AS (SELECT id, to_id, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, to_id) AS r FROM c WHERE id IN (SELECT id FROM g) GROUP BY id, to_id) "
     """SELECT v.id, v.to_id AS named_id, s.name AS local, coalesce(nullif(regexp_extract(s.other_tags, '"name:en"=>"([^"]*)"', 1), ''), nullif(regexp_extract(s.other_tags, '"int_name"=>"([^"]*)"', 1), '')) AS en FROM v JOIN named_points s ON s.id = v.to_id WHERE v.r = 1""",
     ("reach_pieces", "named_points"),
 )
@@ -402,3 +399,16 @@ def _(t):
 @query("o_g35_reaches", "SELECT id, CAST(k AS INTEGER) AS part, length / greatest(ceil(length / 1000), 1) AS reach_length FROM lines CROSS JOIN (SELECT CAST(unnest(range(1, 40)) AS BIGINT) AS k) g WHERE k <= greatest(ceil(length / 1000), 1)", ("lines",))
 def _(t):
     return K.equal_reaches(t.lines, 1000.0)
+
+
+_FLIPPED = "fl AS (SELECT l.id, CASE WHEN l.id % 3 = 0 THEN end_node ELSE start_node END AS start_node, CASE WHEN l.id % 3 = 0 THEN start_node ELSE end_node END AS end_node, l.id % 3 = 0 AS flipped FROM loose_lines l)"
+
+
+@query(
+    "o_r15_take_directions",
+    f"WITH {_FLIPPED}, fw AS (SELECT start_node AS a, end_node AS b FROM fl UNION SELECT fw.a, fl.end_node FROM fw JOIN fl ON fl.start_node = fw.b), cyc AS (SELECT DISTINCT a AS node FROM fw WHERE a = b), ok AS (SELECT * FROM fl WHERE NOT EXISTS (SELECT 1 FROM fw WHERE a = end_node AND b = start_node)), lv AS (SELECT id, start_node, end_node, 1 AS level FROM ok WHERE start_node NOT IN (SELECT end_node FROM ok) UNION SELECT l.id, l.start_node, l.end_node, v.level + 1 FROM lv v JOIN ok l ON l.start_node = v.end_node) SELECT ok.id, ok.start_node, ok.end_node, flipped, max(lv.level) AS level, n.darea FROM ok JOIN lv ON lv.id = ok.id LEFT JOIN nodes n ON n.id = ok.start_node GROUP BY ok.id, ok.start_node, ok.end_node, flipped, n.darea",
+    ("loose_lines", "nodes"),
+)
+def _(t):
+    """What a solver gives back: flips applied, node facts joined, lines on cycles taken out, levels."""
+    return V.take_directions(t.loose_lines, t.loose_lines.where("id % 3 = 0").select("id"), t.nodes.select("id", "darea"))

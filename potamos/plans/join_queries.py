@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from potamos.functions import scalars as S
 from potamos.operators import cells as C
 from potamos.operators import domains as D
+from potamos.operators import geometry as G
 from potamos.operators import network as N
 from potamos.operators import spatial as P
 from potamos.plans.registry import query
@@ -96,6 +97,13 @@ def _(t):
     return P.boxes_holding(t.stations.select("id", (F.col("x") / 100).alias("x"), (F.col("y") / 100).alias("y")), t.domains, 10.0)
 
 
+@query("o_j14_points_in_polygons", "SELECT s.id, d.id AS polygon_id FROM (SELECT id, x / 100 AS x, y / 100 AS y FROM stations) s JOIN diamonds d ON abs(s.x - cx) / (maxx - cx) + abs(s.y - cy) / (maxy - cy) < 1", ("stations", "diamonds"))
+def _(t):
+    corner = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    rings = t.diamonds.select("id", F.array(corner("cx", "miny"), corner("maxx", "cy"), corner("cx", "maxy"), corner("minx", "cy")).alias("ring"))
+    return G.points_in_polygons(t.stations.select("id", (F.col("x") / 100).alias("x"), (F.col("y") / 100).alias("y")), rings, 10.0)
+
+
 @query(
     "o_r23_riverbank_widths",
     "SELECT s.id, w.median_width, w.n_transects FROM (SELECT id, id + 64 AS reach_id, x / 100 AS x, y / 100 AS y FROM stations) s JOIN (SELECT id, quantile_cont(value, 0.5) AS median_width, count(value) AS n_transects FROM vertices WHERE pos > 1 AND value > 20 GROUP BY id HAVING count(value) >= 2) w ON w.id = s.reach_id WHERE EXISTS (SELECT 1 FROM domains WHERE s.x >= minx AND s.x < maxx AND s.y >= miny AND s.y < maxy)",
@@ -147,12 +155,19 @@ def _(t):
     return a.join(b, (F.col("a.region") == F.col("b.region")) & (F.col("a.id") < F.col("b.id")) & near).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
 
 
-@query("o_j20_sides_by_cells", "SELECT v.id, max(CASE WHEN l.value IS NOT NULL THEN l.value END) AS left_value, max(r.value) AS right_value FROM vertices v LEFT JOIN cells l ON l.x = v.pos AND l.y = v.id % 90 LEFT JOIN cells r ON r.x = v.pos + 2 AND r.y = v.id % 90 GROUP BY v.id", ("vertices", "cells"))
+@query(
+    "o_j20_sides_by_cells",
+    "WITH v AS (SELECT id, pos, CAST(x / 30 AS BIGINT) AS x, CAST(y / 30 AS BIGINT) AS y FROM vertices), a AS (SELECT id, x, y, sign(lead(x) OVER w - x) AS dx, sign(lead(y) OVER w - y) AS dy FROM v WINDOW w AS (PARTITION BY id ORDER BY pos)), s AS (SELECT id, x - dy AS lx, y + dx AS ly, x + dy AS rx, y - dx AS ry FROM a WHERE dx IS NOT NULL) SELECT id, max(l.value) AS left_value, max(r.value) AS right_value FROM s LEFT JOIN cells l ON l.x = lx AND l.y = ly LEFT JOIN cells r ON r.x = rx AND r.y = ry GROUP BY id",
+    ("vertices", "cells"),
+)
 def _(t):
-    v = t.vertices.select("id", F.col("pos").cast("long").alias("x"), (F.col("id") % 90).alias("y"))
-    left = t.cells.select("x", "y", F.col("value").alias("lv"))
-    right = t.cells.select((F.col("x") - 2).alias("x"), "y", F.col("value").alias("rv"))
-    return v.join(left, ["x", "y"], "left").join(right, ["x", "y"], "left").groupBy("id").agg(F.max("lv").alias("left_value"), F.max("rv").alias("right_value"))
+    """The greatest value on either side of directed lines, from the cells beside each step."""
+    v = t.vertices.select("id", "pos", (F.col("x") / 30).cast("long").alias("x"), (F.col("y") / 30).cast("long").alias("y"))
+    w = Window.partitionBy("id").orderBy("pos")
+    a = v.withColumns({"dx": F.signum(F.lead("x").over(w) - F.col("x")).cast("long"), "dy": F.signum(F.lead("y").over(w) - F.col("y")).cast("long")}).where("dx IS NOT NULL")
+    sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), (F.col("x") - F.col("dy")).alias("x"), (F.col("y") + F.col("dx")).alias("y")), F.struct(F.lit("r").alias("side"), (F.col("x") + F.col("dy")).alias("x"), (F.col("y") - F.col("dx")).alias("y")))).alias("s")
+    at = a.select("id", sides).select("id", "s.side", "s.x", "s.y").join(t.cells.select("x", "y", "value"), ["x", "y"], "left")
+    return at.groupBy("id").agg(F.max(F.when(F.col("side") == "l", F.col("value"))).alias("left_value"), F.max(F.when(F.col("side") == "r", F.col("value"))).alias("right_value"))
 
 
 @query("o_j21_fix_line_match", "SELECT line, CASE WHEN d < 10 THEN start_node WHEN d > 170 THEN end_node END AS upstream_node FROM (SELECT *, abs(((fix_azimuth - azimuth + 180) % 360 + 360) % 360 - 180) AS d FROM fix_matches WHERE share > 0.9) x", ("fix_matches",))
@@ -185,6 +200,17 @@ def _(t):
     return N.with_attributes(t.lines.select("id"), hit, "id").fillna(0, ["n", "width"])
 
 
+@query(
+    "o_j25_transects_on_banks",
+    "WITH c AS (SELECT id, pos, x, y, CAST(floor(x / 100) AS BIGINT) AS gx, CAST(floor(y / 100) AS BIGINT) AS gy FROM reach_points), h AS (SELECT c.id, c.pos FROM c JOIN cells k ON k.x = gx AND k.y = gy AND k.water) SELECT id AS reach_id, count(*) AS n_wet, max(pos) - min(pos) + 1 AS span FROM h GROUP BY id".replace("reach_points", "(SELECT id, seq AS pos, x, y FROM reach_pieces) q"),
+    ("reach_pieces", "cells"),
+)
+def _(t):
+    """Places of a reach that lie on water cells, which stand for riverbanks, and how far apart they reach."""
+    at = C.sample(t.reach_pieces.select("id", "seq", "x", "y"), t.cells, ["water"], res=100.0).where("water")
+    return at.groupBy(F.col("id").alias("reach_id")).agg(F.count("*").alias("n_wet"), (F.max("seq") - F.min("seq") + 1).alias("span"))
+
+
 @query("o_j26_pairs_in_band", "SELECT a.start_node AS root, a.id AS a_id, b.id AS b_id FROM lines a JOIN lines b ON a.end_node = b.end_node AND a.id < b.id AND abs(a.length - b.length) <= 50", ("lines",))
 def _(t):
     a, b = t.lines.alias("a"), t.lines.alias("b")

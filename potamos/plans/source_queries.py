@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from potamos.functions import scalars as S
+from potamos.operators import cells as C
+from potamos.operators import geometry as G
 from potamos.operators import network as N
 from potamos.plans.registry import query
 from potamos.sources import io
@@ -71,10 +73,17 @@ def _(t):
     return io.merge_layers({"nodes": t.nodes.where("darea > 500").select("id", "darea"), "lines": t.lines.select("id", "length"), "vertices": t.vertices.select("x")}, "layer", "id").select("id", "darea", "length", "layer")
 
 
-@query("o_s11_read_domains", "SELECT a.region, min(a.minx) AS minx, max(a.maxx) AS maxx, sum(a.area) AS area FROM domains a WHERE a.id % 4 <> 1 GROUP BY a.region", ("domains",))
+@query(
+    "o_s11_read_domains",
+    "WITH d AS (SELECT concat('D', lpad(CAST(region AS VARCHAR), 3, '0')) AS id, region AS cat, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy, sum(area) AS area FROM domains WHERE id % 4 <> 1 GROUP BY region) SELECT a.id, a.cat, a.minx, a.miny, a.maxx, a.maxy, a.area, coalesce(string_agg(b.id, ',' ORDER BY b.id), '') AS ids_in_envelope FROM d a LEFT JOIN d b ON b.id <> a.id AND a.minx < b.maxx AND b.minx < a.maxx AND a.miny < b.maxy AND b.miny < a.maxy GROUP BY ALL",
+    ("domains",),
+)
 def _(t):
-    selected = t.domains.where("id % 4 <> 1").select("id")
-    return t.domains.join(selected, "id", "left_semi").groupBy("region").agg(F.min("minx").alias("minx"), F.max("maxx").alias("maxx"), F.sum("area").alias("area"))
+    """Polygons chosen by a table, those of one key as one, with new ids and the ids of overlapping envelopes."""
+    chosen = t.domains.where("id % 4 <> 1").select("id")
+    ids = t.domains.select(F.col("region").alias("cat"), F.format_string("D%03d", "region").alias("new_id")).distinct()
+    polygons = t.domains.join(chosen, "id", "left_semi").withColumnRenamed("region", "cat")
+    return io.read_domains(polygons, ids, 10.0)
 
 
 @query("o_s12_read_nodes", "SELECT CAST(grwl_value AS BIGINT) AS comp, id FROM nodes WHERE grwl_value IS NOT NULL", ("nodes",))
@@ -84,9 +93,11 @@ def _(t):
 
 @query("o_s13_cached_segments", "SELECT id, count(*) AS n, sum(value) AS value FROM vertices GROUP BY id", ("vertices",))
 def _(t):
-    from potamos.operators.lineage import settle
-
-    return settle(t.vertices).groupBy("id").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+    """Read if it is there, else built; the second call reads what the first has written."""
+    path = io.scratch(t.spark)
+    io.cached(t.spark, path, lambda: t.vertices)
+    held = io.cached(t.spark, path, lambda: t.vertices.limit(0))
+    return held.groupBy("id").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
 
 @query("o_s14_id_sink", "SELECT id FROM lines WHERE length < 1000", ("lines",))
@@ -115,9 +126,42 @@ def _(t):
     return t.tags.where("waterway IS NOT NULL AND name NOT LIKE '%Pond%'").select("id", "waterway", F.when(F.col("waterway").isin("river", "canal"), "line").otherwise("other").alias("kind"))
 
 
-@query("o_s18_predictors", "SELECT x, y, coalesce(elev, 0) AS volume, value * 0.5 AS scaled FROM cells", ("cells",))
+@query("o_s17_lake_connector", "SELECT id, name FROM domains WHERE area > 50 AND name NOT IN ('CHINA', 'BRAZIL', 'nation_3') AND minx >= 10", ("domains",))
+def _(t):
+    """Lakes by size and place without those of an exclusion list."""
+    return io.excluding(t.domains.where("area > 50 AND minx >= 10"), "name", ["CHINA", "BRAZIL", "nation_3"]).select("id", "name")
+
+
+@query("o_s17_land_mask", "SELECT x, y FROM raster WHERE land AND coast_dist >= 300", ("raster",))
+def _(t):
+    return t.raster.where("land AND coast_dist >= 300").select("x", "y")
+
+
+@query("o_s17_class_mosaic", "SELECT x, y, CASE WHEN grwl IN (180, 255, 126) THEN grwl WHEN value > 500 THEN 86 END AS grwl FROM raster WHERE grwl IS NOT NULL OR value > 500", ("raster",))
+def _(t):
+    """Water classes patched with a second source where the first has none."""
+    first = t.raster.where(F.col("grwl").isin(180, 255, 126)).select("x", "y", F.col("grwl").alias("grwl"))
+    second = t.raster.where("value > 500").select("x", "y", F.lit(86).alias("grwl"))
+    return C.patch(first, second, band="grwl")
+
+
+@query("o_s17_domain_region", "SELECT id, floor((minx - 3) / 2) * 2 AS west, floor((miny - 3) / 2) * 2 AS south, ceil((maxx + 3) / 2) * 2 AS east, ceil((maxy + 3) / 2) * 2 AS north FROM domains", ("domains",))
 def _(t):
-    return t.cells.select("x", "y", F.coalesce("elev", F.lit(0.0)).alias("volume"), (F.col("value") * 0.5).alias("scaled"))
+    """A domain's region: its box, grown and aligned to the grid."""
+    return io.aligned_boxes(t.domains, 3.0, 2.0).select("id", "west", "south", "east", "north")
+
+
+@query("o_s18_predictors", "SELECT x, y, coalesce(elev, 0) AS volume, value * 0.5 AS scaled, value * 86400 * 365 / 1000 AS runoff_mm, value * 0.0001 AS aridity, CASE WHEN value = 9999 THEN NULL ELSE value END AS masked FROM cells", ("cells",))
+def _(t):
+    v = F.col("value")
+    return t.cells.select("x", "y", F.coalesce("elev", F.lit(0.0)).alias("volume"), (v * 0.5).alias("scaled"), (v * 86400 * 365 / 1000).alias("runoff_mm"), (v * 0.0001).alias("aridity"), F.nullif(v, F.lit(9999.0)).alias("masked"))
+
+
+@query("o_s18_reservoirs", "SELECT c.x, c.y, coalesce(sum(s.darea), 0) AS volume FROM cells c LEFT JOIN stations s ON floor(s.x / 100) = c.x AND floor(s.y / 100) = c.y GROUP BY c.x, c.y", ("cells", "stations"))
+def _(t):
+    """Points summed into cells, 0 where there is none."""
+    held = t.stations.groupBy(F.floor(F.col("x") / 100).alias("x"), F.floor(F.col("y") / 100).alias("y")).agg(F.sum("darea").alias("volume"))
+    return t.cells.select("x", "y").join(held, ["x", "y"], "left").fillna(0.0, ["volume"])
 
 
 @query("o_s19_upstream_area", "SELECT id, coalesce(nullif(darea, 50), elevation * 100) AS upa FROM nodes", ("nodes",))
@@ -125,6 +169,13 @@ def _(t):
     return t.nodes.select("id", F.coalesce(F.nullif("darea", F.lit(50.0)), F.col("elevation") * 100).alias("upa"))
 
 
+@query("o_s19_two_sources", "SELECT s.id, coalesce(nullif(s.darea, 0), t.darea / 100) AS upa FROM stations s LEFT JOIN targets t ON t.id = s.id", ("stations", "targets"))
+def _(t):
+    """Two sources in different units, the second where the first has no data."""
+    other = t.targets.select("id", (F.col("darea") / 100).alias("other"))
+    return t.stations.select("id", "darea").join(other, "id", "left").select("id", F.coalesce(F.nullif("darea", F.lit(0.0)), "other").alias("upa"))
+
+
 @query("o_s21_cut_box", "SELECT s.id, s.x, s.y, s.darea FROM stations s WHERE x >= 1000 AND x < 5000 AND y >= 2000 AND y < 7000", ("stations",))
 def _(t):
     s = t.stations
@@ -222,14 +273,10 @@ def _(t):
     return df.select(*(c for c in df.columns if re.fullmatch("id|darea|is_.*", c)))
 
 
-@query("o_f14_subset", "SELECT id AS reach_id, area FROM domains WHERE minx < 60 AND maxx > 20 AND miny < 70 AND maxy > 10 AND area > 50", ("domains",))
+@query("o_f14_subset", "SELECT id AS reach_id, name, greatest(minx, 20) AS minx, greatest(miny, 10) AS miny, least(maxx, 60) AS maxx, least(maxy, 70) AS maxy, area FROM domains WHERE minx < 60 AND maxx > 20 AND miny < 70 AND maxy > 10 AND area > 10", ("domains",))
 def _(t):
-    from pyspark.sql import DataFrame
-
-    found: DataFrame = t.domains.where("minx < 60 AND maxx > 20 AND miny < 70 AND maxy > 10 AND area > 50").select(F.col("id").alias("reach_id"), "area")
-    if found.isEmpty():
-        raise ValueError("nothing in the box")
-    return found
+    both = t.domains.select(F.col("id").alias("global_id"), F.col("name").alias("name_left"), F.lit(0).alias("index_right"), "minx", "miny", "maxx", "maxy", "area")
+    return io.subset(both, (20, 10, 60, 70), 10.0)
 
 
 @query("o_f15_empty_table", "SELECT id, length FROM lines WHERE false", ("lines",))
@@ -324,6 +371,62 @@ def _(t):
     return t.tags.select("id", F.format_string("component_%04d", F.col("id") % 10000).alias("name"), F.lower("waterway").alias("waterway"), F.bround(F.col("id") * F.lit(0.125), 2).alias("r"))
 
 
+@query(
+    "o_x07_line_measures",
+    "WITH s AS (SELECT id, pos, x, y, lead(x) OVER w AS tx, lead(y) OVER w AS ty FROM wide_vertices WINDOW w AS (PARTITION BY id ORDER BY pos)), m AS (SELECT id, coalesce(sum(sqrt(power(tx - x, 2) + power(ty - y, 2))), 0) AS length, arg_max(x, pos) - arg_min(x, pos) AS dx, arg_max(y, pos) - arg_min(y, pos) AS dy FROM s GROUP BY id) SELECT id, round(length, 6) AS length, round((degrees(atan2(dx, dy)) + 360) % 360, 6) AS azimuth, round(CASE WHEN dx <> 0 OR dy <> 0 THEN length / sqrt(dx * dx + dy * dy) END, 6) AS sinuosity FROM m",
+    ("wide_vertices",),
+)
+def _(t):
+    return G.line_measures(t.wide_vertices).select("id", *(F.round(c, 6).alias(c) for c in ("length", "azimuth", "sinuosity")))
+
+
+_ARCS = "a AS (SELECT id, pos, x, y, lead(x) OVER w AS tx, lead(y) OVER w AS ty FROM wide_vertices WINDOW w AS (PARTITION BY id ORDER BY pos)), g AS (SELECT *, sqrt(power(tx - x, 2) + power(ty - y, 2)) / 30 AS st, round(sqrt(power(tx - x, 2) + power(ty - y, 2)) / sqrt(1800), 14) AS di FROM a WHERE tx IS NOT NULL), n AS (SELECT *, CAST(CASE WHEN st > 1 AND st = floor(st) THEN st WHEN di > 1 AND di = floor(di) THEN di ELSE 1 END AS INTEGER) AS n FROM g)"
+
+
+@query(
+    "o_x08_dense_lines",
+    f"WITH {_ARCS}, f AS (SELECT id, pos, k, x + (tx - x) * k / n AS x, y + (ty - y) * k / n AS y FROM n JOIN (SELECT CAST(unnest(range(1, 400)) AS INTEGER) AS k) q ON k <= n UNION ALL SELECT id, pos, 0, x, y FROM wide_vertices WHERE pos = 0) SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY pos, k) - 1 AS INTEGER) AS pos, round(x, 6) AS x, round(y, 6) AS y FROM f",
+    ("wide_vertices",),
+)
+def _(t):
+    return G.dense_lines(t.wide_vertices).select("id", "pos", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("o_x08_missing_vertices", "SELECT v.id, v.pos, v.pos = 0 OR v.pos = hi AS at_end FROM (SELECT *, max(pos) OVER (PARTITION BY id) AS hi FROM vertices) v WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.x * 30 = v.x AND c.y * 30 = v.y)", ("vertices", "cells"))
+def _(t):
+    at = t.cells.select((F.col("x") * 30).cast("double").alias("x"), (F.col("y") * 30).cast("double").alias("y"))
+    return G.missing_vertices(t.vertices.select("id", "pos", "x", "y"), at)
+
+
+@query(
+    "o_x09_joining_lines",
+    "WITH p AS (SELECT s.id, s.x AS ax, s.y AS ay, t.x AS bx, CASE WHEN s.id % 3 = 0 THEN s.y ELSE t.y END AS b_y FROM stations s JOIN targets t ON t.id = s.id), d AS (SELECT *, abs(ax - bx) AS dx, abs(ay - b_y) AS dy, least(abs(ax - bx), abs(ay - b_y)) AS sh FROM p) SELECT id, 0 AS pos, ax AS x, ay AS y FROM d UNION ALL SELECT id, 1, ax - sh * sign(ax - bx), ay - sh * sign(ay - b_y) FROM d WHERE sh > 0 AND dx <> dy UNION ALL SELECT id, CASE WHEN sh > 0 AND dx <> dy THEN 2 ELSE 1 END, bx, b_y FROM d",
+    ("stations", "targets"),
+)
+def _(t):
+    to = t.targets.select("id", F.col("x").alias("bx"), F.col("y").alias("ty"))
+    pairs = t.stations.select("id", F.col("x").alias("ax"), F.col("y").alias("ay")).join(to, "id").withColumn("by", F.when(F.col("id") % 3 == 0, F.col("ay")).otherwise(F.col("ty")))
+    return G.joining_lines(pairs)
+
+
+@query("o_x10_powers", "SELECT id, round(log10(darea), 6) AS log_area, round(power(darea, 0.43), 6) AS area_043, round(power(darea, 0.32), 6) AS area_032, round(power(river_width / 9.6, 1 / 0.32), 2) AS width_inverse FROM nodes", ("nodes",))
+def _(t):
+    p = S.powers(F.col("river_width"), F.col("darea"))
+    return t.nodes.select("id", p.alias("p")).select("id", *(F.round(f"p.{c}", 6).alias(c) for c in ("log_area", "area_043", "area_032")), F.round("p.width_inverse", 2).alias("width_inverse"))
+
+
+@query("o_x11_arrays", "WITH a AS (SELECT start_node AS node, list(id ORDER BY id) AS ids FROM lines GROUP BY 1) SELECT node, CAST(list_position(ids, node) - 1 AS BIGINT) AS at, array_to_string(list_concat(list_concat(ids[1:1], [CAST(-1 AS BIGINT)]), ids[2:]), ',') AS with_new FROM a", ("lines",))
+def _(t):
+    a = t.lines.groupBy(F.col("start_node").alias("node")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    text = F.concat_ws(",", F.transform(S.insert_at(F.col("ids"), F.lit(1), F.lit(-1).cast("long")), lambda i: i.cast("string")))
+    return a.select("node", (F.array_position("ids", F.col("node")) - 1).alias("at"), text.alias("with_new"))
+
+
+@query("o_x12_areas", "SELECT id, area / 1000000 AS km2, area * 0.0001 AS hectares, area / 900 AS cells FROM domains", ("domains",))
+def _(t):
+    return t.domains.select("id", *(S.area_units(F.col("area"))[k].alias(k) for k in ("km2", "hectares", "cells")))
+
+
 @query("o_l01_ordered_pairs", "SELECT least(start_node, end_node) AS a, greatest(start_node, end_node) AS b, min(length) AS shortest, count(*) AS n FROM messy_lines GROUP BY 1, 2 HAVING count(*) > 1", ("messy_lines",))
 def _(t):
     return N.parallel_lines(t.messy_lines).where("rank = 1").select(F.least("start_node", "end_node").alias("a"), F.greatest("start_node", "end_node").alias("b"), F.col("length").alias("shortest"), F.col("n_parallel").alias("n")).unionByName(

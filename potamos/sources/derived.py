@@ -79,6 +79,17 @@ DERIVED: dict[str, str] = {
     # polygons inside the boxes of the domains: a diamond each
     "diamonds": """
         SELECT id, minx, miny, maxx, maxy, (minx + maxx) / 2 AS cx, (miny + maxy) / 2 AS cy FROM {domains}""",
+    # bands of a river raster: class of water, land, distance to the coast, half widths, lines, lakes, drainage
+    "raster": """
+        SELECT x, y, elev, value, CASE WHEN water THEN CASE (x * 31 + y * 17) % 5 WHEN 0 THEN 126 WHEN 1 THEN 180 WHEN 2 THEN 180 ELSE 255 END END AS grwl,
+               x < 70 AS land, CAST(abs(x - 70) * 30 AS DOUBLE) AS coast_dist, CASE WHEN water THEN CAST(15 * (1 + (x + y) % 7) AS DOUBLE) END AS halfwidth,
+               (x + y) % 6 = 0 AS centre, (x * 7 + y) % 11 = 0 AS osm, (x + y * 5) % 9 = 0 AS osm_small, CASE WHEN (x * 3 + y) % 10 < 4 THEN CAST((x * 13 + y * 7) % 500 AS DOUBLE) END AS end_dist,
+               value > 950 AS river, CASE WHEN (x * 3 + y * 5) % 7 = 0 THEN CAST(zx * 1000 + zy AS BIGINT) END AS lake, (zx + zy) % 13 = 0 AS closed,
+               CASE WHEN (x + 2 * y) % 5 = 0 THEN x // 10 * 100 + y // 10 END AS segment, value * 10 AS accum, x % 37 = 0 AND y % 11 = 0 AS outlet,
+               CASE WHEN (x * x + y) % 3 > 0 THEN CAST(x // 10 * 100 + y // 10 AS BIGINT) END AS reach_id
+        FROM {cells}""",
+    "reach_table": """
+        SELECT DISTINCT reach_id, reach_id % 1000 // 2 AS segment_id, reach_id % 7 + 1 AS catchment_id FROM {raster} WHERE reach_id IS NOT NULL""",
     # vertices of each line
     "vertices": """
         SELECT id, pos, CAST(start_node % 1000 * 30 + pos * 30 AS DOUBLE) AS x, CAST(end_node % 1000 * 30 + (pos * pos) % 5 * 30 AS DOUBLE) AS y,

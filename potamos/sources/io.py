@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,3 +93,45 @@ def export(df: DataFrame, path: str, partition: str) -> None:
 def export_box(df: DataFrame, minx: float, miny: float, maxx: float, maxy: float) -> DataFrame:
     """Rows inside a box: a predicate that reaches the scan."""
     return df.where((F.col("x") >= minx) & (F.col("x") < maxx) & (F.col("y") >= miny) & (F.col("y") < maxy))
+
+
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path`` if it is whole there, else what ``build`` makes, written there first."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def subset(layer: DataFrame, box: tuple[float, float, float, float], min_area: float) -> DataFrame:
+    """Shapes that meet a box and are larger than ``min_area``, cut to it by their envelopes. Columns of an overlay lose
+    their ``_left``, those of the other side (``_right``) go, and ``global_id`` is the ``reach_id``. Nothing left is an error."""
+    west, south, east, north = (F.lit(float(v)) for v in box)
+    found = layer.where((F.col("minx") < east) & (F.col("maxx") > west) & (F.col("miny") < north) & (F.col("maxy") > south) & (F.col("area") > min_area))
+    if found.isEmpty():
+        raise ValueError("nothing of the layer lies in the box")
+    cut = found.withColumns({"minx": F.greatest("minx", west), "miny": F.greatest("miny", south), "maxx": F.least("maxx", east), "maxy": F.least("maxy", north)})
+    named = {c: "reach_id" if c == "global_id" else c.removesuffix("_left") for c in cut.columns if not c.endswith("_right")}
+    return cut.select(*(F.col(c).alias(n) for c, n in named.items()))
+
+
+def read_domains(polygons: DataFrame, ids: DataFrame, size: float) -> DataFrame:
+    """Polygons ``(cat, minx, miny, maxx, maxy, area)`` of one ``cat`` as one, named by ``ids`` ``(cat, new_id)``, with the
+    ids of those whose envelopes overlap theirs as a comma list in order. Envelopes meet through buckets of ``size``."""
+    from potamos.operators.spatial import overlapping_boxes
+
+    whole = polygons.join(ids, "cat").groupBy("cat", F.col("new_id").alias("id")).agg(F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"), F.sum("area").alias("area"))
+    pairs = overlapping_boxes(whole, whole, size).where("a_id <> b_id").groupBy(F.col("a_id").alias("id")).agg(F.concat_ws(",", F.sort_array(F.collect_list("b_id"))).alias("ids_in_envelope"))
+    return whole.join(pairs, "id", "left").withColumn("ids_in_envelope", F.coalesce("ids_in_envelope", F.lit(""))).select("id", "cat", "minx", "miny", "maxx", "maxy", "area", "ids_in_envelope")
+
+
+def excluding(layer: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """Rows whose ``column`` isn't in a list; null isn't either."""
+    return layer.where(~F.coalesce(F.col(column).isin(names), F.lit(False)))
+
+
+def aligned_boxes(boxes: DataFrame, grow: float, res: float) -> DataFrame:
+    """``boxes`` with ``west, south, east, north``: grown by ``grow`` and then out to the grid of ``res``."""
+    low = lambda c: F.floor((F.col(c) - grow) / res) * res
+    high = lambda c: F.ceil((F.col(c) + grow) / res) * res
+    return boxes.withColumns({"west": low("minx"), "south": low("miny"), "east": high("maxx"), "north": high("maxy")})
