@@ -17,12 +17,13 @@ def _none(df: DataFrame) -> bool:
     return df.isEmpty()
 
 
-def chains(lines: DataFrame) -> DataFrame:
+def chains(lines: DataFrame, stops: DataFrame | None = None) -> DataFrame:
     """``lines`` with ``chain`` and ``pos``: runs of lines joined by nodes of one inflow and one outflow, named by their
     first line and numbered from 0. Runs that close on themselves have no chain. Pointer jumping: a number of rounds
-    that grows with the logarithm of the longest run. Self loops must be gone."""
+    that grows with the logarithm of the longest run. Self loops must be gone; no run goes over a node of ``stops``."""
     ends = lines.select(F.col("start_node").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(lines.select("end_node", F.lit(0), F.lit(1)))
     inner = ends.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).where("o = 1 AND i = 1").select("node")
+    inner = inner if stops is None else inner.join(stops, "node", "left_anti")
     above = lines.select(F.col("end_node").alias("node"), F.col("id").alias("above")).join(inner, "node").select(F.col("node").alias("start_node"), "above")
     before = lines.select("id", "start_node").join(above, "start_node", "left").select(F.col("id").alias("node"), F.col("above").alias("next"))
     heads = follow(before).select(F.col("node").alias("id"), F.col("root").alias("chain"), F.col("steps").alias("pos"))
@@ -66,8 +67,9 @@ def route(lines: DataFrame, node_values: DataFrame, line_values: DataFrame | Non
     their share of the width, or all to the main branch (``method='mainstem'``); a line adds its own value on the way.
 
     Returns ``(id, line_in, line_out)`` for all lines and ``(node, node_in, node_out)`` for all nodes, ``node_out`` being what
-    goes into each line by ascending id. Lines on and below directed cycles come first in the order of routing, so
-    they carry their node's own value and nothing from above."""
+    goes into each line by ascending id. Lines on and below directed cycles, and self loops, come first in the order of
+    routing, so they carry their node's own value and nothing from above; what a self loop carries is back at its node
+    when the node's other lines are routed."""
     w = Window.partitionBy("start_node")
     share = F.col("width") / F.sum("width").over(w)
     if method == "mainstem":
@@ -79,13 +81,15 @@ def route(lines: DataFrame, node_values: DataFrame, line_values: DataFrame | Non
     else:
         table = table.withColumn("line_value", F.lit(0.0))
     table = table.fillna(0.0, ["own", "line_value"])
-    runs = chains(table.where("start_node <> end_node").select("id", "start_node", "end_node")).select("id", "chain", "pos")
-    table = settle(table.join(runs, "id", "left"))
+    loops = table.where("start_node = end_node").groupBy("start_node").agg(F.sum(F.col("share") * F.col("own") + F.col("line_value")).alias("looped"))
+    loops = settle(loops)
+    runs = chains(table.where("start_node <> end_node").select("id", "start_node", "end_node"), loops.select(F.col("start_node").alias("node"))).select("id", "chain", "pos")
+    table = settle(table.join(runs, "id", "left").join(loops, "start_node", "left").fillna(0.0, ["looped"]))
     # inside a chain all of a node goes on: its own value joins what the line above brings
     inner = F.when(F.col("pos") > 0, F.col("own")).otherwise(0.0)
     first = lambda c: F.min_by(c, "pos").alias(c)
-    edges = table.where("chain IS NOT NULL").groupBy("chain").agg(first("start_node"), first("share"), first("own"), F.max_by("end_node", "pos").alias("end_node"), (F.sum("line_value") + F.sum(inner)).alias("gain"))
-    found = _sweep(edges, F.sum, F.col("share") * (F.col("came") + F.col("own")), F.col("gain"))
+    edges = table.where("chain IS NOT NULL").groupBy("chain").agg(first("start_node"), first("share"), first("own"), first("looped"), F.max_by("end_node", "pos").alias("end_node"), (F.sum("line_value") + F.sum(inner)).alias("gain"))
+    found = _sweep(edges, F.sum, F.col("share") * (F.col("came") + F.col("own") + F.col("looped")), F.col("gain"))
     along = Window.partitionBy("chain").orderBy("pos")
     passed = F.sum(inner).over(along) + F.coalesce(F.sum("line_value").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     flow = table.where("chain IS NOT NULL").withColumn("passed", passed).join(found, "chain", "left").select("id", (F.col("head") + F.col("passed")).alias("flow"))

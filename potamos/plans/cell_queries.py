@@ -85,7 +85,7 @@ def _(t):
 
 @query("o_r10_sinks")
 def _(t):
-    return R.sinks(t.raster.where("elev IS NOT NULL"), cell_km2=100.0, min_fill=10.0, min_km3=8.0)
+    return R.sinks(t.raster.where("elev IS NOT NULL"), cell_km2=100.0, min_fill=1.0, min_km3=0.3)
 
 
 @query("o_r10_zone_lows", "SELECT zx, zy, quantile_cont(elev, 0.02) AS low, count(CASE WHEN elev < 10 THEN 1 END) AS n_low FROM cells WHERE elev IS NOT NULL GROUP BY zx, zy HAVING sum(value) > 1000", ("cells",))

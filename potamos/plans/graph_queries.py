@@ -306,8 +306,8 @@ def _route_sql(share: str, line_value: str = "0", columns: str = "node, round(su
     # value too if a line leaves it, and lines on and below cycles take their own node's value only
     return (
         f"WITH {_SHARES}, bad AS (SELECT a AS node FROM around WHERE a = b UNION SELECT r.end_node FROM bad JOIN routed r ON r.start_node = bad.node AND r.start_node <> r.end_node), "
-        f"good AS (SELECT * FROM s WHERE start_node <> end_node AND start_node NOT IN (SELECT node FROM bad)), p AS (SELECT id, end_node, CAST({share} * (1 + start_node % 7) AS DOUBLE) AS came FROM s UNION ALL SELECT s.id, s.end_node, CAST({share} * p.came AS DOUBLE) FROM p JOIN good s ON s.start_node = p.end_node WHERE p.id IN (SELECT id FROM good)), "
-        f"q AS (SELECT id, end_node, CAST({line_value} AS DOUBLE) AS v FROM s UNION ALL SELECT s.id, s.end_node, CAST({share} * q.v AS DOUBLE) FROM q JOIN good s ON s.start_node = q.end_node WHERE q.id IN (SELECT id FROM good)), "
+        f"good AS (SELECT * FROM s WHERE start_node <> end_node AND start_node NOT IN (SELECT node FROM bad)), onward AS (SELECT id FROM s WHERE start_node NOT IN (SELECT node FROM bad)), p AS (SELECT id, end_node, CAST({share} * (1 + start_node % 7) AS DOUBLE) AS came FROM s UNION ALL SELECT s.id, s.end_node, CAST({share} * p.came AS DOUBLE) FROM p JOIN good s ON s.start_node = p.end_node WHERE p.id IN (SELECT id FROM onward)), "
+        f"q AS (SELECT id, end_node, CAST({line_value} AS DOUBLE) AS v FROM s UNION ALL SELECT s.id, s.end_node, CAST({share} * q.v AS DOUBLE) FROM q JOIN good s ON s.start_node = q.end_node WHERE q.id IN (SELECT id FROM onward)), "
         "h AS (SELECT end_node AS node, came AS v FROM p UNION ALL SELECT end_node, v FROM q UNION ALL SELECT DISTINCT start_node, CAST(1 + start_node % 7 AS DOUBLE) FROM s)"
         f"{values} SELECT {columns}"
     )
