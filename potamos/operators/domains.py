@@ -3,6 +3,8 @@ per basin or domain); a region's basins are merged in one task."""
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,49 +12,138 @@ from pyspark.sql import functions as F
 from .lineage import Rounds, settle
 
 
-def agglomerate(basins: DataFrame, max_area: float) -> DataFrame:
-    """``(id, domain)``: greedy merging of neighbouring boxes inside each region. The pair whose merged envelope gains
-    most compactness (area over envelope area) merges, while the envelope stays within ``max_area`` and the gain isn't
-    negative; boxes inside another envelope are then absorbed. Ties go to the smallest ids; a domain is named by its
-    smallest basin."""
+Box = tuple[float, float, float, float]
+OBJECTIVES = ("compactness", "compactness_change", "area_ratio", "area_deficit", "non_overlapping_ratio")
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = {int(r.id): ((r.minx, r.miny, r.maxx, r.maxy), float(r.area), [int(r.id)]) for r in pdf.itertuples()}
 
-        def size(b: tuple) -> float:
-            return (b[2] - b[0]) * (b[3] - b[1])
+def _size(b: Box) -> float:
+    return (b[2] - b[0]) * (b[3] - b[1])
+
+
+def _union(a: Box, b: Box) -> Box:
+    return min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])
+
+
+def _meet(a: Box, b: Box, by: float = 0.0) -> bool:
+    return a[0] <= b[2] + by and b[0] <= a[2] + by and a[1] <= b[3] + by and b[1] <= a[3] + by
+
+
+def _holds(a: Box, b: Box) -> bool:
+    return a[0] <= b[0] and a[1] <= b[1] and a[2] >= b[2] and a[3] >= b[3]
+
+
+def _overlap(a: Box, b: Box) -> float:
+    return max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+
+
+def _gap(a: Box, b: Box) -> float:
+    return max(0.0, a[0] - b[2], b[0] - a[2]) ** 2 + max(0.0, a[1] - b[3], b[1] - a[3]) ** 2
+
+
+def _items(pdf: pd.DataFrame) -> dict[int, tuple[Box, float, list[int]]]:
+    return {int(r.id): ((r.minx, r.miny, r.maxx, r.maxy), float(r.area), [int(r.id)]) for r in pdf.itertuples()}
+
 
-        def union(a: tuple, b: tuple) -> tuple:
-            return min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])
+def _named(groups) -> pd.DataFrame:
+    return pd.DataFrame([(m, min(members)) for members in groups for m in members], columns=["id", "domain"]).astype("int64")
+
+
+def agglomerate(basins: DataFrame, max_area: float, objectives: tuple[str, ...] = ("compactness_change",), ignore_area: float = 0.0, buffer: float = 0.0) -> DataFrame:
+    """``(id, domain)``: greedy merging of neighbouring boxes inside each region. Of the pairs whose merged envelope stays
+    within ``max_area`` and whose compactness (area over envelope area) doesn't fall, the one of the greatest product of
+    ``objectives`` merges, until none is left; boxes inside another envelope are then absorbed by the nearest. Basins up
+    to ``ignore_area`` are left out; neighbours are boxes at most ``buffer`` apart. Ties go to the smallest ids; a domain
+    is named by its smallest basin.
+
+    The objectives are those of ``OBJECTIVES``: compactness and its change, the envelope's share of ``max_area`` and the
+    rest of it, and the share of the envelope that no third box of the region overlaps."""
+    if unknown := set(objectives) - set(OBJECTIVES):
+        raise ValueError(f"unknown objectives {sorted(unknown)}")
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        items = {k: v for k, v in _items(pdf).items() if v[1] > ignore_area}
+
+        def value(i: int, j: int) -> tuple[float, Box] | None:
+            a, b = items[i], items[j]
+            u = _union(a[0], b[0])
+            compact = (a[1] + b[1]) / _size(u)
+            change = compact - (a[1] + b[1]) / (_size(a[0]) + _size(b[0]))
+            if not _meet(a[0], b[0], buffer) or _size(u) > max_area or change < 0:
+                return None
+            known = {"compactness": compact, "compactness_change": change, "area_ratio": _size(u) / max_area, "area_deficit": 1 - _size(u) / max_area}
+            if "non_overlapping_ratio" in objectives:
+                known["non_overlapping_ratio"] = max(0.0, 1 - sum(_overlap(u, x[0]) for k, x in items.items() if k not in (i, j)) / _size(u))
+            return math.prod(known[o] for o in objectives), u
 
         while True:
-            best = None
-            for i in sorted(items):
-                for j in sorted(items):
-                    a, b = items[i], items[j]
-                    if i < j and a[0][0] <= b[0][2] and b[0][0] <= a[0][2] and a[0][1] <= b[0][3] and b[0][1] <= a[0][3]:
-                        u = union(a[0], b[0])
-                        gain = (a[1] + b[1]) / size(u) - (a[1] + b[1]) / (size(a[0]) + size(b[0]))
-                        if size(u) <= max_area and gain >= 0 and (best is None or gain > best[0]):
-                            best = (gain, i, j, u)
-            if best is None:
+            found = [(v[0], -i, -j, v[1]) for i in items for j in items if i < j and (v := value(i, j)) is not None]
+            if not found:
                 break
-            _, i, j, u = best
-            a, b = items.pop(i), items.pop(j)
-            items[i] = (u, a[1] + b[1], a[2] + b[2])
-        for i in sorted(items, key=lambda k: (size(items[k][0]), k)):
-            for j in sorted(items):
-                a, b = items[i][0], items[j][0]
-                if i != j and b[0] <= a[0] and b[1] <= a[1] and b[2] >= a[2] and b[3] >= a[3]:
-                    gone = items.pop(i)
-                    items[j] = (b, items[j][1] + gone[1], items[j][2] + gone[2])
-                    break
-        rows = [(m, min(members)) for _, _, members in items.values() for m in members]
-        return pd.DataFrame(rows, columns=["id", "domain"]).astype("int64")
+            _, i, j, u = max(found)
+            a, b = items.pop(-i), items.pop(-j)
+            items[-i] = (u, a[1] + b[1], a[2] + b[2])
+        for i in sorted(items, key=lambda k: (_size(items[k][0]), k)):
+            around = [j for j in sorted(items) if i != j and _holds(items[j][0], items[i][0])]
+            if around:
+                j, gone = min(around, key=lambda k: (_gap(items[k][0], items[i][0]), k)), items.pop(i)
+                items[j] = (items[j][0], items[j][1] + gone[1], items[j][2] + gone[2])
+        return _named(members for _, _, members in items.values())
 
     return basins.groupBy("region").applyInPandas(merge, "id long, domain long")
 
 
+def grow_domains(basins: DataFrame, max_area: float, way: str = "largest", max_distance: float | None = None, min_compactness: float | None = None) -> DataFrame:
+    """``(id, domain)``: domains grown one after the other inside each region, the older ways of doing it, on boxes.
+
+    ``within_distance`` and ``largest`` start from the largest basin left and take others in one pass by distance, then
+    by area (largest first) or by overlap (least first) and compactness (greatest first). ``most_compact`` starts from the basin of least
+    compactness and takes, again and again, of those that meet its envelope the farthest, then the most compact. An
+    envelope never exceeds ``max_area``; ``max_distance`` and ``min_compactness`` limit what may join; basins inside a
+    finished envelope join it. Ties go to the smallest ids."""
+    if way not in ("within_distance", "largest", "most_compact"):
+        raise ValueError(way)
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, groups = _items(pdf), []
+        while left:
+            start = min(left, key=lambda k: (left[k][1] / _size(left[k][0]) if way == "most_compact" else -left[k][1], k))
+            box, area, members = left.pop(start)
+            members = list(members)
+
+            def joins(k: int) -> bool:
+                u = _union(box, left[k][0])
+                return _size(u) <= max_area and (min_compactness is None or way == "within_distance" or (area + left[k][1]) / _size(u) >= min_compactness)
+
+            def take(k: int) -> None:
+                nonlocal box, area
+                box, area = _union(box, left[k][0]), area + left[k][1]
+                members.append(k)
+                del left[k]
+
+            compact = lambda k: (area + left[k][1]) / _size(_union(box, left[k][0]))
+            if way == "most_compact":
+                while near := [k for k in left if _meet(box, left[k][0])]:
+                    inside = [k for k in near if _holds(box, left[k][0])]
+                    for k in inside:
+                        take(k)
+                    near = [k for k in near if k in left and joins(k)]
+                    if not near:
+                        break
+                    take(min(near, key=lambda k: (-_gap(box, left[k][0]), -compact(k), k)))
+            else:
+                near = [k for k in left if max_distance is None or _gap(box, left[k][0]) <= max_distance**2]
+                rank = (lambda k: (_gap(box, left[k][0]), -left[k][1], k)) if way == "within_distance" else (lambda k: (_gap(box, left[k][0]), _overlap(box, left[k][0]), -compact(k), k))
+                for k in sorted(near, key=rank):
+                    if joins(k):
+                        take(k)
+            for k in [k for k in left if _holds(box, left[k][0])]:
+                take(k)
+            groups.append(members)
+        return _named(groups)
+
+    return basins.groupBy("region").applyInPandas(grow, "id long, domain long")
+
+
 def allocate_components(nodes: DataFrame, skip_given: bool = True) -> DataFrame:
     """``(domain, comp)``: which domains keep a component that several hold. ``nodes`` is ``(domain, comp, x, y)``;
     components are the same where nodes of theirs coincide.

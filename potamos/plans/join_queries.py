@@ -235,7 +235,27 @@ def _(t):
 
 @query("o_g31_agglomerate_domains")
 def _(t):
-    return D.agglomerate(t.domains, 2500.0)
+    return D.agglomerate(t.basins, 900.0)
+
+
+@query("o_g31_agglomerate_by_product")
+def _(t):
+    return D.agglomerate(t.basins, 900.0, ("compactness", "area_deficit", "non_overlapping_ratio"), buffer=5.0)
+
+
+@query("o_g32_grow_within_distance")
+def _(t):
+    return D.grow_domains(t.basins, 900.0, "within_distance", max_distance=20.0)
+
+
+@query("o_g32_grow_largest")
+def _(t):
+    return D.grow_domains(t.basins, 900.0, "largest", max_distance=40.0, min_compactness=0.05)
+
+
+@query("o_g32_grow_most_compact")
+def _(t):
+    return D.grow_domains(t.basins, 900.0, "most_compact")
 
 
 @query("o_g33_drop_contained", "SELECT id FROM (SELECT id, minx, miny, CASE WHEN id % 6 = 0 THEN maxx + 40 ELSE maxx END AS maxx, CASE WHEN id % 6 = 0 THEN maxy + 40 ELSE maxy END AS maxy FROM domains) b WHERE NOT EXISTS (SELECT 1 FROM (SELECT id, minx, miny, CASE WHEN id % 6 = 0 THEN maxx + 40 ELSE maxx END AS maxx, CASE WHEN id % 6 = 0 THEN maxy + 40 ELSE maxy END AS maxy FROM domains) a WHERE a.id <> b.id AND a.minx <= b.minx AND a.maxx >= b.maxx AND a.miny <= b.miny AND a.maxy >= b.maxy)", ("domains",))

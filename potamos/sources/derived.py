@@ -114,6 +114,12 @@ DERIVED: dict[str, str] = {
                CAST((n_nationkey * 53) % 100 + 10 + n_nationkey % 7 AS DOUBLE) AS maxy,
                CAST((15 + n_nationkey % 5) * (10 + n_nationkey % 7) // (1 + n_nationkey % 3) AS DOUBLE) AS area
         FROM {nation}""",
+    # basins side by side inside each region, in part over each other
+    "basins": """
+        SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_regionkey AS BIGINT) AS region, CAST(n_nationkey // 5 * 13 AS DOUBLE) AS minx, CAST(0 AS DOUBLE) AS miny,
+               CAST(n_nationkey // 5 * 13 + 14 + n_nationkey // 5 % 3 AS DOUBLE) AS maxx, CAST(12 + n_regionkey AS DOUBLE) AS maxy,
+               CAST((14 + n_nationkey // 5 % 3) * (12 + n_regionkey) - n_nationkey AS DOUBLE) AS area
+        FROM {nation}""",
     "comparison": """
         SELECT CAST((l_orderkey * 37 + l_linenumber * 53) % 181 AS DOUBLE) AS azimuth_diff, CAST(floor(l_quantity * 2) AS DOUBLE) AS snap_dist,
                CAST(floor(l_extendedprice) AS BIGINT) % 100 AS avgwidth, CAST(floor(l_quantity) * 10 AS DOUBLE) AS length_split,

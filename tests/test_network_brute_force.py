@@ -343,3 +343,35 @@ def test_fix_links_raise(spark):
     assert sorted(map(tuple, network.fix_links(spark.createDataFrame(rows, schema)).collect())) == [(1, 10), (2, 21)]
     with pytest.raises(Exception, match="line 4 crosses"):
         network.fix_links(spark.createDataFrame([*rows, (4, 1, 2, 0.99, 0.0, 90.0)], schema)).collect()
+
+
+def boxes_of(spark, boxes):
+    return spark.createDataFrame([(i, 1, *map(float, b), float(a)) for i, (b, a) in boxes.items()], "id long, region long, minx double, miny double, maxx double, maxy double, area double")
+
+
+def test_domains_by_hand(spark):
+    # 1 and 2 make a full square, 3 lies inside it, 4 is far off, 5 meets 4
+    df = boxes_of(spark, {1: ((0, 0, 10, 20), 180), 2: ((10, 0, 20, 20), 180), 3: ((4, 4, 6, 6), 4), 4: ((50, 0, 60, 10), 90), 5: ((60, 0, 90, 10), 290)})
+    merged = dict(rows_of(domains.agglomerate(df, 400.0), "id", "domain"))
+    assert merged[1] == merged[2] == merged[3] == 1 and merged[4] == merged[5] == 4
+    assert dict(rows_of(domains.agglomerate(df, 250.0), "id", "domain")) == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+    assert dict(rows_of(domains.agglomerate(df, 400.0, ("compactness", "area_ratio"), ignore_area=10.0), "id", "domain")) == {1: 1, 2: 1, 4: 4, 5: 4}
+    with pytest.raises(ValueError):
+        domains.agglomerate(df, 1.0, ("beauty",))
+    grown = dict(rows_of(domains.grow_domains(df, 400.0, "within_distance", max_distance=5.0), "id", "domain"))
+    assert grown == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+    assert dict(rows_of(domains.grow_domains(df, 5000.0, "largest", max_distance=5.0, min_compactness=0.9), "id", "domain")) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+    assert dict(rows_of(domains.grow_domains(df, 400.0, "most_compact"), "id", "domain")) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+
+
+@pytest.mark.parametrize("name", ["o_g31_agglomerate_domains", "o_g31_agglomerate_by_product", "o_g32_grow_within_distance", "o_g32_grow_largest", "o_g32_grow_most_compact"])
+def test_query_domains_keep_their_size(spark, name):
+    basins = {r.id: r for r in Tables(spark, SF).basins.collect()}
+    groups = {}
+    for i, d in rows_of(registry.queries()[name](spark, SF), "id", "domain"):
+        groups.setdefault(d, []).append(basins[i])
+    assert sorted(b.id for g in groups.values() for b in g) == sorted(basins)
+    for held in groups.values():
+        size = (max(b.maxx for b in held) - min(b.minx for b in held)) * (max(b.maxy for b in held) - min(b.miny for b in held))
+        assert len({b.region for b in held}) == 1 and size <= 900
+    assert len(groups) < len(basins)
