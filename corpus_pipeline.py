@@ -49,13 +49,16 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: Tokenizers and alignment have no SQL; the tests hold run() against the same stages one by one, whose operators
-#: have brute-force tests of their own.
+#: Tokenizers and alignment have no SQL; the tests hold run() against a pipeline in plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage has written goes once the next one is done with it.
+
+    Null and empty texts fail the base rule and go; a null id stays with its document and is last where order counts; of
+    rows equal in id and text one stays; empty tables give an empty result."""
     docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = common.settle(stage(spark, docs, sf_dir))
+        docs = common.settle(stage(spark, docs, sf_dir), docs)
     return STAGES[-1][1](spark, docs, sf_dir)

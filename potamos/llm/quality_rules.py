@@ -150,7 +150,9 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, stratum_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, all columns as they are. Texts are measured a second time instead of
-    joining verdicts to them, which would shuffle the texts and mix up repeated ids."""
+    joining verdicts to them, which would shuffle the texts and mix up repeated ids. Null and empty texts go, as they fail
+    the base rule; a null id is judged like any other, a null stratum is one of its own, repeated rows stay or go
+    together, an empty table of labels leaves the base rule; columns of any name are kept."""
     measured = common.settle(features(docs, stratum_col, id_col, text_col))
     found = {row[0]: row[1:] for row in calibrate(measured, labels, alpha, delta)}
     rules = [(COUNTS.index(top), COUNTS.index(bottom)) for top, bottom, _ in RULES.values()]

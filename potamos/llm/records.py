@@ -66,7 +66,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, id_col:
     hash of the text). Returns the list of shards with the ids before each: one row per shard, the only thing that
     reaches the driver. The number of shards follows from the bytes of text, and is the session's number of shuffle
     partitions at least; equal ids, and equal rows, are spread over shards by a drawn number. A task writes under a name of its own, and
-    only names reported by tasks that ended count, so a task that is lost or run twice leaves no trace in the result."""
+    only names reported by tasks that ended count, so a task that is lost or run twice leaves no trace in the result.
+    Null text is an empty document; an empty table gives no shard; other columns are ignored."""
     spark = docs.sparkSession
     chosen = common.pick(docs, doc_id=id_col, text=text_col)
     n_bytes = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
