@@ -11,6 +11,7 @@ from . import cells as C
 from . import spatial as P
 from .components import connected_components
 from .lineage import settle
+from .stats import running_total
 
 
 def grow(cells: DataFrame, seeds: DataFrame, start: float = 8.0) -> DataFrame:
@@ -157,13 +158,8 @@ def catchments(cells: DataFrame, reaches: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def ranked(values: DataFrame, column: str) -> DataFrame:
-    """``values`` with ``number`` from 1 in the order of a unique column, without a window over all rows: rows are
-    ranged over partitions, numbered inside, and each partition starts after those before it."""
-    ordered = settle(values.repartitionByRange(column).sortWithinPartitions(column).withColumn("part", F.spark_partition_id()))
-    sizes = ordered.groupBy("part").agg(F.count("*").alias("k"))
-    before = sizes.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("before"))  # one row per partition
-    inside = F.row_number().over(Window.partitionBy("part").orderBy(column))
-    return ordered.withColumn("inside", inside).join(F.broadcast(before), "part").select(*values.columns, (F.col("before") + F.col("inside")).alias("number"))
+    """``values`` with ``number`` from 1 in the order of a unique column."""
+    return running_total(values.withColumn("__one", F.lit(1)), column, "__one", "number").drop("__one")
 
 
 def bank_distance(cells: DataFrame, res: float, wet: str = "water") -> DataFrame:

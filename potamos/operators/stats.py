@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import settle
+
 
 def half_medians(vertices: DataFrame, key: str = "id", pos: str = "pos", value: str = "value") -> DataFrame:
     """Medians of the first and last half of each ordered list and their difference; a half holds one value at least."""
@@ -75,14 +77,22 @@ def cpu_hours(log: DataFrame, line: str, by: str, fmt: str) -> DataFrame:
     return log.groupBy(F.col(by).alias("kind")).agg((F.sum(seconds * cpus) / 3600).alias("cpu_hrs"), F.count("*").alias("n"))
 
 
+def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` up to each row in the order of a unique column, without a window over all rows:
+    rows are ranged over partitions, summed inside, and each partition starts at the total of those before it."""
+    ordered = settle(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()))
+    totals = ordered.groupBy("__part").agg(F.sum(value).alias("__s"))
+    before = totals.select("__part", (F.sum("__s").over(Window.orderBy("__part")) - F.col("__s")).alias("__before"))  # one row per partition
+    inside = F.sum(value).over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return ordered.withColumn(name, inside).join(F.broadcast(before), "__part").withColumn(name, F.col(name) + F.col("__before")).select(*df.columns, name)
+
+
 def rank_sum_top(df: DataFrame, columns: list[str], key: str, n: int) -> DataFrame:
-    """The rows with the lowest sum of average ranks. Ranks come from counts per distinct value: the running sum over
-    distinct values is the only ordered window."""
+    """The rows with the lowest sum of average ranks. Ranks come from counts per distinct value and their running sum."""
     out = df.select(key, *columns)
     for c in columns:
         counts = df.groupBy(c).agg(F.count("*").alias("__n"))
-        upto = F.sum("__n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        ranks = counts.select(F.col(c), (upto - F.col("__n") + 1 + (F.col("__n") - 1) / 2).alias(f"__r_{c}"))
+        ranks = running_total(counts, c, "__n", "__upto").select(F.col(c), (F.col("__upto") - F.col("__n") + 1 + (F.col("__n") - 1) / 2).alias(f"__r_{c}"))
         out = out.join(ranks, c)
     total = sum((F.col(f"__r_{c}") for c in columns[1:]), F.col(f"__r_{columns[0]}"))
     return out.select(key, total.alias("total")).orderBy("total", key).limit(n)
