@@ -36,18 +36,17 @@ def _sweep(edges: DataFrame, combine, head: Column, gain: Column) -> DataFrame:
     front and nodes that still wait for an inflow are held; edges on and below cycles get no row."""
     n_in = edges.groupBy(F.col("end_node").alias("node")).agg(F.count("*").alias("n_in"))
     edges = settle(edges.join(n_in.withColumnRenamed("node", "end_node"), "end_node"))
-    log, waiting = Rounds(edges.sparkSession), None
+    log, pool = Rounds(edges.sparkSession), None
     columns = ["chain", "end_node", "n_in", head.cast("double").alias("head"), (head + gain).cast("double").alias("carry")]
     sources = edges.join(edges.select(F.col("end_node").alias("start_node")), "start_node", "left_anti")
     front = log.add(sources.withColumn("came", F.lit(0.0)).select(*columns))
     while not _none(front):
         arrived = front.select(F.col("end_node").alias("node"), "n_in", "carry", F.lit(1).alias("n"))
-        pool = arrived if waiting is None else waiting.unionByName(arrived)
-        pool = settle(pool.groupBy("node", "n_in").agg(combine("carry").alias("carry"), F.sum("n").cast("int").alias("n")), waiting)
+        held = arrived if pool is None else pool.where("n < n_in").unionByName(arrived)
+        pool = settle(held.groupBy("node", "n_in").agg(combine("carry").alias("carry"), F.sum("n").cast("int").alias("n")), pool)
         ready = pool.where("n = n_in").select(F.col("node").alias("start_node"), F.col("carry").alias("came"))
         front = log.add(edges.join(ready, "start_node").select(*columns))
-        waiting = settle(pool.where("n < n_in"), pool)
-    release(edges, waiting)
+    release(edges, pool)
     return log.all().select("chain", "head")
 
 
