@@ -68,7 +68,8 @@ def route(lines: DataFrame, node_values: DataFrame, line_values: DataFrame | Non
     Returns ``(id, line_in, line_out)`` for all lines and ``(node, node_in, node_out)`` for all nodes, ``node_out`` being what
     goes into each line by ascending id. Lines on and below directed cycles, and self loops, come first in the order of
     routing, so they carry their node's own value and nothing from above; what a self loop carries is back at its node
-    when the node's other lines are routed."""
+    when the node's other lines are routed. Lines may share an id: each row is a line of its own, and ``line_values`` holds
+    for all rows of an id (the greatest, where an id has several)."""
     w = Window.partitionBy("start_node")
     share = F.col("width") / F.sum("width").over(w)
     if method == "mainstem":
@@ -76,14 +77,14 @@ def route(lines: DataFrame, node_values: DataFrame, line_values: DataFrame | Non
     own = node_values.groupBy(F.col("node").alias("start_node")).agg(F.max(F.coalesce("value", F.lit(0.0))).alias("own"))
     table = lines.select("id", "start_node", "end_node", share.alias("share")).join(own, "start_node", "left")
     if line_values is not None:
-        table = table.join(line_values.select("id", F.col("value").alias("line_value")), "id", "left")
+        table = table.join(line_values.groupBy("id").agg(F.max("value").alias("line_value")), "id", "left")
     else:
         table = table.withColumn("line_value", F.lit(0.0))
-    table = table.fillna(0.0, ["own", "line_value"])
+    numbered = table = settle(table.fillna(0.0, ["own", "line_value"]).withColumn("row", F.monotonically_increasing_id()))
     loops = table.where("start_node = end_node").groupBy("start_node").agg(F.sum(F.col("share") * F.col("own") + F.col("line_value")).alias("looped"))
     loops = settle(loops)
-    runs = chains(table.where("start_node <> end_node").select("id", "start_node", "end_node"), loops.select(F.col("start_node").alias("node"))).select("id", "chain", "pos")
-    table = settle(table.join(runs, "id", "left").join(loops, "start_node", "left").fillna(0.0, ["looped"]))
+    runs = chains(table.where("start_node <> end_node").select(F.col("row").alias("id"), "start_node", "end_node"), loops.select(F.col("start_node").alias("node"))).select(F.col("id").alias("row"), "chain", "pos")
+    table = settle(table.join(runs, "row", "left").join(loops, "start_node", "left").fillna(0.0, ["looped"]), numbered)
     # inside a chain all of a node goes on: its own value joins what the line above brings
     inner = F.when(F.col("pos") > 0, F.col("own")).otherwise(0.0)
     first = lambda c: F.min_by(c, "pos").alias(c)
@@ -91,8 +92,8 @@ def route(lines: DataFrame, node_values: DataFrame, line_values: DataFrame | Non
     found = _sweep(edges, F.sum, F.col("share") * (F.col("came") + F.col("own") + F.col("looped")), F.col("gain"))
     along = Window.partitionBy("chain").orderBy("pos")
     passed = F.sum(inner).over(along) + F.coalesce(F.sum("line_value").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    flow = table.where("chain IS NOT NULL").withColumn("passed", passed).join(found, "chain", "left").select("id", (F.col("head") + F.col("passed")).alias("flow"))
-    done = table.join(flow, "id", "left").withColumn("line_in", F.coalesce("flow", F.col("share") * F.col("own"), F.lit(0.0)))
+    flow = table.where("chain IS NOT NULL").withColumn("passed", passed).join(found, "chain", "left").select("row", (F.col("head") + F.col("passed")).alias("flow"))
+    done = table.join(flow, "row", "left").withColumn("line_in", F.coalesce("flow", F.col("share") * F.col("own"), F.lit(0.0)))
     done = settle(done.select("id", "start_node", "end_node", "own", "line_in", (F.col("line_in") + F.col("line_value")).alias("line_out")), table)
     out = done.groupBy(F.col("start_node").alias("node")).agg(F.max("own").alias("own"), F.sort_array(F.collect_list(F.struct("id", "line_in"))).getField("line_in").alias("node_out"))
     came = done.groupBy(F.col("end_node").alias("node")).agg(F.sum("line_out").alias("came"))
