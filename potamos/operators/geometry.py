@@ -79,13 +79,25 @@ def transects(vertices: DataFrame, every: float, half_width: Column) -> DataFram
 
 
 def inside_polygon(x: Column, y: Column, ring: Column) -> Column:
-    """Whether a point lies in a ring (an array of ``{x, y}``, closed or not), by counting crossings of a ray to the right."""
+    """Whether a point lies in a ring (an array of ``{x, y}``, closed or not), by counting crossings of a ray to the right.
+    Points on the ring itself are out. Products instead of slopes, so whole numbers are decided exactly."""
     n = F.size(ring)
-    def crossing(i: Column) -> Column:
+
+    def side(i: Column) -> tuple[Column, Column, Column]:
         a, b = F.element_at(ring, i), F.element_at(ring, F.when(i == n, F.lit(1)).otherwise(i + 1))
+        return a, b, (b["x"] - a["x"]) * (y - a["y"]) - (x - a["x"]) * (b["y"] - a["y"])
+
+    def crossing(i: Column) -> Column:
+        a, b, turn = side(i)
         straddles = (a["y"] > y) != (b["y"] > y)
-        return F.when(straddles & (x < (b["x"] - a["x"]) * (y - a["y"]) / F.when(b["y"] != a["y"], b["y"] - a["y"]) + a["x"]), 1).otherwise(0)
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, i: acc + crossing(i)) % 2 == 1
+        return F.when(straddles & F.when(b["y"] > a["y"], turn > 0).otherwise(turn < 0), 1).otherwise(0)
+
+    def touches(i: Column) -> Column:
+        a, b, turn = side(i)
+        return (turn == 0) & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+
+    sides = F.sequence(F.lit(1), n)
+    return (F.aggregate(sides, F.lit(0), lambda acc, i: acc + crossing(i)) % 2 == 1) & ~F.exists(sides, touches)
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
