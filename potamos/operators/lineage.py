@@ -24,6 +24,19 @@ def _remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _kept_off_broadcast(df: DataFrame, path: str) -> DataFrame:
+    """``df``, read from ``path``, of unknown size to the planner if its rows are above Spark's threshold for broadcasts. Spark
+    goes by the size of the files, and tables of ids and coordinates compress to a hundredth of their rows: the driver
+    would hold millions of them. What the rows come to is seen at run time, and the other side of a join may still be broadcast."""
+    spark = df.sparkSession
+    threshold = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    length = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    if threshold <= 0 or length < threshold / 200 or df.count() * (df._jdf.schema().defaultSize() + 8) <= threshold:
+        return df
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
+
+
 def settle(df: DataFrame, spent: DataFrame | None = None) -> DataFrame:
     """Write the rows to the shared folder and go on from there: what follows never computes them again, and a lost
     executor costs no more than the stage it was in. ``spent`` is a settled table that nothing reads any more once
@@ -32,7 +45,7 @@ def settle(df: DataFrame, spent: DataFrame | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     release(spent)
-    found = spark.read.schema(df.schema).parquet(path)
+    found = _kept_off_broadcast(spark.read.schema(df.schema).parquet(path), path)
     found._settled = path
     return found
 
@@ -60,8 +73,9 @@ class Rounds:
         path = f"{self.path}/round={self.n}"
         df.write.option("compression", "zstd").parquet(path)
         self.n += 1
-        return self.spark.read.schema(df.schema).parquet(path)
+        return _kept_off_broadcast(self.spark.read.schema(df.schema).parquet(path), path)
 
     def all(self) -> DataFrame:
         """All rounds with their number as ``round``."""
-        return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("round", T.IntegerType())])).parquet(self.path)
+        found = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("round", T.IntegerType())])).parquet(self.path)
+        return _kept_off_broadcast(found, self.path)
