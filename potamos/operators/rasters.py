@@ -4,6 +4,8 @@ Cells are ``(x, y, band, ...)`` by whole-number coordinates; ``res`` is the side
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,13 +118,22 @@ def class_change_nodes(vertices: DataFrame, apart: float) -> DataFrame:
     v = vertices.withColumns({"before": F.lag("class").over(w.orderBy("pos")), "lo": F.min("pos").over(w), "hi": F.max("pos").over(w)})
     change = (F.col("class") != F.col("before")) & (F.col("pos") > F.col("lo")) & (F.col("pos") < F.col("hi"))
     points = v.where(change | (F.col("pos") == F.col("lo")) | (F.col("pos") == F.col("hi"))).select("id", "pos", "x", "y", F.coalesce(change, F.lit(False)).alias("change"))
-    points = settle(points.withColumn("num", F.monotonically_increasing_id()))
-    near = P.within(points.select(F.col("num").alias("id"), "x", "y"), points.select(F.col("num").alias("id"), "x", "y"), apart).where("id < to_id")
-    cluster = connected_components(near.select(F.col("id").alias("src"), F.col("to_id").alias("dst")))
-    at = points.join(cluster, F.col("num") == F.col("node"), "left").withColumn("cluster", F.coalesce("component", "num"))
-    w = Window.partitionBy("cluster")
-    ranked = at.withColumns({"joins": F.bool_or(~F.col("change")).over(w), "rank": F.row_number().over(w.orderBy(F.desc("change"), "id", "pos"))})
-    return ranked.where("change AND NOT joins AND rank = 1").select("id", "pos", "x", "y")
+    # all places of a square whose diagonal is within reach are one cluster, so only squares are linked
+    side = apart / math.sqrt(2) / 1.0001
+    square = [F.floor(F.col(c) / side).cast("long").alias(f"b{c}") for c in ("x", "y")]
+    points = settle(points.select("*", *square, F.monotonically_increasing_id().alias("num")))
+    squares = settle(points.where("x IS NOT NULL AND y IS NOT NULL").groupBy("bx", "by").agg(F.min("num").alias("square")))
+    places = settle(points.select("x", "y", "bx", "by").distinct().join(squares, ["bx", "by"]))
+    steps = [(dx, dy) for dx in range(3) for dy in range(-2, 3) if (dx, dy) > (0, 0)]
+    step = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps))).alias("s")
+    to = places.select("bx", "by", F.col("x").alias("to_x"), F.col("y").alias("to_y"), F.col("square").alias("dst"))
+    near = places.select("x", "y", F.col("square").alias("src"), "bx", "by", step).select("x", "y", "src", (F.col("bx") + F.col("s.dx")).alias("bx"), (F.col("by") + F.col("s.dy")).alias("by")).join(to, ["bx", "by"])
+    near = near.where(F.sqrt(F.pow(F.col("x") - F.col("to_x"), 2) + F.pow(F.col("y") - F.col("to_y"), 2)) <= apart)
+    linked = connected_components(near.select("src", "dst").distinct())
+    cluster = squares.join(linked.withColumnRenamed("node", "square"), "square", "left").select("bx", "by", F.coalesce("component", "square").alias("cluster"))
+    at = points.join(cluster, ["bx", "by"], "left").withColumn("cluster", F.coalesce("cluster", -F.col("num") - 1))
+    found = at.groupBy("cluster").agg(F.bool_and("change").alias("free"), F.min(F.struct("id", "pos", "x", "y")).alias("first"))
+    return found.where("free").select("first.*")
 
 
 def solver_bands(cells: DataFrame, n_rows: int, res: float, main_darea: float) -> DataFrame:
