@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import network as N
 from . import spatial as P
 from .components import connected_components
-from .graph import bridges, shortest_paths
+from .graph import bridges, pair_distances, shortest_paths
 from .lineage import release, settle
 
 def _components(lines: DataFrame) -> DataFrame:
@@ -67,17 +67,20 @@ def snap_ends(lines: DataFrame, nodes: DataFrame, dmin: float, dmax: float, min_
     degree = N.degrees(lines).select("node", "n_lines")
     free = degree.where("n_lines = 1").select(F.col("node").alias("id"))
     ends = nodes.join(free, "id", "left_semi")
-    pairs = P.within(ends.select("id", "x", "y"), ends.where("is_end").select("id", "x", "y"), dmax, dmin).where("id <> to_id")
-    best = pairs.groupBy("id").agg(F.min(F.struct("dist", "to_id")).alias("b")).select(F.least("id", "b.to_id").alias("a"), F.greatest("id", "b.to_id").alias("b"), F.col("b.dist").alias("dist"))
+    others = ends.where("is_end").select("id", "x", "y")
+    if dmin > 0:  # an end isn't its own neighbour then, so ends at one place look once
+        near = ends.select("id", "x", "y").join(P.nearest_places(ends, others, dmax, dmax, dmin), ["x", "y"])
+    else:
+        pairs = P.within(ends.select("id", "x", "y"), others, dmax, dmin).where("id <> to_id")
+        near = pairs.groupBy("id").agg(F.min(F.struct("dist", "to_id")).alias("b")).select("id", "b.to_id", "b.dist")
+    best = near.select(F.least("id", "to_id").alias("a"), F.greatest("id", "to_id").alias("b"), "dist")
     best = settle(best.groupBy("a", "b").agg(F.min("dist").alias("dist")))
     comp = settle(_components(lines))
     tagged = best.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
     apart = tagged.where("ca <> cb").select("a", "b", "dist", F.lit(None).cast("double").alias("loop"), F.lit(None).cast("long").alias("n_between"))
     same = settle(tagged.where("ca = cb"))
-    inside = lines.join(comp.select(F.col("node").alias("start_node"), F.col("component").alias("ca")), "start_node").join(same.select("ca"), "ca", "left_semi").withColumn("one", F.lit(1.0))
-    sources = same.select(F.col("a").alias("node")).distinct()
-    way = lambda weight, name: shortest_paths(inside, sources, weight).select(F.col("source").alias("a"), F.col("node").alias("b"), F.col("distance").alias(name))
-    loops = same.join(way("length", "way"), ["a", "b"]).join(way("one", "hops"), ["a", "b"])
+    inside = lines.join(comp.select(F.col("node").alias("start_node"), F.col("component").alias("component")), "start_node").join(same.select(F.col("ca").alias("component")), "component", "left_semi")
+    loops = same.join(pair_distances(inside, same.select(F.col("ca").alias("component"), "a", "b")), ["a", "b"])
     loops = loops.select("a", "b", "dist", (F.col("way") + F.col("dist")).alias("loop"), (F.col("hops") - 1).cast("long").alias("n_between"))
     width = nodes.select(F.col("id").alias("dangle_node"), F.col("river_width").alias("w1")), nodes.select(F.col("id").alias("inner_node"), F.col("river_width").alias("w2"))
     short = N.dangles(lines).join(width[0], "dangle_node", "left").join(width[1], "inner_node", "left").where(F.col("length") < F.greatest("w1", "w2") * factor)

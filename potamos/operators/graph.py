@@ -3,6 +3,7 @@ a round costs a constant number of joins on what is still active."""
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -163,6 +164,71 @@ def shortest_paths(lines: DataFrame, sources: DataFrame, weight: str = "length",
         best = settle(best.join(front, ["source", "node"], "left_anti").unionByName(front), best)
 
 
+def pair_distances(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(a, b, way, hops)``: the least length and the fewest lines between the nodes of each pair, directions ignored.
+    ``lines`` is ``(component, start_node, end_node, length)``, ``pairs`` ``(component, a, b)``.
+
+    Nodes are taken out one by one, those of fewest neighbours first, and their neighbours linked by the ways over them;
+    a shortest way then climbs from both ends to a common node. One task per component; what a node sees above it
+    is little in networks that are nearly trees, however large, and grows with their width in dense meshes."""
+    rows = lines.select("component", F.col("start_node").alias("a"), F.col("end_node").alias("b"), F.col("length").cast("double").alias("way"), F.lit(False).alias("pair"))
+    rows = rows.unionByName(pairs.select("component", "a", "b", F.lit(0.0).alias("way"), F.lit(True).alias("pair")))
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, dict[int, tuple[float, int]]] = {}
+
+        def link(a: int, b: int, way: float, hops: int) -> None:
+            for p, q in ((a, b), (b, a)):
+                old = near.setdefault(p, {}).get(q)
+                near[p][q] = (way, hops) if old is None else (min(old[0], way), min(old[1], hops))
+
+        wanted = pdf[pdf.pair]
+        held = pdf[~pdf.pair]
+        for a, b, way in zip(held.a.tolist(), held.b.tolist(), held.way.tolist()):
+            link(a, b, way, 1)
+        rank: dict[int, int] = {}
+        above: dict[int, dict[int, tuple[float, int]]] = {}
+        queue = [(len(v), k) for k, v in near.items()]
+        heapq.heapify(queue)
+        while queue:
+            n, node = heapq.heappop(queue)
+            if node in rank or n != len(near[node]):
+                continue
+            rank[node] = len(rank)
+            around = above[node] = near.pop(node)
+            for p in around:
+                del near[p][node]
+            ends = list(around.items())
+            for i, (p, (w1, h1)) in enumerate(ends):
+                for q, (w2, h2) in ends[:i]:
+                    link(p, q, w1 + w2, h1 + h2)
+            for p in around:
+                heapq.heappush(queue, (len(near[p]), p))
+
+        def climb(start: int) -> dict[int, tuple[float, int]]:
+            seen, open_ = {start: (0.0, 0)}, [(rank[start], start)]
+            while open_:
+                _, node = heapq.heappop(open_)
+                w0, h0 = seen[node]
+                for p, (w, h) in above[node].items():
+                    old = seen.get(p)
+                    if old is None:
+                        heapq.heappush(open_, (rank[p], p))
+                        seen[p] = (w0 + w, h0 + h)
+                    else:
+                        seen[p] = (min(old[0], w0 + w), min(old[1], h0 + h))
+            return seen
+
+        out = []
+        for a, b in zip(wanted.a.tolist(), wanted.b.tolist()):
+            up, down = climb(a), climb(b)
+            both = [(up[k], down[k]) for k in up if k in down]
+            out.append((a, b, min(x[0] + y[0] for x, y in both), min(x[1] + y[1] for x, y in both)))
+        return pd.DataFrame(out, columns=["a", "b", "way", "hops"]).astype({"a": "int64", "b": "int64", "way": "float64", "hops": "int64"})
+
+    return rows.groupBy("component").applyInPandas(find, "a long, b long, way double, hops long")
+
+
 def bridges(lines: DataFrame) -> DataFrame:
     """Ids of lines whose removal parts their component. One task per component; a task holds one component."""
     members = connected_components(lines.select(F.col("start_node").alias("src"), F.col("end_node").alias("dst")))
