@@ -22,16 +22,13 @@ def river_names(pieces: DataFrame, named: DataFrame, max_dist: float = 1000.0, s
     the distance changes steadily along it (Pearson's r beyond 0.5 with p below 0.005), and any segment if more than half
     of its parts are beyond ``max_dist``. Otherwise the most frequent line names it (smallest id on ties); ``en`` is
     the first of its tags name:en, int_name and name:fr."""
-    parts = pieces.withColumn("part", F.monotonically_increasing_id())
-    parts = settle(parts)
-    near = P.nearest(parts.select(F.col("part").alias("id"), "x", "y"), named.select("id", "x", "y"), start)
-    at = parts.join(near.select(F.col("id").alias("part"), "to_id", "dist"), "part")
+    at = pieces.join(P.nearest_places(pieces, named.select("id", "x", "y"), start), ["x", "y"])
     along = F.sum("length").over(Window.partitionBy("id").orderBy("seq"))
-    facts = at.withColumn("along", along).groupBy("id").agg(F.count("*").alias("n"), S.pearson_r(F.col("along"), F.col("dist")).alias("r"), F.count_if(F.col("dist") > max_dist).alias("far"))
+    facts = at.withColumn("along", along).groupBy("id").agg(
+        F.count("*").alias("n"), S.pearson_r(F.col("along"), F.col("dist")).alias("r"), F.count_if(F.col("dist") > max_dist).alias("far"), F.mode("to_id", deterministic=True).alias("named_id")
+    )
     steady = (F.col("n") > 3) & (F.abs("r") > 0.5) & (S.pearson_p(F.col("r"), F.col("n")) < 0.005)
-    good = facts.where(~F.coalesce(steady, F.lit(False)) & (F.col("far") / F.col("n") <= 0.5)).select("id")
-    votes = at.join(good, "id", "left_semi").groupBy("id", "to_id").agg(F.count("*").alias("k"))
-    best = votes.groupBy("id").agg(F.min(F.struct((-F.col("k")).alias("k"), "to_id")).alias("b")).select("id", F.col("b.to_id").alias("named_id"))
+    best = facts.where(~F.coalesce(steady, F.lit(False)) & (F.col("far") / F.col("n") <= 0.5)).select("id", "named_id")
     tags = S.parse_tags(F.col("other_tags"))
     labels = named.select(F.col("id").alias("named_id"), F.col("name").alias("local"), S.first_tag(tags, "name:en", "int_name", "name:fr").alias("en"))
     return best.join(labels, "named_id").select("id", "named_id", "local", "en")
